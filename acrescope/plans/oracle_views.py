@@ -166,10 +166,173 @@ LEFT JOIN fx_weather w ON s.geoid = w.geoid AND s.state = w.state AND s.year = w
 LEFT JOIN fx_drought q ON s.state = q.state AND s.year = q.year AND f.forecast_date = q.forecast_date
 """
 ALWAYS = ["gdd_cum_f50_c86", "edd_hours_gt86f", "vpd_kpa_veg", "vpd_kpa_silk", "prcp_cum_mm",
-          "dry_spell_max_days", "srad_total_veg", "srad_total_silk", "d0_pct", "d2plus", "irrigated_share"]
+          "dry_spell_max_days", "srad_total_veg", "srad_total_silk", "d2plus", "irrigated_share"]
 GRAIN = ["vpd_kpa_grain", "srad_total_grain"]
 _all = " AND ".join(f"{c} IS NOT NULL" for c in ALWAYS)
 _grain = " AND ".join(f"{c} IS NOT NULL" for c in GRAIN)
 VIEWS["fx_ready"] = f"""
 SELECT *, ({_all} AND (forecast_date = '08-01' OR ({_grain}))) AS complete FROM fx_master
 """
+
+# --- pools, trend, standardisation -------------------------------------------
+VIEWS["fx_history"] = """
+SELECT geoid, CAST(count(*) FILTER (ok AND year BETWEEN 1995 AND 1999) AS BIGINT) AS n_years FROM (
+  SELECT geoid, year, bool_and(complete AND yield_target IS NOT NULL) AS ok FROM fx_ready GROUP BY geoid, year)
+GROUP BY geoid
+"""
+VIEWS["fx_train"] = """
+SELECT r.* FROM fx_ready r JOIN fx_history h ON r.geoid = h.geoid AND h.n_years >= 3
+WHERE r.year BETWEEN 1995 AND 1999 AND r.complete AND r.yield_target IS NOT NULL
+"""
+VIEWS["fx_fit"] = """
+SELECT geoid, state, regr_slope(y, CAST(year AS DOUBLE)) AS slope, regr_intercept(y, CAST(year AS DOUBLE)) AS intercept, count(*) AS n_years
+FROM (SELECT geoid, state, year, min(yield_target) AS y FROM fx_train GROUP BY ALL) GROUP BY geoid, state HAVING count(*) >= 5
+"""
+VIEWS["fx_fallback"] = """
+SELECT state, quantile_cont(slope, 0.5) AS slope, quantile_cont(intercept, 0.5) AS intercept FROM fx_fit GROUP BY state
+"""
+VIEWS["fx_params"] = """
+SELECT t.geoid, t.state, coalesce(f.slope, b.slope) AS slope, coalesce(f.intercept, b.intercept) AS intercept, f.slope IS NOT NULL AS own_fit
+FROM (SELECT DISTINCT geoid, state FROM fx_train) t LEFT JOIN fx_fit f ON t.geoid = f.geoid LEFT JOIN fx_fallback b ON t.state = b.state
+"""
+_pos = ", ".join(f"('{c}', {i})" for i, c in enumerate(ALWAYS + GRAIN))
+VIEWS["fx_features"] = f"""
+SELECT f.*, d.forecast_date FROM (VALUES {_pos}) AS f(feature, pos) CROSS JOIN fx_dates d
+WHERE d.forecast_date <> '08-01' OR f.feature NOT IN ({", ".join(repr(g) for g in GRAIN)})
+"""
+_cols = ", ".join(ALWAYS + GRAIN)
+_long = lambda src: f"""SELECT geoid, state, year, forecast_date, feature, v FROM (
+  UNPIVOT (SELECT geoid, state, year, forecast_date, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in ALWAYS + GRAIN)} FROM {src})
+  ON {_cols} INTO NAME feature VALUE v)"""
+VIEWS["fx_std"] = f"""
+SELECT l.forecast_date, l.feature, avg(v) AS mean, stddev_pop(v) AS std
+FROM ({_long('fx_train')}) l JOIN fx_features USING (forecast_date, feature) GROUP BY ALL
+"""
+VIEWS["fx_vec"] = f"""
+SELECT l.geoid, l.state, l.year, l.forecast_date, list((v - s.mean) / s.std ORDER BY f.pos) AS vec
+FROM ({_long('(SELECT * FROM fx_ready WHERE complete)')}) l
+JOIN fx_features f USING (forecast_date, feature) JOIN fx_std s USING (forecast_date, feature) GROUP BY ALL
+"""
+VIEWS["fx_candidates"] = """
+SELECT t.geoid, t.state, t.year, t.forecast_date, t.yield_target, t.yield_target - (p.slope * t.year + p.intercept) AS detrended, v.vec
+FROM fx_train t JOIN fx_params p ON t.geoid = p.geoid JOIN fx_vec v ON t.geoid = v.geoid AND t.year = v.year AND t.forecast_date = v.forecast_date
+"""
+_KNN = """
+SELECT * FROM (
+  SELECT q.geoid AS q_geoid, q.state AS q_state, q.year AS q_year, q.forecast_date, c.geoid, c.state, c.year, c.yield_target, c.detrended,
+         round(list_distance(q.vec, c.vec), 9) AS distance,
+         row_number() OVER (PARTITION BY q.geoid, q.year, q.forecast_date
+                            ORDER BY round(list_distance(q.vec, c.vec), 9), c.geoid, c.year) AS rank
+  FROM fx_vec q JOIN fx_candidates c ON q.forecast_date = c.forecast_date AND q.year <> c.year {extra}) WHERE rank <= 5
+"""
+VIEWS["fx_knn_cross"] = _KNN.format(extra="")
+VIEWS["fx_knn_same"] = _KNN.format(extra="AND q.geoid = c.geoid")
+
+# --- cones and backtest ------------------------------------------------------
+VIEWS["fx_weights"] = """
+SELECT DISTINCT geoid, state, year, acres_planted_all AS acres, yield_target FROM fx_panel
+"""
+VIEWS["fx_truth"] = """
+SELECT state, year, sum(yield_target * acres) / sum(acres) AS truth FROM fx_weights
+WHERE yield_target IS NOT NULL AND acres > 0 GROUP BY state, year
+"""
+_LOOK = """
+SELECT geoid, state, year, acres, CASE WHEN max(rn) FILTER (y2 IS NOT NULL) >= 3 THEN avg(y2) FILTER (rn <= {n}) END AS m FROM (
+  SELECT a.geoid, a.state, a.year, a.acres, b.yield_target AS y2,
+         row_number() OVER (PARTITION BY a.geoid, a.year ORDER BY b.year DESC) AS rn
+  FROM fx_weights a LEFT JOIN fx_weights b ON a.geoid = b.geoid AND b.year < a.year AND b.yield_target IS NOT NULL {skip})
+GROUP BY geoid, state, year, acres
+"""
+VIEWS["fx_look5"] = _LOOK.format(n=5, skip="AND b.year <> 2001")
+VIEWS["fx_look5_all"] = _LOOK.format(n=5, skip="")
+VIEWS["fx_look10_all"] = _LOOK.format(n=10, skip="")
+VIEWS["fx_baseline"] = """
+SELECT state, year, sum(m * acres) FILTER (m IS NOT NULL AND acres > 0) / sum(acres) FILTER (m IS NOT NULL AND acres > 0) AS baseline,
+       count(*) FILTER (m IS NOT NULL AND acres > 0) AS n_baseline FROM fx_look5 GROUP BY state, year
+"""
+VIEWS["fx_cones"] = """
+SELECT a.pool, a.k, a.q_geoid AS geoid, a.q_state AS state, a.q_year AS year, a.forecast_date, count(*) AS n_analogs,
+       quantile_cont(detrended, 0.1) + any_value(p.slope * a.q_year + p.intercept) AS p10,
+       quantile_cont(detrended, 0.5) + any_value(p.slope * a.q_year + p.intercept) AS p50,
+       quantile_cont(detrended, 0.9) + any_value(p.slope * a.q_year + p.intercept) AS p90,
+       quantile_cont(detrended, 0.5) + any_value(p.slope * a.q_year + p.intercept) AS point
+FROM (SELECT n.*, k.k FROM (SELECT *, 'same_geoid' AS pool FROM fx_knn_same UNION ALL SELECT *, 'cross_county' FROM fx_knn_cross) n
+      JOIN (VALUES (3), (5)) AS k(k) ON n.rank <= k.k) a
+JOIN fx_params p ON a.q_geoid = p.geoid WHERE a.q_year IN (2000, 2001) GROUP BY ALL
+"""
+VIEWS["fx_state_cones"] = """
+SELECT pool, k, c.state, c.year, forecast_date, sum(p10 * acres) / sum(acres) AS p10, sum(p50 * acres) / sum(acres) AS p50,
+       sum(p90 * acres) / sum(acres) AS p90, sum(point * acres) / sum(acres) AS point, count(*) AS n_counties, sum(acres) AS total_acres
+FROM fx_cones c JOIN fx_weights w ON c.geoid = w.geoid AND c.year = w.year WHERE acres > 0 GROUP BY pool, k, c.state, c.year, forecast_date
+"""
+VIEWS["fx_backtest"] = """
+SELECT g.year AS holdout_year, g.state, g.forecast_date, g.pool, g.k,
+       CAST(coalesce(s.n_counties, 0) AS BIGINT) AS n_counties_forecast, CAST(g.n_queries - coalesce(n.n_cones, 0) AS BIGINT) AS n_counties_skipped,
+       t.truth, s.point, s.p10, s.p50, s.p90, s.p90 - s.p10 AS cone_width_80, coalesce(s.p10 <= t.truth AND t.truth <= s.p90, false) AS in_cone_80,
+       s.point - t.truth AS point_error, b.baseline, b.baseline - t.truth AS baseline_error
+FROM (SELECT year, state, forecast_date, pool, k, count(*) AS n_queries FROM fx_ready
+      CROSS JOIN (VALUES ('same_geoid'), ('cross_county')) AS p(pool) CROSS JOIN (VALUES (3), (5)) AS k(k)
+      WHERE year IN (2000, 2001) GROUP BY ALL) g
+LEFT JOIN fx_state_cones s ON g.year = s.year AND g.state = s.state AND g.forecast_date = s.forecast_date AND g.pool = s.pool AND g.k = s.k
+LEFT JOIN (SELECT pool, k, state, year, forecast_date, count(*) AS n_cones FROM fx_cones GROUP BY ALL) n
+  ON g.year = n.year AND g.state = n.state AND g.forecast_date = n.forecast_date AND g.pool = n.pool AND g.k = n.k
+LEFT JOIN fx_truth t ON g.state = t.state AND g.year = t.year
+LEFT JOIN fx_baseline b ON g.state = b.state AND g.year = b.year
+"""
+VIEWS["fx_score"] = """
+SELECT pool, k, forecast_date, count(*) AS n, sqrt(avg(point_error ** 2)) AS rmse_point, sqrt(avg(baseline_error ** 2)) AS rmse_baseline,
+       sqrt(avg(baseline_error ** 2)) - sqrt(avg(point_error ** 2)) AS rmse_lift, avg(CASE WHEN in_cone_80 THEN 1.0 ELSE 0.0 END) AS coverage_80,
+       avg(cone_width_80) AS mean_width
+FROM fx_backtest WHERE point_error IS NOT NULL AND baseline_error IS NOT NULL GROUP BY ALL
+"""
+VIEWS["fx_bias"] = """
+SELECT pool, k, state, forecast_date, avg(point_error) AS bias, count(*) AS n FROM fx_backtest
+WHERE holdout_year = 2000 AND point_error IS NOT NULL GROUP BY ALL
+"""
+VIEWS["fx_recal"] = """
+SELECT b.holdout_year, b.pool, b.k, b.state, b.forecast_date, b.truth, b.baseline_error, b.point_error, b.cone_width_80,
+       point - coalesce(bias, 0) AS point_recal, p10 - coalesce(bias, 0) AS p10_recal, p90 - coalesce(bias, 0) AS p90_recal,
+       point - coalesce(bias, 0) - truth AS point_error_recal,
+       (p10 - coalesce(bias, 0) <= truth AND truth <= p90 - coalesce(bias, 0)) AS in_cone_80_recal
+FROM fx_backtest b LEFT JOIN fx_bias c USING (pool, k, state, forecast_date) WHERE b.holdout_year = 2001
+"""
+VIEWS["fx_score_recal"] = """
+SELECT pool, k, forecast_date, count(*) AS n, sqrt(avg(point_error_recal ** 2)) AS rmse_point, sqrt(avg(baseline_error ** 2)) AS rmse_baseline,
+       sqrt(avg(baseline_error ** 2)) - sqrt(avg(point_error_recal ** 2)) AS rmse_lift,
+       avg(CASE WHEN in_cone_80_recal THEN 1.0 ELSE 0.0 END) AS coverage_80, avg(cone_width_80) AS mean_width
+FROM fx_recal WHERE point_error_recal IS NOT NULL AND baseline_error IS NOT NULL GROUP BY ALL
+"""
+
+# --- state grain -------------------------------------------------------------
+CLIMATE = ["gdd_cum_f50_c86", "edd_hours_gt86f", "edd_hours_gt90f", "vpd_kpa_veg", "vpd_kpa_silk", "vpd_kpa_grain",
+           "prcp_cum_mm", "dry_spell_max_days", "srad_total_veg", "srad_total_silk", "srad_total_grain",
+           "d0_pct", "d1_pct", "d2_pct", "d3_pct", "d4_pct", "d2plus"]
+_wm = ", ".join(f"sum({c} * w) / nullif(sum(w) FILTER ({c} IS NOT NULL), 0) AS {c}" for c in ["yield_target", *CLIMATE])
+VIEWS["fx_state"] = f"""
+SELECT state, year, forecast_date, {_wm} FROM (
+  SELECT *, coalesce(acres_planted_all, acres_harvested_all, 0.0) AS w FROM fx_master) WHERE w > 0 GROUP BY state, year, forecast_date
+"""
+_st = ", ".join(f"avg({c}) FILTER (year BETWEEN 1995 AND 1999) AS m_{c}, stddev_pop({c}) FILTER (year BETWEEN 1995 AND 1999) AS s_{c}" for c in CLIMATE)
+_zs = ", ".join(f"coalesce(({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END, 0.0)" for c in CLIMATE)
+VIEWS["fx_state_vec"] = f"""
+SELECT state, year, forecast_date, yield_target, [{_zs}] AS vec FROM fx_state CROSS JOIN (SELECT {_st} FROM fx_state) s
+"""
+_PAST = """
+SELECT * FROM (
+  SELECT q.state AS q_state, q.year AS q_year, q.forecast_date, c.state, c.year, c.yield_target, {dist} AS distance,
+         row_number() OVER (PARTITION BY q.state, q.year, q.forecast_date ORDER BY {dist}, c.state, c.year) AS rank
+  FROM fx_state_vec q JOIN fx_state_vec c ON q.forecast_date = c.forecast_date AND c.year < q.year) WHERE rank <= 10
+"""
+VIEWS["fx_past"] = _PAST.format(dist="round(list_distance(q.vec, c.vec), 9)")
+VIEWS["fx_past_cosine"] = _PAST.format(dist="""round(1.0 - list_dot_product(q.vec, c.vec) / CASE WHEN sqrt(list_dot_product(q.vec, q.vec)) * sqrt(list_dot_product(c.vec, c.vec)) = 0
+  THEN 1.0 ELSE sqrt(list_dot_product(q.vec, q.vec)) * sqrt(list_dot_product(c.vec, c.vec)) END, 9)""")
+VIEWS["fx_slices"] = """
+SELECT q.state, q.year, q.forecast_date, q.yield_target AS actual, c.n_analogs, c.p10, c.p50, c.p90,
+       CASE WHEN c.p10 IS NOT NULL THEN CASE WHEN c.p10 <= q.yield_target AND q.yield_target <= c.p90 THEN 1.0 ELSE 0.0 END END AS in_80_cone,
+       q.yield_target - c.p50 AS error, c.p90 - c.p10 AS width
+FROM fx_state q LEFT JOIN (
+  SELECT q_state, q_year, forecast_date, count(yield_target) AS n_analogs, quantile_cont(yield_target, 0.1) AS p10,
+         quantile_cont(yield_target, 0.5) AS p50, quantile_cont(yield_target, 0.9) AS p90 FROM fx_past GROUP BY ALL) c
+  ON q.state = c.q_state AND q.year = c.q_year AND q.forecast_date = c.forecast_date
+WHERE q.year IN (2000, 2001) AND q.yield_target IS NOT NULL
+"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,18 +32,21 @@ def get_session(app: str = "acrescope", cpus: int | str | None = None, **conf) -
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; a local one only if unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="acrescope-", dir=os.environ.get("TMPDIR"))
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, a laptop) is a local
-    folder chosen; on a cluster the setting decides, so a lost executor loses
-    nothing.
+
+def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write a reused intermediate as a table in the shared folder and read it back.
+
+    Later steps start from durable files with known sizes, so they survive lost
+    executors, prune columns and get size-based join strategies.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="acrescope-ckpt-", dir=os.environ.get("TMPDIR"))
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
