@@ -18,12 +18,15 @@ def _percentiles(value: str, percents=PERCENTS) -> list[Column]:
 
 def percentile_cone(analogs: DataFrame, params: DataFrame, query: list[str], entity: str, year: str,
                     residual: str = "detrended_yield_target", params_entity: str = "geoid") -> DataFrame:
-    """p10/p50/p90 and median of analog residuals, retrended at the query's entity and year."""
+    """p10/p50/p90 and median of analog residuals, retrended at the query's entity and year.
+
+    An entity without any trend, its own or its state's, has no cone.
+    """
     cone = analogs.groupBy(*query).agg(
         *_percentiles(residual), F.median(residual).alias("point"), F.count(F.lit(1)).alias("n_analogs"))
-    lines = params.select(F.col(params_entity).alias(entity), "slope", "intercept")
+    lines = params.where(F.col("slope").isNotNull()).select(F.col(params_entity).alias(entity), "slope", "intercept")
     values = [f"p{p}" for p in PERCENTS] + ["point"]
-    return cone.join(lines, entity, "left").withColumns({v: F.col(v) + trend_at(year) for v in values}).drop("slope", "intercept")
+    return cone.join(lines, entity).withColumns({v: F.col(v) + trend_at(year) for v in values}).drop("slope", "intercept")
 
 
 def raw_cone(analogs: DataFrame, query: list[str], target: str = "yield_target") -> DataFrame:

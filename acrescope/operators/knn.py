@@ -143,6 +143,8 @@ def knn_join(queries: DataFrame, candidates: DataFrame, group: list[str], k: int
     schema = T.StructType([fields[n] if n != "distance" else T.StructField("distance", T.DoubleType()) for n in out_names])
     block_key = [*group, "_cell", "_salt", "_qb"]
     compare = _block_compare(out_names, group, q_names, [x for x in keep if x not in group], ties, k, rule, metric)
+    # fresh attributes: both sides may descend from one table
+    q_side, c_side = q_side.toDF(*q_side.columns), c_side.toDF(*c_side.columns)
     best = q_side.groupBy(*block_key).cogroup(c_side.groupBy(*block_key)).applyInPandas(compare, schema)
     return top_k(best, [*group, *q_names], ties, k)
 

@@ -17,11 +17,29 @@ CELL = ["state", "year", "forecast_date", "pool", "k"]
 
 
 class Forecasting:
-    """Each step is a lazy DataFrame; one action plans the whole chain."""
+    """Each step is a lazy DataFrame; tables used by several steps are written once.
+
+    ``of`` shares the written tables between queries of one session over the
+    same input folder, as the hand-off files of a batch run would be.
+    """
+
+    _shared: dict = {}
 
     def __init__(self, fx):
         self.fx = fx
 
+    @classmethod
+    def of(cls, fx) -> Forecasting:
+        key = (fx.spark.sparkContext.applicationId, fx.dir)
+        if key not in cls._shared:
+            cls._shared[key] = cls(fx)
+        return cls._shared[key]
+
+    @classmethod
+    def forget(cls) -> None:
+        """Drop the shared tables, so that the next query starts from the sources."""
+        cls._shared.clear()
+
     @cached_property
     def ready(self) -> DataFrame:
         """The master panel, written once: every later step reads it several times."""

@@ -258,7 +258,7 @@ SELECT a.pool, a.k, a.q_geoid AS geoid, a.q_state AS state, a.q_year AS year, a.
        quantile_cont(detrended, 0.5) + any_value(p.slope * a.q_year + p.intercept) AS point
 FROM (SELECT n.*, k.k FROM (SELECT *, 'same_geoid' AS pool FROM fx_knn_same UNION ALL SELECT *, 'cross_county' FROM fx_knn_cross) n
       JOIN (VALUES (3), (5)) AS k(k) ON n.rank <= k.k) a
-JOIN fx_params p ON a.q_geoid = p.geoid WHERE a.q_year IN (2000, 2001) GROUP BY ALL
+JOIN fx_params p ON a.q_geoid = p.geoid AND p.slope IS NOT NULL WHERE a.q_year IN (2000, 2001) GROUP BY ALL
 """
 VIEWS["fx_state_cones"] = """
 SELECT pool, k, c.state, c.year, forecast_date, sum(p10 * acres) / sum(acres) AS p10, sum(p50 * acres) / sum(acres) AS p50,
@@ -328,7 +328,7 @@ VIEWS["fx_past_cosine"] = _PAST.format(dist="""round(1.0 - list_dot_product(q.ve
   THEN 1.0 ELSE sqrt(list_dot_product(q.vec, q.vec)) * sqrt(list_dot_product(c.vec, c.vec)) END, 9)""")
 VIEWS["fx_slices"] = """
 SELECT q.state, q.year, q.forecast_date, q.yield_target AS actual, c.n_analogs, c.p10, c.p50, c.p90,
-       CASE WHEN c.p10 IS NOT NULL THEN CASE WHEN c.p10 <= q.yield_target AND q.yield_target <= c.p90 THEN 1.0 ELSE 0.0 END END AS in_80_cone,
+       CASE WHEN c.p10 IS NOT NULL THEN CASE WHEN c.p10 <= q.yield_target AND q.yield_target <= c.p90 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS in_80_cone,
        q.yield_target - c.p50 AS error, c.p90 - c.p10 AS width
 FROM fx_state q LEFT JOIN (
   SELECT q_state, q_year, forecast_date, count(yield_target) AS n_analogs, quantile_cont(yield_target, 0.1) AS p10,

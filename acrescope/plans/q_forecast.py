@@ -16,30 +16,30 @@ _QSQL = "q_geoid, q_year, forecast_date, geoid, year, distance, CAST(rank AS INT
 
 @query("knn_join", f"SELECT {_QSQL} FROM fx_knn_cross")
 def _(fx):
-    f = Forecasting(fx)
+    f = Forecasting.of(fx)
     return f.cross_entity(f.vectors).select(*_Q)
 
 
 @query("knn_join_same_entity", f"SELECT {_QSQL} FROM fx_knn_same")
 def _(fx):
-    f = Forecasting(fx)
+    f = Forecasting.of(fx)
     return f.same_entity(f.vectors).select(*_Q)
 
 
 @query("knn_join_past", "SELECT q_state, q_year, forecast_date, state, year, distance, CAST(rank AS INTEGER) AS rank FROM fx_past")
 def _(fx):
-    return Forecasting(fx).past_analogs().select("q_state", "q_year", "forecast_date", "state", "year", "distance", "rank")
+    return Forecasting.of(fx).past_analogs().select("q_state", "q_year", "forecast_date", "state", "year", "distance", "rank")
 
 
 @query("knn_join_past_cosine", "SELECT q_state, q_year, forecast_date, state, year, distance, CAST(rank AS INTEGER) AS rank FROM fx_past_cosine")
 def _(fx):
-    return Forecasting(fx).past_analogs("cosine").select("q_state", "q_year", "forecast_date", "state", "year", "distance", "rank")
+    return Forecasting.of(fx).past_analogs("cosine").select("q_state", "q_year", "forecast_date", "state", "year", "distance", "rank")
 
 
 @query("analog_index_contract", f"""SELECT forecast_date, count(*) AS n_candidates, count(*) FILTER (detrended IS NULL) AS n_null_residuals,
   {fix_sql('avg(detrended)')} AS mean_residual FROM fx_candidates GROUP BY forecast_date""")
 def _(fx):
-    return Forecasting(fx).candidates.groupBy("forecast_date").agg(
+    return Forecasting.of(fx).candidates.groupBy("forecast_date").agg(
         F.count(F.lit(1)).alias("n_candidates"), F.count_if(F.col("detrended_yield_target").isNull()).alias("n_null_residuals"),
         fix(F.avg("detrended_yield_target")).alias("mean_residual"))
 
@@ -49,23 +49,23 @@ _P = ["p10", "p50", "p90", "point"]
 
 @query("percentile_cone", f"SELECT pool, k, geoid, state, year, forecast_date, n_analogs, {rsql(_P)} FROM fx_cones")
 def _(fx):
-    return rounded(Forecasting(fx).cones.select("pool", "k", "geoid", "state", "year", "forecast_date", "n_analogs", *_P), _P)
+    return rounded(Forecasting.of(fx).cones.select("pool", "k", "geoid", "state", "year", "forecast_date", "n_analogs", *_P), _P)
 
 
 @query("cone_rollup", f"SELECT pool, k, state, year, forecast_date, n_counties, {rsql(_P + ['total_acres'])} FROM fx_state_cones")
 def _(fx):
-    return rounded(Forecasting(fx).state_cones, _P + ["total_acres"])
+    return rounded(Forecasting.of(fx).state_cones, _P + ["total_acres"])
 
 
 @query("county_forecast", f"""SELECT geoid, year, forecast_date, {rsql(_P)} FROM fx_cones WHERE pool = 'same_geoid' AND k = 5""")
 def _(fx):
-    rows = Forecasting(fx).cones.where((F.col("pool") == "same_geoid") & (F.col("k") == 5))
+    rows = Forecasting.of(fx).cones.where((F.col("pool") == "same_geoid") & (F.col("k") == 5))
     return rounded(rows.select("geoid", "year", "forecast_date", *_P), _P)
 
 
 @query("state_forecast", f"""SELECT state, year, forecast_date, {rsql(_P)} FROM fx_state_cones WHERE pool = 'same_geoid' AND k = 5""")
 def _(fx):
-    rows = Forecasting(fx).state_cones.where((F.col("pool") == "same_geoid") & (F.col("k") == 5))
+    rows = Forecasting.of(fx).state_cones.where((F.col("pool") == "same_geoid") & (F.col("k") == 5))
     return rounded(rows.select("state", "year", "forecast_date", *_P), _P)
 
 
@@ -74,7 +74,7 @@ _B = ["truth", "point", "p10", "p50", "p90", "cone_width_80", "point_error", "ba
 
 @query("backtest_sweep", f"""SELECT holdout_year, state, forecast_date, pool, k, n_counties_forecast, n_counties_skipped, in_cone_80, {rsql(_B)} FROM fx_backtest""")
 def _(fx):
-    return rounded(Forecasting(fx).backtest, _B)
+    return rounded(Forecasting.of(fx).backtest, _B)
 
 
 _S = ["rmse_point", "rmse_baseline", "rmse_lift", "coverage_80", "mean_width"]
@@ -82,7 +82,7 @@ _S = ["rmse_point", "rmse_baseline", "rmse_lift", "coverage_80", "mean_width"]
 
 @query("score_summary", f"SELECT pool, k, forecast_date, n, {rsql(_S)} FROM fx_score")
 def _(fx):
-    return rounded(scoring.score_summary(Forecasting(fx).backtest, ["pool", "k", "forecast_date"]), _S)
+    return rounded(scoring.score_summary(Forecasting.of(fx).backtest, ["pool", "k", "forecast_date"]), _S)
 
 
 @query("score_summary_state", f"""SELECT pool, k, state, count(*) AS n, {fix_sql('sqrt(avg(point_error ** 2))')} AS rmse_point,
@@ -90,12 +90,12 @@ def _(fx):
   {fix_sql('avg(CASE WHEN in_cone_80 THEN 1.0 ELSE 0.0 END)')} AS coverage_80, {fix_sql('avg(cone_width_80)')} AS mean_width
   FROM fx_backtest WHERE point_error IS NOT NULL AND baseline_error IS NOT NULL GROUP BY pool, k, state""")
 def _(fx):
-    return rounded(scoring.score_summary(Forecasting(fx).backtest, ["pool", "k", "state"]), _S)
+    return rounded(scoring.score_summary(Forecasting.of(fx).backtest, ["pool", "k", "state"]), _S)
 
 
 @query("bias_constants", f"SELECT pool, k, state, forecast_date, n, {fix_sql('bias')} AS bias FROM fx_bias")
 def _(fx):
-    return rounded(Forecasting(fx).bias, ["bias"])
+    return rounded(Forecasting.of(fx).bias, ["bias"])
 
 
 _R = ["point_recal", "p10_recal", "p90_recal", "point_error_recal"]
@@ -103,12 +103,12 @@ _R = ["point_recal", "p10_recal", "p90_recal", "point_error_recal"]
 
 @query("recalibrate", f"SELECT holdout_year, pool, k, state, forecast_date, in_cone_80_recal, {rsql(_R)} FROM fx_recal")
 def _(fx):
-    return rounded(Forecasting(fx).recalibrated.select("holdout_year", "pool", "k", "state", "forecast_date", "in_cone_80_recal", *_R), _R)
+    return rounded(Forecasting.of(fx).recalibrated.select("holdout_year", "pool", "k", "state", "forecast_date", "in_cone_80_recal", *_R), _R)
 
 
 @query("score_summary_recal", f"SELECT pool, k, forecast_date, n, {rsql(_S)} FROM fx_score_recal")
 def _(fx):
-    out = scoring.score_summary(Forecasting(fx).recalibrated, ["pool", "k", "forecast_date"], "point_error_recal", "in_cone_80_recal")
+    out = scoring.score_summary(Forecasting.of(fx).recalibrated, ["pool", "k", "forecast_date"], "point_error_recal", "in_cone_80_recal")
     return rounded(out, _S)
 
 
@@ -118,12 +118,12 @@ _GATE = """SELECT 'same_geoid' AS pool, coalesce(bool_and(ok), false) AS coverag
 
 @query("gates", _GATE.format("fx_score"))
 def _(fx):
-    return scoring.gates(scoring.score_summary(Forecasting(fx).backtest, ["pool", "k", "forecast_date"]))
+    return scoring.gates(scoring.score_summary(Forecasting.of(fx).backtest, ["pool", "k", "forecast_date"]))
 
 
 @query("gates_recal", _GATE.format("fx_score_recal"))
 def _(fx):
-    rows = scoring.score_summary(Forecasting(fx).recalibrated, ["pool", "k", "forecast_date"], "point_error_recal", "in_cone_80_recal")
+    rows = scoring.score_summary(Forecasting.of(fx).recalibrated, ["pool", "k", "forecast_date"], "point_error_recal", "in_cone_80_recal")
     return scoring.gates(rows)
 
 
@@ -133,7 +133,7 @@ def _(fx):
   SELECT state, count(*) AS n, avg(point_error) AS bias, stddev_pop(point_error) AS std, sqrt(avg(point_error ** 2)) AS rmse,
     avg(CASE WHEN in_cone_80 THEN 1.0 ELSE 0.0 END) AS coverage FROM fx_backtest WHERE pool = 'same_geoid' AND k = 5 AND point_error IS NOT NULL GROUP BY state))""")
 def _(fx):
-    rows = Forecasting(fx).backtest.where((F.col("pool") == "same_geoid") & (F.col("k") == 5))
+    rows = Forecasting.of(fx).backtest.where((F.col("pool") == "same_geoid") & (F.col("k") == 5))
     return rounded(scoring.error_decomposition(rows), ["bias", "std", "rmse", "coverage", "bias_share"])
 
 
@@ -142,12 +142,12 @@ def _(fx):
   {fix_sql('avg(abs(error))')} AS mae_p50, {fix_sql('avg(width)')} AS width_mean, {fix_sql('quantile_cont(width, 0.5)')} AS width_median
   FROM fx_slices GROUP BY GROUPING SETS ((), (year), (forecast_date), (state), (state, forecast_date))""")
 def _(fx):
-    return rounded(scoring.score_slices(Forecasting(fx).slice_rows), ["coverage_80", "rmse_p50", "mae_p50", "width_mean", "width_median"])
+    return rounded(scoring.score_slices(Forecasting.of(fx).slice_rows), ["coverage_80", "rmse_p50", "mae_p50", "width_mean", "width_median"])
 
 
 @query("raw_cone", f"""SELECT state, year, forecast_date, n_analogs, in_80_cone, {rsql(['actual', 'p10', 'p50', 'p90', 'error', 'width'])} FROM fx_slices""")
 def _(fx):
-    return rounded(Forecasting(fx).slice_rows, ["actual", "p10", "p50", "p90", "error", "width"])
+    return rounded(Forecasting.of(fx).slice_rows, ["actual", "p10", "p50", "p90", "error", "width"])
 
 
 # the county regressor's place is taken by the entity trend in the checked queries;
@@ -168,7 +168,7 @@ def _csql(by):
 
 
 def phase_c_rows(fx):
-    f = Forecasting(fx)
+    f = Forecasting.of(fx)
     lines = f.panel.join(f.params.select("geoid", "slope", "intercept"), "geoid")
     point = lines.groupBy("state", "year").agg(cone.weighted(trend.trend_at(), F.col("acres_planted_all")).alias("trend_point"))
     rows = f.backtest.where((F.col("pool") == "same_geoid") & (F.col("k") == 5))
@@ -196,7 +196,7 @@ def _(fx):
 @query("pivots", f"""SELECT state, {', '.join(f"{fix_sql(f'''max(point_error) FILTER (lbl = '{y}_{d}')''')} AS e_{y}_{d[:2]}" for y in (2000, 2001) for d in fxm.CONTRACT)}
   FROM (SELECT *, holdout_year || '_' || forecast_date AS lbl FROM fx_backtest WHERE pool = 'same_geoid' AND k = 5) GROUP BY state""")
 def _(fx):
-    rows = Forecasting(fx).backtest.where((F.col("pool") == "same_geoid") & (F.col("k") == 5))
+    rows = Forecasting.of(fx).backtest.where((F.col("pool") == "same_geoid") & (F.col("k") == 5))
     rows = rows.withColumn("label", F.concat_ws("_", F.col("holdout_year").cast("string"), "forecast_date"))
     labels = [f"{y}_{d}" for y in (fxm.VAL_YEAR, fxm.HOLDOUT_YEAR) for d in fxm.CONTRACT]
     out = scoring.pivot_count(rows, ["state"], "label", labels, F.max("point_error"))
@@ -213,7 +213,7 @@ def _(fx):
   WHERE q_year IN (2000, 2001) GROUP BY ALL""")
 def _(fx):
     from acrescope.operators.analog import counterfactual_points
-    f = Forecasting(fx)
+    f = Forecasting.of(fx)
     near = f.same_entity(f.holdout_queries)
     recent = trend.ols_trend(f.train.where(F.col("year").between(1997, 1999)), "geoid", "state", min_years=3)
     out = counterfactual_points(near, f.params, recent, horizon=5).withColumnsRenamed({"q_geoid": "geoid", "q_year": "year"})
@@ -223,7 +223,7 @@ def _(fx):
 @query("trend_residuals", f"""SELECT t.state, t.year, {fix_sql('t.truth')} AS truth, {fix_sql('b.slope * t.year + b.intercept')} AS trend_pred,
   {fix_sql('t.truth - (b.slope * t.year + b.intercept)')} AS residual FROM fx_truth t JOIN fx_fallback b ON t.state = b.state""")
 def _(fx):
-    f = Forecasting(fx)
+    f = Forecasting.of(fx)
     fall = trend.trend_fallback(f.fits, "state").withColumnsRenamed({"state_slope": "slope", "state_intercept": "intercept"})
     out = f.truth.join(fall, "state").withColumn("trend_pred", trend.trend_at())
     return rounded(out.select("state", "year", "truth", "trend_pred", (F.col("truth") - F.col("trend_pred")).alias("residual")), ["truth", "trend_pred", "residual"])

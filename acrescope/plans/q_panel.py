@@ -147,15 +147,15 @@ def _(fx):
 @query("ols_trend", f"SELECT geoid, state, own_fit, {fix_sql('slope')} AS slope, {fix_sql('intercept', 4)} AS intercept FROM fx_params")
 def _(fx):
     from acrescope.plans.forecasting import Forecasting
-    out = Forecasting(fx).params
+    out = Forecasting.of(fx).params
     return out.select("geoid", "state", "own_fit", fix("slope").alias("slope"), fix("intercept", 4).alias("intercept"))
 
 
 @query("detrend_retrend", f"""SELECT m.geoid, m.year, m.forecast_date, {fix_sql('m.yield_target - (p.slope * m.year + p.intercept)')} AS detrended_yield_target,
-  CASE WHEN p.geoid IS NOT NULL THEN {fix_sql('m.yield_target')} END AS back FROM fx_master m LEFT JOIN fx_params p ON m.geoid = p.geoid""")
+  CASE WHEN p.slope IS NOT NULL THEN {fix_sql('m.yield_target')} END AS back FROM fx_master m LEFT JOIN fx_params p ON m.geoid = p.geoid""")
 def _(fx):
     from acrescope.plans.forecasting import Forecasting
-    p = Forecasting(fx).params
+    p = Forecasting.of(fx).params
     d = trend.detrend(joins.skeleton_cross(fx.survey), p, "geoid").withColumn("back", F.col("detrended_yield_target"))
     return rounded(trend.retrend(d, p, "geoid", ["back"]).select("geoid", "year", "forecast_date", "detrended_yield_target", "back"), ["detrended_yield_target", "back"])
 
@@ -163,7 +163,7 @@ def _(fx):
 @query("standardizer_fit", f"SELECT forecast_date, feature, {rsql(['mean', 'std'])} FROM fx_std")
 def _(fx):
     from acrescope.plans.forecasting import Forecasting
-    return rounded(Forecasting(fx).std, ["mean", "std"])
+    return rounded(Forecasting.of(fx).std, ["mean", "std"])
 
 
 _VEC = "[round(x + 3.3e-8, 6) for x in vec]"
@@ -172,7 +172,7 @@ _VEC = "[round(x + 3.3e-8, 6) for x in vec]"
 @query("zscore", f"SELECT geoid, year, forecast_date, {_VEC} AS vec FROM fx_vec")
 def _(fx):
     from acrescope.plans.forecasting import Forecasting
-    return Forecasting(fx).vectors.select("geoid", "year", "forecast_date", F.transform("vec", lambda x: fix(x)).alias("vec"))
+    return Forecasting.of(fx).vectors.select("geoid", "year", "forecast_date", F.transform("vec", lambda x: fix(x)).alias("vec"))
 
 
 @query("vector_assemble", f"""SELECT geoid, year, forecast_date, [round(x + 3.3e-8, 6) for x in CASE WHEN forecast_date = '08-01'
@@ -189,7 +189,7 @@ def _(fx):
 @query("weighted_rollup_all", f"SELECT state, year, forecast_date, {rsql(['yield_target', *CLIMATE])} FROM fx_state")
 def _(fx):
     from acrescope.plans.forecasting import Forecasting
-    return rounded(Forecasting(fx).state_panel, ["yield_target", *CLIMATE])
+    return rounded(Forecasting.of(fx).state_panel, ["yield_target", *CLIMATE])
 
 
 @query("weighted_mean", f"SELECT state, year, {fix_sql('truth')} AS truth FROM fx_truth")

@@ -84,7 +84,7 @@ def main(argv):
     sf_dir = f"{DATA}/sf{sf}"
     queries, oracles = load_catalog()
     names = argv or list(queries)
-    spark = get_session(cpus=8, **{"spark.driver.memory": "12g"})
+    spark = get_session(cpus=8, **{"spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con, failed = connect(sf_dir), []
     for name in names:
