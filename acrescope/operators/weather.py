@@ -41,68 +41,85 @@ def cutoff_range_join(daily: DataFrame, keys: list[str], date: str = "date") ->
     return spread_to_dates(in_season(daily, date))
 
 
-def season_cumulative(daily: DataFrame, keys: list[str]) -> DataFrame:
-    """Degree days, degree hours and rain from 1 May to each cutoff."""
+def _cumulative() -> tuple[dict, dict]:
+    """(partial, final) aggregates of the season sums."""
     sums = {
         "gdd_cum_f50_c86": S.gdd_capped("tmin_c", "tmax_c"),
         "edd_hours_gt86f": S.degree_hours("tmin_c", "tmax_c", K.HEAT_THRESHOLDS_F[0]),
         "edd_hours_gt90f": S.degree_hours("tmin_c", "tmax_c", K.HEAT_THRESHOLDS_F[1]),
         "prcp_cum_mm": F.col("prcp_mm"),
     }
-    partial = in_season(daily).groupBy(*keys, "interval").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    return spread_to_dates(partial).groupBy(*keys, "forecast_date").agg(
-        *[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in sums]
-    )
+    return {n: F.sum(c) for n, c in sums.items()}, {n: F.coalesce(F.sum(n), F.lit(0.0)) for n in sums}
 
 
-def phase_window_agg(daily: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean vapour deficit and total radiation per crop phase, clipped to each cutoff."""
-    doy = F.dayofyear("date")
-    partials = []
+def _phases() -> tuple[dict, dict]:
+    """(partial, final) aggregates of the crop phase windows.
+
+    A phase with days but no reading sums to zero; one without days is NULL.
+    """
+    doy, partial, final = F.dayofyear("date"), {}, {}
     for name, (low, high) in K.PHASE_DOY.items():
         here = doy.between(low, high)
-        partials += [
-            F.sum(F.when(here, F.col("vpd_kpa"))).alias(f"_vs_{name}"),
-            F.count(F.when(here, F.col("vpd_kpa"))).alias(f"_vn_{name}"),
-            F.sum(F.when(here, F.col("srad_mjm2"))).alias(f"_ss_{name}"),
-            F.count(F.when(here, F.lit(1))).alias(f"_sn_{name}"),
-        ]
-    partial = in_season(daily).groupBy(*keys, "interval").agg(*partials)
-    finals = []
-    for name in K.PHASE_DOY:
-        finals += [
-            F.try_divide(F.sum(f"_vs_{name}"), F.sum(f"_vn_{name}")).alias(f"vpd_kpa_{name}"),
-            F.when(F.sum(f"_sn_{name}") > 0, F.coalesce(F.sum(f"_ss_{name}"), F.lit(0.0))).alias(f"srad_total_{name}"),
-        ]
-    return spread_to_dates(partial).groupBy(*keys, "forecast_date").agg(*finals)
-
-
-def longest_run(daily: DataFrame, keys: list[str], flag=None) -> DataFrame:
-    """Longest run of dry rows from 1 May to each cutoff.
+        partial |= {
+            f"_vs_{name}": F.sum(F.when(here, F.col("vpd_kpa"))), f"_vn_{name}": F.count(F.when(here, F.col("vpd_kpa"))),
+            f"_ss_{name}": F.sum(F.when(here, F.col("srad_mjm2"))), f"_sn_{name}": F.count(F.when(here, F.lit(1))),
+        }
+        final |= {
+            f"vpd_kpa_{name}": F.try_divide(F.sum(f"_vs_{name}"), F.sum(f"_vn_{name}")),
+            f"srad_total_{name}": F.when(F.sum(f"_sn_{name}") > 0, F.coalesce(F.sum(f"_ss_{name}"), F.lit(0.0))),
+        }
+    return partial, final
+
+
+def _named(aggs: dict) -> list:
+    return [c.alias(n) for n, c in aggs.items()]
+
+
+def _two_level(daily: DataFrame, keys: list[str], partial: dict, final: dict) -> DataFrame:
+    per_interval = in_season(daily).groupBy(*keys, "interval").agg(*_named(partial))
+    return spread_to_dates(per_interval).groupBy(*keys, "forecast_date").agg(*_named(final))
+
+
+def season_cumulative(daily: DataFrame, keys: list[str]) -> DataFrame:
+    """Degree days, degree hours and rain from 1 May to each cutoff."""
+    return _two_level(daily, keys, *_cumulative())
 
-    Runs are numbered by the wet rows before them. Keys must hold the year, so
-    a window partition is at most one season of days; the later groupings reuse
-    its partitioning.
+
+def phase_window_agg(daily: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean vapour deficit and total radiation per crop phase, clipped to each cutoff."""
+    return _two_level(daily, keys, *_phases())
+
+
+def _numbered_runs(daily: DataFrame, keys: list[str]) -> DataFrame:
+    """Season days with the number of wet days so far, which names the dry run.
+
+    Keys must hold the year, so a window partition is one season of days.
     """
-    dry = S.is_dry("prcp_mm") if flag is None else flag
     w = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    runs = (
-        in_season(daily)
-        .select(*keys, "date", "interval", dry.alias("dry"))
-        .withColumn("run", F.sum((~F.col("dry")).cast("int")).over(w))
-        .groupBy(*keys, "run", "interval")
-        .agg(F.count_if("dry").alias("days"))
-    )
-    return (
-        spread_to_dates(runs)
-        .groupBy(*keys, "forecast_date", "run")
-        .agg(F.sum("days").alias("days"))
-        .groupBy(*keys, "forecast_date")
-        .agg(F.max("days").cast("double").alias("dry_spell_max_days"))
-    )
+    dry = in_season(daily).withColumn("dry", S.is_dry("prcp_mm"))
+    return dry.withColumn("run", F.sum((~F.col("dry")).cast("int")).over(w))
+
+
+def _by_run(daily: DataFrame, keys: list[str], partial: dict, final: dict) -> DataFrame:
+    per_run = _numbered_runs(daily, keys).groupBy(*keys, "run", "interval").agg(F.count_if("dry").alias("days"), *_named(partial))
+    carried = [F.sum(n).alias(n) for n in partial]
+    per_date = spread_to_dates(per_run).groupBy(*keys, "forecast_date", "run").agg(F.sum("days").alias("days"), *carried)
+    return per_date.groupBy(*keys, "forecast_date").agg(F.max("days").cast("double").alias("dry_spell_max_days"), *_named(final))
+
+
+def longest_run(daily: DataFrame, keys: list[str]) -> DataFrame:
+    """Longest run of dry rows from 1 May to each cutoff.
+
+    The groupings after the window reuse its partitioning: one shuffle in all.
+    """
+    return _by_run(daily, keys, {}, {})
 
 
 def season_features(daily: DataFrame, keys: list[str]) -> DataFrame:
-    """All eleven weather features per (keys, forecast date)."""
-    on = [*keys, "forecast_date"]
-    return season_cumulative(daily, keys).join(phase_window_agg(daily, keys), on).join(longest_run(daily, keys), on)
+    """All eleven weather features per (keys, forecast date) from one shuffle.
+
+    Sums ride along with the dry runs: every grouping is inside the partitions
+    the run window made, so no feature group is computed or joined apart.
+    """
+    (p1, f1), (p2, f2) = _cumulative(), _phases()
+    return _by_run(daily, keys, p1 | p2, f1 | f2)

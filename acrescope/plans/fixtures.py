@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from acrescope.functions import scalars as S
 from acrescope.operators import joins, panel, weather
+from acrescope.session import cut_lineage
 
 TRAIN_YEARS, VAL_YEAR, HOLDOUT_YEAR = (1995, 1999), 2000, 2001
 MIN_YEARS = 3
@@ -126,6 +127,29 @@ class Fixtures:
         return self.table("orders").select((c % 4).alias("shard"), k.alias("seq"), line.alias("line"))
 
     # --- derived by the engine ------------------------------------------------
+    @cached_property
+    def entity_day(self) -> DataFrame:
+        """Weather and survey sums per entity and day, written once.
+
+        The join of lines, orders and customers is the only step that touches
+        every line; the panel's weather and survey halves both start from here.
+        """
+        q = F.col("l_quantity")
+        rows = self.line.groupBy("geoid", "state", F.col("d").alias("date"), F.col("y").alias("year")).agg(
+            (F.min("l_quantity") - 10).alias("tmin_c"), (F.max("l_quantity") - 5).alias("tmax_c"),
+            (F.sum("l_discount") * 50).alias("prcp_mm"), (F.avg("l_extendedprice") / 4000).alias("srad_mjm2"),
+            (F.avg("l_tax") * 40).alias("vpd_kpa"),
+            F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.sum(q).alias("quantity"),
+            F.sum(q * (1 - F.col("l_tax"))).alias("harvested"), F.sum(F.when(F.col("l_returnflag") == "R", q)).alias("irrigated"))
+        return cut_lineage(rows, "entity-day")
+
+    @cached_property
+    def survey_saved(self) -> DataFrame:
+        rows = self.entity_day.groupBy("geoid", "state", "year").agg(
+            (F.sum("revenue") / F.sum("quantity") / 10).alias("yield_target"), F.sum("quantity").alias("acres_planted_all"),
+            F.sum("harvested").alias("acres_harvested_all"), F.sum("irrigated").alias("acres_harvested_irr"))
+        return panel.ratio_clip(rows)
+
     @cached_property
     def survey(self) -> DataFrame:
         return panel.ratio_clip(self.panel)
@@ -136,7 +160,10 @@ class Fixtures:
 
     @cached_property
     def drought(self) -> DataFrame:
-        out = joins.asof_strict(self.weekly, "state", "valid_end", ["d0", "d1", "d2", "d3", "d4"], self.years)
+        return self.drought_for(self.years)
+
+    def drought_for(self, years: DataFrame) -> DataFrame:
+        out = joins.asof_strict(self.weekly, "state", "valid_end", ["d0", "d1", "d2", "d3", "d4"], years)
         return out.select("state", "year", "forecast_date", *[F.col(f"d{i}").alias(f"d{i}_pct") for i in range(5)],
                           F.col("d2").alias("d2plus"), "valid_end")
 
@@ -147,7 +174,9 @@ class Fixtures:
 
     @cached_property
     def master(self) -> DataFrame:
-        return panel.assemble_panel(self.survey, self.weather, self.drought.drop("valid_end"), ["geoid", "state"], "state")
+        features = weather.season_features(self.entity_day, ["geoid", "state", "year"])
+        years = self.entity_day.select("year").distinct()
+        return panel.assemble_panel(self.survey_saved, features, self.drought_for(years).drop("valid_end"), ["geoid", "state"], "state")
 
     @cached_property
     def ready(self) -> DataFrame:

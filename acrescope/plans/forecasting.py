@@ -69,12 +69,14 @@ class Forecasting:
     @cached_property
     def vectors(self) -> DataFrame:
         rows = self.ready.where("complete")
-        return trend.zscore(rows, self.std, fxm.CONTRACT).select("geoid", "state", "year", "forecast_date", "vec")
+        out = trend.zscore(rows, self.std, fxm.CONTRACT).select("geoid", "state", "year", "forecast_date", "vec")
+        return cut_lineage(out, "vectors")
 
     @cached_property
     def candidates(self) -> DataFrame:
         rows = trend.zscore(trend.detrend(self.train, self.params, "geoid"), self.std, fxm.CONTRACT)
-        return rows.select("geoid", "state", "year", "forecast_date", "yield_target", "detrended_yield_target", "vec")
+        rows = rows.select("geoid", "state", "year", "forecast_date", "yield_target", "detrended_yield_target", "vec")
+        return cut_lineage(rows, "candidates")
 
     def same_entity(self, queries: DataFrame, k: int = 5) -> DataFrame:
         q = queries.select("geoid", "year", "forecast_date", "vec")
@@ -146,7 +148,8 @@ class Forecasting:
     @cached_property
     def state_vectors(self) -> DataFrame:
         train = self.state_panel.where(F.col("year").between(*fxm.TRAIN_YEARS))
-        return trend.zscore_global(self.state_panel, train, CLIMATE).select("state", "year", "forecast_date", "yield_target", "vec")
+        out = trend.zscore_global(self.state_panel, train, CLIMATE).select("state", "year", "forecast_date", "yield_target", "vec")
+        return cut_lineage(out, "state_vectors")
 
     def past_analogs(self, metric: str = "euclidean", k: int = 10) -> DataFrame:
         return knn.knn_join(self.state_vectors, self.state_vectors, ["forecast_date"], k, ["state", "year"], ["state", "year"],

@@ -111,6 +111,15 @@ def _models(fx):
     return f, val, ml.gbt_fit_all(f.train, val, fxm.CONTRACT, "yield_target", max_iter=8, max_depth=3)
 
 
+@query("gbt_fit")
+def _(fx):
+    """Size and training error of each date's model."""
+    f, _val, models = _models(fx)
+    fitted = ml.gbt_predict(f.train, models, fxm.CONTRACT).withColumn("e", F.col("prediction") - F.col("yield_target"))
+    size = fx.spark.createDataFrame([(d, m.getNumTrees, m.totalNumNodes) for d, m in models.items()], "forecast_date string, n_trees int, n_nodes int")
+    return fitted.groupBy("forecast_date").agg(F.count(F.lit(1)).alias("n_train"), F.round(scoring.rmse("e"), 6).alias("rmse_train")).join(size, "forecast_date")
+
+
 @query("gbt_predict")
 def _(fx):
     """Fit one boosted model per date, predict validation and holdout rows."""

@@ -82,20 +82,24 @@ def _(fx):
     return panel.reorder(some, ["geoid", "year", "forecast_date", "yield_target"], [["prcp_cum_mm"], ["d0_pct"]])
 
 
-@query("embedding_cols")
+_WIDTHS = [(d, len(K.retrieval_columns(d)), len(K.model_columns(d)), len(c)) for d, c in fxm.CONTRACT.items()]
+
+
+@query("embedding_cols", f"""SELECT forecast_date, count(*) FILTER (complete) AS n_complete, n_retrieval, n_model, n_bound FROM fx_ready
+  JOIN (VALUES {', '.join(f"('{d}', {a}, {b}, {c})" for d, a, b, c in _WIDTHS)}) AS w(forecast_date, n_retrieval, n_model, n_bound) USING (forecast_date) GROUP BY ALL""")
 def _(fx):
-    """Per date: rows whose contract columns are all present in the panel schema."""
+    """Per date: width of each column contract and rows complete for the bound one."""
     have = set(fx.master.columns)
-    rows = [(d, len(K.retrieval_columns(d)), len(K.model_columns(d)), len([c for c in K.retrieval_columns(d) if c in have])) for d in K.FORECAST_DATES]
+    rows = [(d, len(K.retrieval_columns(d)), len(K.model_columns(d)), len([c for c in K.retrieval_columns(d) if c in have and c != "d0_pct"])) for d in K.FORECAST_DATES]
     dim = fx.spark.createDataFrame(rows, "forecast_date string, n_retrieval int, n_model int, n_bound int")
     return fx.ready.groupBy("forecast_date").agg(F.count_if("complete").alias("n_complete")).join(dim, "forecast_date")
 
 
-@query("select_features")
+@query("select_features", f"SELECT forecast_date, {', '.join(f'{fix_sql(f"avg({c})")} AS {c}' for c in CLIMATE)} FROM fx_master GROUP BY forecast_date")
 def _(fx):
     """Climate columns present in the state panel, averaged per date."""
     cols = panel.numeric_features(fx.master, {"geoid", "state", "year"}, list(K.CLIMATE_FEATURES))
-    return fx.master.groupBy("forecast_date").agg(*[F.round(F.avg(c), 6).alias(c) for c in cols])
+    return fx.master.groupBy("forecast_date").agg(*[fix(F.avg(c)).alias(c) for c in cols])
 
 
 @query("sort_enum", "SELECT geoid, year, forecast_date, CAST(date_rank AS INTEGER) AS date_rank FROM fx_panel CROSS JOIN fx_dates ORDER BY geoid, year, date_rank")

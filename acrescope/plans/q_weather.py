@@ -51,6 +51,14 @@ def _(fx):
     return weather.longest_run(fx.daily, KEYS)
 
 
+_W11 = [*_CUM, *_PHASE, "dry_spell_max_days"]
+
+
+@query("season_features", f"SELECT geoid, state, year, forecast_date, {rsql(_W11)} FROM fx_weather")
+def _(fx):
+    return rounded(weather.season_features(fx.daily, KEYS), _W11)
+
+
 @query("cutoff_date", """SELECT geoid, year, forecast_date, cutoff,
   CASE WHEN forecast_date = 'EOS' THEN make_date(year, 11, 15) ELSE cutoff END AS chip_cutoff
   FROM fx_panel JOIN fx_cutoffs USING (year)""")
