@@ -98,7 +98,7 @@ STRUCTURAL_FEATURES = ("year", "acres_planted_all", "state")
 
 
 def retrieval_columns(forecast_date: str) -> list[str]:
-    """Ordered retrieval contract: 15 columns at 08-01, 17 afterwards."""
+    """Ordered retrieval contract: 16 columns at 08-01, 18 afterwards."""
     grain = () if forecast_date == FORECAST_DATES[0] else GRAIN_FEATURES
     return [*RETRIEVAL_ALWAYS, *grain, *RETRIEVAL_STATIC]
 

@@ -67,9 +67,9 @@ def outer_metric_merge(metrics: dict[str, DataFrame], keys: list[str], value: st
     return wide.where(F.coalesce(*[F.col(c) for c in required]).isNotNull())
 
 
-def asof_strict(readings: DataFrame, key: str, at: str, values: list[str], years: DataFrame,
+def asof_strict(readings: DataFrame, key: str, at: str, values: list[str], wanted: DataFrame,
                 table: dict = K.WEATHER_CUTOFF_MD) -> DataFrame:
-    """Latest reading strictly before each cutoff, per key.
+    """Latest reading strictly before each cutoff of the wanted (key, year) pairs.
 
     Instead of a range join, each reading is tagged with the first cutoff after
     it and only the latest per (key, cutoff) survives a combined aggregate. What
@@ -91,14 +91,13 @@ def asof_strict(readings: DataFrame, key: str, at: str, values: list[str], years
         F.struct(F.lit(d).alias("forecast_date"),
                  F.make_date(F.col("year"), F.lit(table[d][0]), F.lit(table[d][1])).alias("cutoff"))
         for d in K.FORECAST_DATES]))
-    wanted = (
-        latest.select(key).distinct().join(years.select("year").distinct())
-        .select(key, "year", dates.alias("_d"))
+    asked = (
+        wanted.select(key, "year").distinct().select(key, "year", dates.alias("_d"))
         .select(key, "_d.cutoff", F.lit(None).cast(latest.schema["reading"].dataType).alias("reading"),
                 "year", "_d.forecast_date")
     )
     w = Window.partitionBy(key).orderBy("cutoff").rangeBetween(Window.unboundedPreceding, 0)
-    carried = latest.unionByName(wanted).withColumn("seen", F.last("reading", ignorenulls=True).over(w))
+    carried = latest.unionByName(asked).withColumn("seen", F.last("reading", ignorenulls=True).over(w))
     hit = carried.where(F.col("year").isNotNull() & F.col("seen").isNotNull())
     return hit.select(key, "year", "forecast_date", *[f"seen.{v}" for v in values], f"seen.{at}")
 

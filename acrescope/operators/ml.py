@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import factorial
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
@@ -28,6 +30,12 @@ def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumn("features", F.when(whole, vec))
 
 
+def in_threads(jobs: list[Callable], parallelism: int = 4) -> list:
+    """Submit independent fits side by side, as Spark's own tuning classes do."""
+    with ThreadPool(min(parallelism, len(jobs))) as pool:
+        return pool.map(inheritable_thread_target(lambda job: job()), jobs)
+
+
 def gbt_fit(train: DataFrame, val: DataFrame, features: list[str], target: str, max_iter: int = 20, max_depth: int = 3,
             step: float = 0.1, subsample: float = 1.0, min_rows: int = 1, seed: int = 42) -> GBTRegressionModel:
     """Squared-error boosting with early stop on the validation rows.
@@ -43,9 +51,10 @@ def gbt_fit(train: DataFrame, val: DataFrame, features: list[str], target: str,
 
 
 def gbt_fit_all(train: DataFrame, val: DataFrame, by_date: dict[str, list[str]], target: str, **params) -> dict[str, GBTRegressionModel]:
-    """One model per date; each fit is a distributed job over that date's rows."""
+    """One model per date; each fit is a distributed job, and the fits overlap."""
     on = lambda df, d: df.where(F.col("forecast_date") == d)
-    return {d: gbt_fit(on(train, d), on(val, d), cols, target, **params) for d, cols in by_date.items()}
+    fits = in_threads([lambda d=d, cols=cols: gbt_fit(on(train, d), on(val, d), cols, target, **params) for d, cols in by_date.items()])
+    return dict(zip(by_date, fits))
 
 
 def gbt_predict(rows: DataFrame, models: dict[str, GBTRegressionModel], by_date: dict[str, list[str]]) -> DataFrame:
@@ -70,12 +79,14 @@ def grid_sweep(train: DataFrame, val: DataFrame, features: list[str], target: st
     from acrescope.operators.scoring import rmse
 
     train, val = train.persist(), val.persist()
-    scores = []
-    for i, params in enumerate(grid):
+
+    def score(i, params):
         model = gbt_fit(train, val, features, target, **params)
         pred = model.transform(_assembled(val, features).where(F.col("features").isNotNull()))
         row = pred.withColumn("_e", F.col("prediction") - F.col(target)).agg(rmse("_e").alias("r"), F.count(F.lit(1)).alias("n")).first()
-        scores.append((i, str(sorted(params.items())), row["r"], row["n"]))
+        return i, str(sorted(params.items())), row["r"], row["n"]
+
+    scores = in_threads([lambda i=i, params=params: score(i, params) for i, params in enumerate(grid)])
     train.unpersist(), val.unpersist()
     best = min(scores, key=lambda s: (s[2], s[0]))
     table = val.sparkSession.createDataFrame(scores, "seq int, params string, rmse double, n long")

@@ -169,13 +169,13 @@ class Fixtures:
 
     @cached_property
     def years(self) -> DataFrame:
-        """Calendar years with weather: one row per year."""
-        return self.line.select(F.col("y").alias("year")).distinct()
+        """(state, year) pairs with weather."""
+        return self.line.select("state", F.col("y").alias("year")).distinct()
 
     @cached_property
     def master(self) -> DataFrame:
         features = weather.season_features(self.entity_day, ["geoid", "state", "year"])
-        years = self.entity_day.select("year").distinct()
+        years = self.entity_day.select("state", "year").distinct()
         return panel.assemble_panel(self.survey_saved, features, self.drought_for(years).drop("valid_end"), ["geoid", "state"], "state")
 
     @cached_property
