@@ -180,20 +180,21 @@ def scene_phase(day) -> Column:
 
 
 # --- scenes ------------------------------------------------------------------
-def scene_part(scene_id, group: int) -> Column:
-    part = F.regexp_extract(_col(scene_id), K.SCENE_ID_PATTERN, group)
-    return F.when(part != "", part)
+def valid_scene_id(scene_id) -> Column:
+    """The id itself where it has the fixed layout, else NULL."""
+    return F.when(_col(scene_id).rlike(K.SCENE_ID_PATTERN), _col(scene_id))
 
 
-def parse_scene_id(scene_id) -> dict[str, Column]:
-    year, doy = scene_part(scene_id, 3).cast("int"), scene_part(scene_id, 4).cast("int")
-    clock = scene_part(scene_id, 5)
+def parse_scene_id(valid_id) -> dict[str, Column]:
+    """Parts of a valid id. Its layout is fixed-width, so substrings do."""
+    text = _col(valid_id)
+    year, doy = F.substring(text, 16, 4).cast("int"), F.substring(text, 20, 3).cast("int")
     return {
-        "sensor": scene_part(scene_id, 1),
-        "tile": scene_part(scene_id, 2),
+        "sensor": F.substring(text, 5, 3),
+        "tile": F.substring(text, 10, 5),
         "scene_date": F.date_add(F.make_date(year, F.lit(1), F.lit(1)), doy - 1),
-        "scene_time": F.concat_ws(":", F.substring(clock, 1, 2), F.substring(clock, 3, 2), F.substring(clock, 5, 2)),
-        "version": scene_part(scene_id, 6),
+        "scene_time": F.concat(F.substring(text, 24, 2), F.lit(":"), F.substring(text, 26, 2), F.lit(":"), F.substring(text, 28, 2)),
+        "version": F.substring(text, 32, 20),
     }
 
 

@@ -25,13 +25,13 @@ def scene_meta(raw: DataFrame, json: str, keep: list[str]) -> DataFrame:
 def parsed_scenes(scenes: DataFrame, scene_id: str = "granule_id") -> tuple[DataFrame, DataFrame]:
     """(good, quarantined) rows; good ones carry sensor, tile, date and phase.
 
-    The parts go through a one-element explode: a generator keeps the optimizer
-    from copying the pattern matches into every later use of a part.
+    Validity and parts go through one-element explodes: a generator keeps the
+    optimizer from copying their expressions into every later use.
     """
-    parts = S.parse_scene_id(scene_id)
-    packed = F.explode(F.array(F.struct(*[c.alias(n) for n, c in parts.items()])))
-    rest = [c for c in scenes.columns if c not in parts]
-    rows = scenes.select(*rest, packed.alias("_s")).select(*rest, "_s.*")
+    rest = [c for c in scenes.columns if c not in S.parse_scene_id("_ok")]
+    checked = scenes.select(*rest, F.explode(F.array(S.valid_scene_id(scene_id))).alias("_ok"))
+    packed = F.explode(F.array(F.struct(*[c.alias(n) for n, c in S.parse_scene_id("_ok").items()])))
+    rows = checked.select(*rest, packed.alias("_s")).select(*rest, "_s.*")
     rows = rows.withColumn("phase", F.explode(F.array(S.scene_phase("scene_date"))))
     return rows.where(F.col("sensor").isNotNull()), rows.where(F.col("sensor").isNull())
 

@@ -21,6 +21,20 @@ GRAIN = ["vpd_kpa_grain", "srad_total_grain"]
 CONTRACT = {"08-01": ALWAYS, "09-01": ALWAYS + GRAIN, "10-01": ALWAYS + GRAIN, "EOS": ALWAYS + GRAIN}
 
 
+# explicit schemas: no footer is read to plan a query
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+}
+
+
 class Fixtures:
     """Lazily built inputs for one folder of parquet tables."""
 
@@ -31,7 +45,16 @@ class Fixtures:
         return f"{self.dir}/{name}.parquet"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
+
+    def spread(self, rows: DataFrame, source: str) -> DataFrame:
+        """Spread rows for work that is heavy per row and comes before any shuffle.
+
+        Only where the source lies in fewer splits than half the cores; a table
+        with files enough is left as it is and costs no shuffle.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if self.table(source).rdd.getNumPartitions() < cores // 2 else rows
 
     @cached_property
     def entity(self) -> DataFrame:
@@ -85,7 +108,8 @@ class Fixtures:
             F.lit("HLS."), F.when(F.col("l_linenumber") % 2 == 0, "L30").otherwise("S30"), F.lit(".T"),
             F.lpad(txt(F.col("l_suppkey") % 60), 2, "0"), F.lit("TVH."), txt(F.col("y")),
             F.lpad(txt(F.dayofyear("d")), 3, "0"), F.lit("T"), F.lpad(txt(F.col("l_orderkey") % 240000), 6, "0"), F.lit(".v2.0"))
-        return self.line.where(F.month("d").between(5, 11)).select(
+        rows = self.spread(self.line.where(F.month("d").between(5, 11)), "lineitem")
+        return rows.select(
             "geoid", "state", F.col("y").alias("year"), F.col("d").alias("scene_date"), gid.alias("granule_id"),
             (F.col("l_extendedprice") / 1000).alias("cloud_pct"), (1 - F.col("l_quantity") / 50.0).alias("valid_pixel_frac"),
             (F.col("l_tax") * 10).alias("corn_pixel_frac"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from acrescope import constants as K
 from acrescope.functions import scalars as S
-from acrescope.operators import cone, joins, panel, trend
+from acrescope.operators import cone, joins, panel, trend, weather
 from acrescope.plans import fixtures as fxm
 from acrescope.plans.catalog import query
 from acrescope.plans.oracle_views import CLIMATE
@@ -24,7 +24,8 @@ _ALL = ["yield_target", "irrigated_share", "harvest_ratio", *_W, "d0_pct", "d2pl
   {fix_sql('max(dry_spell_max_days)')} AS dry_spell_max_days FROM fx_master GROUP BY state, year, forecast_date""")
 def _(fx):
     w = F.col("acres_planted_all")
-    base = joins.left_join_checked(joins.skeleton_cross(fx.survey), fx.weather, ["geoid", "state", "year", "forecast_date"], "weather")
+    features = weather.season_features(fx.entity_day, ["geoid", "state", "year"])
+    base = joins.left_join_checked(joins.skeleton_cross(fx.survey_saved), features, ["geoid", "state", "year", "forecast_date"], "weather")
     return base.groupBy("state", "year", "forecast_date").agg(
         F.count(F.lit(1)).alias("n_counties"), fix(cone.weighted(F.col("yield_target"), w)).alias("yield_weighted"),
         fix(cone.weighted(F.col("gdd_cum_f50_c86"), w)).alias("gdd_weighted"),

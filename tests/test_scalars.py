@@ -54,10 +54,10 @@ def test_scene_phases_have_gaps(spark, day, want):
 
 
 def test_scene_id(spark):
-    parts = S.parse_scene_id(F.lit("HLS.S30.T14TPP.2020134T170851.v2.0"))
+    parts = S.parse_scene_id(S.valid_scene_id(F.lit("HLS.S30.T14TPP.2020134T170851.v2.0")))
     row = one(spark, **parts)
     assert (row.sensor, row.tile, str(row.scene_date), row.scene_time, row.version) == ("S30", "14TPP", "2020-05-13", "17:08:51", "2.0")
-    assert one(spark, v=S.parse_scene_id(F.lit("HLS.X30.T14TPP.2020134T170851.v2.0"))["sensor"]).v is None
+    assert one(spark, v=S.parse_scene_id(S.valid_scene_id(F.lit("HLS.X30.T14TPP.2020134T170851.v2.0")))["sensor"]).v is None
 
 
 @pytest.mark.parametrize("state,year", [("IA", 2018), ("NE", 2020), ("WI", 2013)])
