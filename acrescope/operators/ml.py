@@ -13,7 +13,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from acrescope import constants as K
@@ -30,10 +30,10 @@ def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumn("features", F.when(whole, vec))
 
 
-def in_threads(jobs: list[Callable], parallelism: int = 4) -> list:
+def in_threads(spark: SparkSession, jobs: list[Callable], parallelism: int = 4) -> list:
     """Submit independent fits side by side, as Spark's own tuning classes do."""
     with ThreadPool(min(parallelism, len(jobs))) as pool:
-        return pool.map(inheritable_thread_target(lambda job: job()), jobs)
+        return pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs)
 
 
 def gbt_fit(train: DataFrame, val: DataFrame, features: list[str], target: str, max_iter: int = 20, max_depth: int = 3,
@@ -53,7 +53,7 @@ def gbt_fit(train: DataFrame, val: DataFrame, features: list[str], target: str,
 def gbt_fit_all(train: DataFrame, val: DataFrame, by_date: dict[str, list[str]], target: str, **params) -> dict[str, GBTRegressionModel]:
     """One model per date; each fit is a distributed job, and the fits overlap."""
     on = lambda df, d: df.where(F.col("forecast_date") == d)
-    fits = in_threads([lambda d=d, cols=cols: gbt_fit(on(train, d), on(val, d), cols, target, **params) for d, cols in by_date.items()])
+    fits = in_threads(train.sparkSession, [lambda d=d, cols=cols: gbt_fit(on(train, d), on(val, d), cols, target, **params) for d, cols in by_date.items()])
     return dict(zip(by_date, fits))
 
 
@@ -86,7 +86,7 @@ def grid_sweep(train: DataFrame, val: DataFrame, features: list[str], target: st
         row = pred.withColumn("_e", F.col("prediction") - F.col(target)).agg(rmse("_e").alias("r"), F.count(F.lit(1)).alias("n")).first()
         return i, str(sorted(params.items())), row["r"], row["n"]
 
-    scores = in_threads([lambda i=i, params=params: score(i, params) for i, params in enumerate(grid)])
+    scores = in_threads(train.sparkSession, [lambda i=i, params=params: score(i, params) for i, params in enumerate(grid)])
     train.unpersist(), val.unpersist()
     best = min(scores, key=lambda s: (s[2], s[0]))
     table = val.sparkSession.createDataFrame(scores, "seq int, params string, rmse double, n long")

@@ -136,9 +136,9 @@ def _(fx):
     return joins.unmatched(rows, rows.where("l_suppkey % 3 > 0"), ["chip_path"])
 
 
-@query("expect_unique", "SELECT granule_id, geoid, count(*) AS n FROM fx_index WHERE geoid NOT LIKE '00%' GROUP BY ALL HAVING count(*) > 1")
+@query("expect_unique", "SELECT tile, scene_date, count(*) AS n FROM fx_index WHERE geoid NOT LIKE '00%' GROUP BY ALL HAVING count(*) > 1")
 def _(fx):
-    return quality.expect_unique(index(fx), ["granule_id", "geoid"], exempt=F.col("geoid").startswith("00"))
+    return quality.expect_unique(index(fx), ["tile", "scene_date"], exempt=F.col("geoid").startswith("00"))
 
 
 _IDX = """(SELECT geoid, CASE WHEN l_orderkey % 4 = 0 THEN NULL ELSE chip_path END AS chip_path, CASE WHEN l_partkey % 10 = 0 THEN NULL ELSE 1 END AS corn_pixel_count, corn_pixel_frac, valid_pixel_frac,
