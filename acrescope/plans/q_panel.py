@@ -9,6 +9,7 @@ from acrescope.functions import scalars as S
 from acrescope.operators import cone, joins, panel, trend, weather
 from acrescope.plans import fixtures as fxm
 from acrescope.plans.catalog import query
+from acrescope.plans.forecasting import Forecasting
 from acrescope.plans.oracle_views import CLIMATE
 from acrescope.plans.rounding import fix, fix_sql, rounded, rsql
 
@@ -24,8 +25,9 @@ _ALL = ["yield_target", "irrigated_share", "harvest_ratio", *_W, "d0_pct", "d2pl
   {fix_sql('max(dry_spell_max_days)')} AS dry_spell_max_days FROM fx_master GROUP BY state, year, forecast_date""")
 def _(fx):
     w = F.col("acres_planted_all")
-    features = weather.season_features(fx.entity_day, ["geoid", "state", "year"])
-    base = joins.left_join_checked(joins.skeleton_cross(fx.survey_saved), features, ["geoid", "state", "year", "forecast_date"], "weather")
+    shared = Forecasting.of(fx).fx
+    features = weather.season_features(shared.entity_day, ["geoid", "state", "year"])
+    base = joins.left_join_checked(joins.skeleton_cross(shared.survey_saved), features, ["geoid", "state", "year", "forecast_date"], "weather")
     return base.groupBy("state", "year", "forecast_date").agg(
         F.count(F.lit(1)).alias("n_counties"), fix(cone.weighted(F.col("yield_target"), w)).alias("yield_weighted"),
         fix(cone.weighted(F.col("gdd_cum_f50_c86"), w)).alias("gdd_weighted"),
@@ -67,19 +69,20 @@ def _(fx):
 
 @query("completeness_flag", "SELECT geoid, year, forecast_date, complete FROM fx_ready")
 def _(fx):
-    return fx.ready.select("geoid", "year", "forecast_date", "complete")
+    flag = S.complete_for_date("forecast_date", fxm.CONTRACT)
+    return Forecasting.of(fx).ready.select("geoid", "year", "forecast_date", flag.alias("complete"))
 
 
 @query("group_coverage", """SELECT year, forecast_date, count(*) AS n_rows, count(*) FILTER (yield_target IS NOT NULL
   AND coalesce(gdd_cum_f50_c86, prcp_cum_mm) IS NOT NULL AND coalesce(d0_pct, d2plus) IS NOT NULL) AS n_covered FROM fx_master GROUP BY ALL""")
 def _(fx):
     ok = F.col("yield_target").isNotNull() & S.any_present(["gdd_cum_f50_c86", "prcp_cum_mm"]) & S.any_present(["d0_pct", "d2plus"])
-    return fx.master.groupBy("year", "forecast_date").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(ok).alias("n_covered"))
+    return Forecasting.of(fx).ready.groupBy("year", "forecast_date").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(ok).alias("n_covered"))
 
 
 @query("reorder_cols", f"SELECT year, geoid, forecast_date, {rsql(['yield_target', 'd0_pct', 'prcp_cum_mm'])} FROM fx_master")
 def _(fx):
-    some = rounded(fx.master.select("d0_pct", "geoid", "yield_target", "year", "prcp_cum_mm", "forecast_date"), ["yield_target", "d0_pct", "prcp_cum_mm"])
+    some = rounded(Forecasting.of(fx).ready.select("d0_pct", "geoid", "yield_target", "year", "prcp_cum_mm", "forecast_date"), ["yield_target", "d0_pct", "prcp_cum_mm"])
     return panel.reorder(some, ["geoid", "year", "forecast_date", "yield_target"], [["prcp_cum_mm"], ["d0_pct"]])
 
 
@@ -90,17 +93,17 @@ _WIDTHS = [(d, len(K.retrieval_columns(d)), len(K.model_columns(d)), len(c)) for
   JOIN (VALUES {', '.join(f"('{d}', {a}, {b}, {c})" for d, a, b, c in _WIDTHS)}) AS w(forecast_date, n_retrieval, n_model, n_bound) USING (forecast_date) GROUP BY ALL""")
 def _(fx):
     """Per date: width of each column contract and rows complete for the bound one."""
-    have = set(fx.master.columns)
+    have = set(Forecasting.of(fx).ready.columns)
     rows = [(d, len(K.retrieval_columns(d)), len(K.model_columns(d)), len([c for c in K.retrieval_columns(d) if c in have and c != "d0_pct"])) for d in K.FORECAST_DATES]
     dim = fx.spark.createDataFrame(rows, "forecast_date string, n_retrieval int, n_model int, n_bound int")
-    return fx.ready.groupBy("forecast_date").agg(F.count_if("complete").alias("n_complete")).join(dim, "forecast_date")
+    return Forecasting.of(fx).ready.groupBy("forecast_date").agg(F.count_if("complete").alias("n_complete")).join(dim, "forecast_date")
 
 
 @query("select_features", f"SELECT forecast_date, {', '.join(f'{fix_sql(f"avg({c})")} AS {c}' for c in CLIMATE)} FROM fx_master GROUP BY forecast_date")
 def _(fx):
     """Climate columns present in the state panel, averaged per date."""
-    cols = panel.numeric_features(fx.master, {"geoid", "state", "year"}, list(K.CLIMATE_FEATURES))
-    return fx.master.groupBy("forecast_date").agg(*[fix(F.avg(c)).alias(c) for c in cols])
+    cols = panel.numeric_features(Forecasting.of(fx).ready, {"geoid", "state", "year"}, list(K.CLIMATE_FEATURES))
+    return Forecasting.of(fx).ready.groupBy("forecast_date").agg(*[fix(F.avg(c)).alias(c) for c in cols])
 
 
 @query("sort_enum", "SELECT geoid, year, forecast_date, CAST(date_rank AS INTEGER) AS date_rank FROM fx_panel CROSS JOIN fx_dates ORDER BY geoid, year, date_rank")
@@ -128,14 +131,14 @@ def _(fx):
 
 @query("min_history", "SELECT r.geoid, r.year, r.forecast_date, h.n_years FROM fx_ready r JOIN fx_history h ON r.geoid = h.geoid WHERE h.n_years >= 3")
 def _(fx):
-    counts = panel.qualifying_history(fx.ready, "geoid", fxm.TRAIN_YEARS)
-    return panel.min_history(fx.ready, "geoid", fxm.MIN_YEARS, fxm.TRAIN_YEARS).join(counts, "geoid").select("geoid", "year", "forecast_date", "n_years")
+    counts = panel.qualifying_history(Forecasting.of(fx).ready, "geoid", fxm.TRAIN_YEARS)
+    return panel.min_history(Forecasting.of(fx).ready, "geoid", fxm.MIN_YEARS, fxm.TRAIN_YEARS).join(counts, "geoid").select("geoid", "year", "forecast_date", "n_years")
 
 
 @query("semi_keep", "SELECT geoid, year, forecast_date FROM fx_ready WHERE geoid IN (SELECT geoid FROM fx_history WHERE n_years >= 4)")
 def _(fx):
-    kept = panel.qualifying_history(fx.ready, "geoid", fxm.TRAIN_YEARS).where("n_years >= 4")
-    return joins.semi_keep(fx.ready, kept, ["geoid"]).select("geoid", "year", "forecast_date")
+    kept = panel.qualifying_history(Forecasting.of(fx).ready, "geoid", fxm.TRAIN_YEARS).where("n_years >= 4")
+    return joins.semi_keep(Forecasting.of(fx).ready, kept, ["geoid"]).select("geoid", "year", "forecast_date")
 
 
 @query("split_pools", """SELECT 'train' AS pool, geoid, year, forecast_date FROM fx_train
@@ -144,14 +147,13 @@ def _(fx):
 def _(fx):
     cols = ["geoid", "year", "forecast_date"]
     tag = lambda df, name: df.select(F.lit(name).alias("pool"), *cols)
-    train = panel.train_pool(fx.ready, "geoid", fxm.MIN_YEARS, fxm.TRAIN_YEARS)
-    return tag(train, "train").unionByName(tag(fx.ready.where(F.col("year") == fxm.VAL_YEAR), "val")) \
-        .unionByName(tag(fx.ready.where(F.col("year") == fxm.HOLDOUT_YEAR), "holdout"))
+    train = panel.train_pool(Forecasting.of(fx).ready, "geoid", fxm.MIN_YEARS, fxm.TRAIN_YEARS)
+    return tag(train, "train").unionByName(tag(Forecasting.of(fx).ready.where(F.col("year") == fxm.VAL_YEAR), "val")) \
+        .unionByName(tag(Forecasting.of(fx).ready.where(F.col("year") == fxm.HOLDOUT_YEAR), "holdout"))
 
 
 @query("ols_trend", f"SELECT geoid, state, own_fit, {fix_sql('slope')} AS slope, {fix_sql('intercept', 4)} AS intercept FROM fx_params")
 def _(fx):
-    from acrescope.plans.forecasting import Forecasting
     out = Forecasting.of(fx).params
     return out.select("geoid", "state", "own_fit", fix("slope").alias("slope"), fix("intercept", 4).alias("intercept"))
 
@@ -159,7 +161,6 @@ def _(fx):
 @query("detrend_retrend", f"""SELECT m.geoid, m.year, m.forecast_date, {fix_sql('m.yield_target - (p.slope * m.year + p.intercept)')} AS detrended_yield_target,
   CASE WHEN p.slope IS NOT NULL THEN {fix_sql('m.yield_target')} END AS back FROM fx_master m LEFT JOIN fx_params p ON m.geoid = p.geoid""")
 def _(fx):
-    from acrescope.plans.forecasting import Forecasting
     p = Forecasting.of(fx).params
     d = trend.detrend(joins.skeleton_cross(fx.survey), p, "geoid").withColumn("back", F.col("detrended_yield_target"))
     return rounded(trend.retrend(d, p, "geoid", ["back"]).select("geoid", "year", "forecast_date", "detrended_yield_target", "back"), ["detrended_yield_target", "back"])
@@ -167,7 +168,6 @@ def _(fx):
 
 @query("standardizer_fit", f"SELECT forecast_date, feature, {rsql(['mean', 'std'])} FROM fx_std")
 def _(fx):
-    from acrescope.plans.forecasting import Forecasting
     return rounded(Forecasting.of(fx).std, ["mean", "std"])
 
 
@@ -176,14 +176,13 @@ _VEC = "[round(x + 3.3e-8, 6) for x in vec]"
 
 @query("zscore", f"SELECT geoid, year, forecast_date, {_VEC} AS vec FROM fx_vec")
 def _(fx):
-    from acrescope.plans.forecasting import Forecasting
     return Forecasting.of(fx).vectors.select("geoid", "year", "forecast_date", F.transform("vec", lambda x: fix(x)).alias("vec"))
 
 
 @query("vector_assemble", f"""SELECT geoid, year, forecast_date, [round(x + 3.3e-8, 6) for x in CASE WHEN forecast_date = '08-01'
   THEN [{', '.join(fxm.ALWAYS)}] ELSE [{', '.join(fxm.ALWAYS + fxm.GRAIN)}] END] AS features FROM fx_ready WHERE complete""")
 def _(fx):
-    rows = fx.ready.where("complete")
+    rows = Forecasting.of(fx).ready.where("complete")
     arr = None
     for d, cols in fxm.CONTRACT.items():
         a = F.array(*[fix(c) for c in cols])
@@ -193,18 +192,17 @@ def _(fx):
 
 @query("weighted_rollup_all", f"SELECT state, year, forecast_date, {rsql(['yield_target', *CLIMATE])} FROM fx_state")
 def _(fx):
-    from acrescope.plans.forecasting import Forecasting
     return rounded(Forecasting.of(fx).state_panel, ["yield_target", *CLIMATE])
 
 
 @query("weighted_mean", f"SELECT state, year, {fix_sql('truth')} AS truth FROM fx_truth")
 def _(fx):
-    return rounded(cone.weighted_mean(fx.master, "geoid", "state"), ["truth"])
+    return rounded(cone.weighted_mean(Forecasting.of(fx).ready, "geoid", "state"), ["truth"])
 
 
 @query("weight_lookup", f"SELECT geoid, state, year, {fix_sql('acres')} AS acres FROM fx_weights")
 def _(fx):
-    return cone.entity_weights(fx.master, "geoid", "state").select("geoid", "state", "year", fix("acres_planted_all").alias("acres"))
+    return cone.entity_weights(Forecasting.of(fx).ready, "geoid", "state").select("geoid", "state", "year", fix("acres_planted_all").alias("acres"))
 
 
 @query("lookback_mean", f"SELECT geoid, year, {fix_sql('m')} AS mean_5 FROM fx_look5")
@@ -239,4 +237,4 @@ def _(fx):
   FROM fx_ready WHERE complete AND acres_planted_all IS NOT NULL GROUP BY state, year, forecast_date""")
 def _(fx):
     from acrescope.operators.documents import anchor_entity
-    return rounded(anchor_entity(fx.ready, ["state", "year", "forecast_date"], "geoid", "acres_planted_all"), ["acres"])
+    return rounded(anchor_entity(Forecasting.of(fx).ready, ["state", "year", "forecast_date"], "geoid", "acres_planted_all"), ["acres"])

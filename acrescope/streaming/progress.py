@@ -15,15 +15,24 @@ ALL_DONE = r"ALL CELLS DONE in ([\d.]+) minutes"
 GRID_CELLS = 60
 
 
-def _number(pattern: str, group: int, kind: str = "long"):
-    return F.regexp_extract("line", pattern, group).try_cast(kind)
+def _number(pattern: str, marker: str, group: int, kind: str = "long"):
+    """A number of a line; the pattern only runs on lines holding its marker."""
+    return F.when(F.col("line").contains(marker), F.regexp_extract("line", pattern, group).try_cast(kind))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    return lines.select(
-        "*", _number(TODO, 1).alias("planned"), _number(TODO, 2).alias("skipped"), _number(SIZE, 1, "double").alias("gb"),
-        _number(DOWNLOADED, 4).alias("files"), _number(EXTRACTED, 5).alias("chips"), _number(CELL_DONE, 4).alias("granules"),
-        _number(CELL_DONE, 3, "double").alias("cell_seconds"), F.col("line").rlike(ALL_DONE).alias("all_done"))
+    """Typed fields of each line.
+
+    They go through a one-element explode, so that each pattern is matched once
+    per line however often the aggregates use its field.
+    """
+    fields = {
+        "planned": _number(TODO, "resume-skip", 1), "skipped": _number(TODO, "resume-skip", 2),
+        "gb": _number(SIZE, "approx download size", 1, "double"), "files": _number(DOWNLOADED, "downloaded", 4),
+        "chips": _number(EXTRACTED, "chips written", 5), "granules": _number(CELL_DONE, "granules processed", 4),
+        "cell_seconds": _number(CELL_DONE, "granules processed", 3, "double"), "all_done": F.col("line").contains("ALL CELLS DONE") & F.col("line").rlike(ALL_DONE)}
+    packed = F.explode(F.array(F.struct(*[c.alias(n) for n, c in fields.items()])))
+    return lines.select("*", packed.alias("_f")).select(*lines.columns, "_f.*")
 
 
 def progress_metrics(lines: DataFrame, by: list[str]) -> DataFrame:
