@@ -73,25 +73,34 @@ def _pivots(candidates: DataFrame, group: list[str], ids: list[str], n: int) ->
     return picked.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_rn", "_v")))["_v"].alias("_pivots"))
 
 
-def _cells(placed: DataFrame, group: list[str], k: int, block: int) -> DataFrame:
-    """Per group one array of cell summaries: radius range, size, nearest members.
+def _cells(placed: DataFrame, q: DataFrame, group: list[str], k: int, block: int, rule: str) -> DataFrame:
+    """Per (group, query year) one array with a summary of every cell.
 
-    The nearest k per year let a query bound its k-th distance under any year
-    rule. Size per group: pivots x years x k, whatever the data volume.
+    A summary holds the radius range, the number of salts and the radius within
+    which k members allowed for that year lie. Its size is the number of
+    pivots, whatever the data volume: only the k nearest members per cell and
+    year enter it.
     """
     w = Window.partitionBy(*group, "_cell", "year").orderBy("_r")
-    near = (
-        placed.select(*group, "_cell", "year", "_r").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
-        .groupBy(*group, "_cell").agg(F.collect_list(F.struct(F.col("_r").alias("r"), F.col("year").alias("year"))).alias("near"))
+    near = placed.select(*group, "_cell", "year", "_r").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+    years = q.select(*group, "q_year").distinct()
+    kth = (
+        years.join(near, group).where(_allowed(F.col("year"), F.col("q_year"), rule))
+        .groupBy(*group, "q_year", "_cell").agg(F.get(F.sort_array(F.collect_list("_r")), F.lit(k - 1)).alias("rk"))
     )
     size = placed.groupBy(*group, "_cell").agg(F.min("_r").alias("rmin"), F.max("_r").alias("rmax"), F.count(F.lit(1)).alias("n"))
-    both = size.join(near, [*group, "_cell"]).withColumn("salts", F.ceil(F.col("n") / block).cast("int"))
-    return both.groupBy(*group).agg(F.collect_list(F.struct("_cell", "rmin", "rmax", "salts", "near")).alias("_cells"))
+    rows = years.join(size, group).join(kth, [*group, "q_year", "_cell"], "left").withColumn("salts", F.ceil(F.col("n") / block).cast("int"))
+    return rows.groupBy(*group, "q_year").agg(F.collect_list(F.struct("_cell", "rmin", "rmax", "salts", "rk")).alias("_cells"))
+
+
+def pivot_count(candidates: DataFrame) -> int:
+    """Pivots for a candidate table: about an eighth of the root of its rows, 4 to 512."""
+    return int(min(512, max(4, candidates.count() ** 0.5 / 8)))
 
 
 def knn_join(queries: DataFrame, candidates: DataFrame, group: list[str], k: int, query_id: list[str],
              ties: list[str], rule: str = "other", metric: str = "euclidean", vec: str = "vec",
-             pivots: int = 16, block: int = BLOCK_ROWS) -> DataFrame:
+             pivots: int | None = None, block: int = BLOCK_ROWS) -> DataFrame:
     """Exact k nearest candidates of the same group for every query.
 
     Returns the group, ``q_<id>`` columns, all candidate columns but the
@@ -105,22 +114,23 @@ def knn_join(queries: DataFrame, candidates: DataFrame, group: list[str], k: int
     keep = [c for c in candidates.columns if c != vec]
     c = candidates.select(*keep, as_vec("c").alias("_v"))
 
-    piv = _pivots(c, group, ties, pivots)
+    piv = _pivots(c, group, ties, pivots or pivot_count(candidates))
     # array of (distance, pivot number); the smallest struct is the nearest pivot
     to_pivots = F.transform("_pivots", lambda p, i: F.struct(S.euclidean(F.col("_v"), p).alias("d"), i.alias("i")))
     placed = (
         c.join(piv, group).withColumn("_near", F.array_min(to_pivots))
         .withColumn("_cell", F.col("_near.i")).withColumn("_r", F.col("_near.d")).drop("_near", "_pivots")
     )
-    cells = _cells(placed, group, k, block)
+    cells = _cells(placed, q, group, k, block, rule)
 
-    reach = q.join(piv, group).join(cells, group)
+    reach = q.join(piv, group).join(cells, [*group, "q_year"])
     measured = F.transform("_cells", lambda s: F.struct(
-        s["_cell"].alias("cell"), s["rmin"].alias("rmin"), s["rmax"].alias("rmax"), s["salts"].alias("salts"), s["near"].alias("near"),
+        s["_cell"].alias("cell"), s["rmin"].alias("rmin"), s["rmax"].alias("rmax"), s["salts"].alias("salts"), s["rk"].alias("rk"),
         S.euclidean(F.col("_v"), F.get(F.col("_pivots"), s["_cell"])).alias("d")))
-    kth = lambda s: s["d"] + F.coalesce(F.get(F.array_sort(F.transform(
-        F.filter(s["near"], lambda m: _allowed(m["year"], F.col("q_year"), rule)), lambda m: m["r"])), F.lit(k - 1)), F.lit(float("inf")))
-    reach = reach.withColumn("_m", measured).withColumn("_bound", F.array_min(F.transform("_m", kth)))
+    kth = lambda s: F.coalesce(s["d"] + s["rk"], F.lit(float("inf")))
+    # the explode keeps the distances from being computed once per later use
+    reach = reach.select(*group, *q_names, "_v", F.explode(F.array(measured)).alias("_m"))
+    reach = reach.withColumn("_bound", F.array_min(F.transform("_m", kth)))
     open_cells = F.filter("_m", lambda s: F.greatest(s["d"] - s["rmax"], s["rmin"] - s["d"]) <= F.col("_bound") + _SLACK)
     reach = reach.withColumn("_s", F.explode(open_cells)).withColumn("_cell", F.col("_s.cell"))
     reach = reach.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s.salts") - 1)))
@@ -129,8 +139,7 @@ def knn_join(queries: DataFrame, candidates: DataFrame, group: list[str], k: int
     load = q.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_qblocks"))
     q_side = reach.join(load, group).withColumn("_qb", F.pmod(F.xxhash64(*q_names), F.col("_qblocks")).cast("int")) \
         .select(*group, *q_names, "_v", "_cell", "_salt", "_qb")
-    salts = F.explode(F.col("_cells"))
-    cell_salts = cells.select(*group, salts.alias("_s")).select(*group, F.col("_s._cell").alias("_cell"), F.col("_s.salts").alias("_salts"))
+    cell_salts = placed.groupBy(*group, "_cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_salts"))
     c_side = (
         placed.join(cell_salts, [*group, "_cell"]).join(load, group)
         .withColumn("_salt", F.pmod(F.xxhash64(*ties), F.col("_salts")).cast("int"))
@@ -141,10 +150,14 @@ def knn_join(queries: DataFrame, candidates: DataFrame, group: list[str], k: int
     out_names = [*group, *q_names, *[x for x in keep if x not in group], "distance"]
     fields = {f.name: f for df in (q_side, c_side) for f in df.schema.fields}
     schema = T.StructType([fields[n] if n != "distance" else T.StructField("distance", T.DoubleType()) for n in out_names])
-    block_key = [*group, "_cell", "_salt", "_qb"]
     compare = _block_compare(out_names, group, q_names, [x for x in keep if x not in group], ties, k, rule, metric)
+    block_key = [*group, "_cell", "_salt", "_qb"]
     # fresh attributes: both sides may descend from one table
     q_side, c_side = q_side.toDF(*q_side.columns), c_side.toDF(*c_side.columns)
+    # blocks are small in bytes and heavy in work: a stated number of partitions
+    # keeps them from being packed into a few tasks
+    n = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q_side, c_side = q_side.repartition(n, *block_key), c_side.repartition(n, *block_key)
     best = q_side.groupBy(*block_key).cogroup(c_side.groupBy(*block_key)).applyInPandas(compare, schema)
     return top_k(best, [*group, *q_names], ties, k)
 
