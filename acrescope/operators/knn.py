@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from acrescope.functions import scalars as S
 
 BLOCK_ROWS = 20_000
+BROADCAST_BYTES = 8 << 20
 DISTANCE_DIGITS = 9
 _SLACK = 1e-6  # keeps float noise from ruling out a cell that ties the bound
 
@@ -93,9 +94,15 @@ def _cells(placed: DataFrame, q: DataFrame, group: list[str], k: int, block: int
     return rows.groupBy(*group, "q_year").agg(F.collect_list(F.struct("_cell", "rmin", "rmax", "salts", "rk")).alias("_cells"))
 
 
-def pivot_count(candidates: DataFrame) -> int:
-    """Pivots for a candidate table: about an eighth of the root of its rows, 4 to 512."""
-    return int(min(512, max(4, candidates.count() ** 0.5 / 8)))
+def _measure(queries: DataFrame, candidates: DataFrame, group: list[str], vec: str) -> tuple[int, int, int, int]:
+    """(candidates, groups, (group, query year) pairs, dimensions), one pass over each side."""
+    rows, groups, dims = candidates.agg(F.count(F.lit(1)), F.count_distinct(*group), F.max(F.array_size(vec))).first()
+    return rows, groups, queries.agg(F.count_distinct(*group, "year")).first()[0], dims or 0
+
+
+def _checked_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """Hint a broadcast only where measured rows times their width stay small."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
 def knn_join(queries: DataFrame, candidates: DataFrame, group: list[str], k: int, query_id: list[str],
@@ -114,14 +121,17 @@ def knn_join(queries: DataFrame, candidates: DataFrame, group: list[str], k: int
     keep = [c for c in candidates.columns if c != vec]
     c = candidates.select(*keep, as_vec("c").alias("_v"))
 
-    piv = _pivots(c, group, ties, pivots or pivot_count(candidates))
+    n_rows, n_groups, n_years, dims = _measure(queries, candidates, group, vec)
+    if pivots is None:  # about an eighth of the root of the candidates
+        pivots = int(min(512, max(4, n_rows ** 0.5 / 8)))
+    piv = _checked_broadcast(_pivots(c, group, ties, pivots), n_groups, 8 * (dims + 4) * pivots)
     # array of (distance, pivot number); the smallest struct is the nearest pivot
     to_pivots = F.transform("_pivots", lambda p, i: F.struct(S.euclidean(F.col("_v"), p).alias("d"), i.alias("i")))
     placed = (
         c.join(piv, group).withColumn("_near", F.array_min(to_pivots))
         .withColumn("_cell", F.col("_near.i")).withColumn("_r", F.col("_near.d")).drop("_near", "_pivots")
     )
-    cells = _cells(placed, q, group, k, block, rule)
+    cells = _checked_broadcast(_cells(placed, q, group, k, block, rule), n_years, 64 * pivots)
 
     reach = q.join(piv, group).join(cells, [*group, "q_year"])
     measured = F.transform("_cells", lambda s: F.struct(
@@ -137,9 +147,10 @@ def knn_join(queries: DataFrame, candidates: DataFrame, group: list[str], k: int
 
     # both sides of a cell are split, so no block outgrows `block` rows by skew
     load = q.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_qblocks"))
+    load = _checked_broadcast(load, n_groups, 64)
     q_side = reach.join(load, group).withColumn("_qb", F.pmod(F.xxhash64(*q_names), F.col("_qblocks")).cast("int")) \
         .select(*group, *q_names, "_v", "_cell", "_salt", "_qb")
-    cell_salts = placed.groupBy(*group, "_cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_salts"))
+    cell_salts = _checked_broadcast(placed.groupBy(*group, "_cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_salts")), n_groups * pivots, 64)
     c_side = (
         placed.join(cell_salts, [*group, "_cell"]).join(load, group)
         .withColumn("_salt", F.pmod(F.xxhash64(*ties), F.col("_salts")).cast("int"))
