@@ -86,7 +86,6 @@ MANAGEMENT = ("irrigated_share", "is_irrigated_reported", "harvest_ratio", "acre
 # fixed values: the five modelled states
 STATES = {"08": "CO", "19": "IA", "29": "MO", "31": "NE", "55": "WI"}
 STATE_NAMES = {"CO": "Colorado", "IA": "Iowa", "MO": "Missouri", "NE": "Nebraska", "WI": "Wisconsin"}
-SCENE_QC = ("chip_count", "chip_age_days_max", "cloud_pct_max", "corn_pixel_frac_min")
 # fixed values: climate-only retrieval columns at state grain
 CLIMATE_FEATURES = (
     "gdd_cum_f50_c86", "edd_hours_gt86f", "edd_hours_gt90f", "vpd_kpa_veg", "vpd_kpa_silk",

@@ -12,12 +12,6 @@ from pyspark.sql import functions as F
 from acrescope import constants as K
 
 
-def date_dim(df: DataFrame) -> DataFrame:
-    """The four forecast dates with their order, as a local relation."""
-    rows = [(d, i) for i, d in enumerate(K.FORECAST_DATES)]
-    return df.sparkSession.createDataFrame(rows, "forecast_date string, date_rank int")
-
-
 def skeleton_cross(entities: DataFrame) -> DataFrame:
     """One row per entity row and forecast date; a narrow explode of four labels."""
     labels = F.array(*[F.struct(F.lit(d).alias("forecast_date"), F.lit(i).alias("date_rank"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acrescope import constants as K
 from acrescope.functions import scalars as S
 from acrescope.operators.joins import left_join_checked, skeleton_cross
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from acrescope import constants as K
 from acrescope.functions import scalars as S
 
 
@@ -34,6 +35,14 @@ def priority_pick(records: DataFrame, state: str, value: str, period: str, seen:
     return first_per_key(rows, [state, "stage"], ["priority", "_seen"]).drop("_seen")
 
 
+def stage_array(picks: DataFrame, state: str) -> DataFrame:
+    """Picked values per state as one array in chart order (at most four stages)."""
+    order = S.map_codes("stage", {s: i for i, s in enumerate(K.STAGE_ORDER)})
+    entry = F.struct(order.alias("seq"), F.col("stage").alias("stage"), F.bround("parsed", 1).alias("value"))
+    return picks.groupBy(state).agg(F.array_sort(F.collect_list(entry)).alias("_s")).select(
+        state, F.col("_s.stage").alias("stages"), F.col("_s.value").alias("reported"))
+
+
 def county_finals(records: DataFrame) -> DataFrame:
     """Counts, suppressed counts and the spread of final values per state."""
     rows = records.where(~S.is_placeholder("county_ansi", "county_name")).select(

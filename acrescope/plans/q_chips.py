@@ -9,7 +9,7 @@ from acrescope.functions import scalars as S
 from acrescope.operators import chips, joins, quality
 from acrescope.plans.catalog import query
 from acrescope.plans.oracle_views import VIEWS
-from acrescope.plans.rounding import fix, fix_sql, rounded, rsql
+from acrescope.plans.rounding import fix_sql, rounded, rsql
 
 _MD = "(month(scene_date) * 100 + day(scene_date))"
 _PHASE = f"CASE WHEN {_MD} BETWEEN 717 AND 815 THEN 'aug1' WHEN {_MD} BETWEEN 817 AND 915 THEN 'sep1' WHEN {_MD} BETWEEN 917 AND 1015 THEN 'oct1' WHEN {_MD} BETWEEN 1017 AND 1115 THEN 'final' END"
@@ -46,7 +46,7 @@ def _(fx):
   ('nir_narrow', 'B05', 'B8A'), ('swir1', 'B06', 'B11'), ('swir2', 'B07', 'B12'), ('fmask', 'Fmask', 'Fmask')) AS b(role, l, s) GROUP BY ALL""")
 def _(fx):
     per = index(fx).groupBy("sensor").agg(F.count(F.lit(1)).alias("n_scenes"))
-    return per.join(chips.band_table(fx.spark), "sensor")
+    return per.join(chips.band_table(fx.spark), "sensor").where(F.col("band") == F.coalesce(*[F.when(F.col("role") == r, S.band_code("sensor", r)) for r in K.BAND_CODES["L30"]]))
 
 
 @query("scene_meta", """SELECT granule_id, l_orderkey, l_partkey, CASE WHEN l_orderkey % 3 < 2 THEN cloud_pct END AS cloud_pct FROM fx_scene""")

@@ -9,7 +9,7 @@ from acrescope.functions import scalars as S
 from acrescope.operators import landuse as L
 from acrescope.plans.catalog import query
 from acrescope.plans.oracle_views import VIEWS
-from acrescope.plans.rounding import fix, fix_sql, rounded, rsql
+from acrescope.plans.rounding import fix_sql, rounded, rsql
 
 _NAMES = list(K.LAND_CLASSES.values())
 _ids = ", ".join(f"({i}, '{n}')" for i, n in K.LAND_CLASSES.items())
@@ -67,6 +67,16 @@ def _(fx):
     return L.factor_join(fx.classcount, "image_id")
 
 
+_cit = ", ".join(f"('{k}', '{v}')" for k, v in K.CITATIONS.items())
+
+
+@query("cited_sources", f"""SELECT source, citation, count(DISTINCT image_id) AS n_images FROM (
+  SELECT n.image_id, unnest([f.annual_source, f.embodied_source]) AS source FROM fx_classcount n JOIN fx_factor f ON n.class_id = f.class_id WHERE pixel_count > 0)
+  JOIN (VALUES {_cit}) AS c(source, citation) USING (source) GROUP BY ALL""")
+def _(fx):
+    return L.cited_sources(fx.classcount, "image_id")
+
+
 _SCEN = [("forest", "agriculture", 0.5), ("agriculture", "forest", 1.0), ("building", "forest", 0.5)]
 _q = lambda e: f"round_even(({e}) / 100.0 * 100000000, 0)"
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from acrescope.functions import scalars as S
-from acrescope.operators import chips, cone, documents, joins, landuse, ml, scoring, trend
+from acrescope.operators import chips, cone, documents, landuse, ml, scoring, trend
 from acrescope.plans import fixtures as fxm
 from acrescope.plans.catalog import query
 from acrescope.plans.forecasting import Forecasting

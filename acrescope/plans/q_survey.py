@@ -70,6 +70,15 @@ def _(fx):
     return survey.priority_pick(fx.reported, "state_ansi", "value", "reference_period_desc", "c_custkey")
 
 
+@query("stage_array", f"""SELECT state_ansi, list(stage ORDER BY seq) AS stages, list(round_even(parsed, 1) ORDER BY seq) AS reported FROM (
+  SELECT state_ansi, stage, parsed, CASE stage WHEN 'Aug 1' THEN 0 WHEN 'Sep 1' THEN 1 WHEN 'Oct 1' THEN 2 ELSE 3 END AS seq FROM (
+  SELECT state_ansi, {_STAGE} AS stage, {_VALUE} AS parsed,
+    row_number() OVER (PARTITION BY state_ansi, {_STAGE} ORDER BY {_RANK}, c_custkey) AS rn
+  FROM fx_reported WHERE ({_VALUE}) IS NOT NULL AND ({_STAGE}) IS NOT NULL) WHERE rn = 1) GROUP BY state_ansi""")
+def _(fx):
+    return survey.stage_array(survey.priority_pick(fx.reported, "state_ansi", "value", "reference_period_desc", "c_custkey"), "state_ansi")
+
+
 @query("county_finals", f"""SELECT state_ansi, count(*) FILTER (parsed IS NOT NULL) AS n_counties, count(*) FILTER (parsed IS NULL) AS n_missing,
   {fix_sql('avg(parsed)')} AS mean_yield, round_even(min(parsed), 1) AS min_yield, round_even(max(parsed), 1) AS max_yield
   FROM (SELECT state_ansi, {_VALUE} AS parsed FROM fx_reported

@@ -76,6 +76,15 @@ def test_progress_reads_every_line_kind(spark):
     assert total.estimated_granules == 40 + 59 * 40 and total.estimated_gb == pytest.approx(2400 * 1.5)
 
 
+def test_progress_runs_on_a_stream_of_log_files(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "s1.log").write_text("after resume-skip: 40 granules to download (2 already done)\n[1/40] X -> 9 rows (3 chips written)\n")
+    run = progress.stream_progress(spark, str(tmp_path / "logs"), "progress_from_files")
+    run.awaitTermination()
+    row = spark.table("progress_from_files").first()
+    assert (row.shard, row.planned, row.chips) == ("s1.log", 40, 3)
+
+
 # --- plans -------------------------------------------------------------------
 def plan_of(df):
     return df._jdf.queryExecution().toString()
