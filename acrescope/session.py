@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,12 +31,23 @@ def get_session(app: str = "acrescope", cpus: int | str | None = None, **conf) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a local one only if unset."""
+    """The folder all executors share: the configured checkpoint folder, or the warehouse where none is set.
+
+    A warehouse on a plain local path is taken only with a local master; on a
+    cluster every executor would write to a disk of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        folder = tempfile.mkdtemp(prefix="acrescope-", dir=os.environ.get("TMPDIR"))
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        if not local and folder.split(":", 1)[0] in ("file", folder):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {folder} is local to a machine")
+    return f"{folder.rstrip('/')}/acrescope-{spark.sparkContext.applicationId}"
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
@@ -47,6 +56,13 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     Later steps start from durable files with known sizes, so they survive lost
     executors, prune columns and get size-based join strategies.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; results that still read it must be saved before."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
