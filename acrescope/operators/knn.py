@@ -7,8 +7,10 @@ Two forms:
 * ``knn_join``: any candidate of the same group (forecast date). Candidates are
   cut into cells around pivots; the triangle inequality gives each query an
   upper bound on its k-th distance and rules cells out. What is left meets in
-  blocks of bounded size (cells are salted on both sides) and each block emits
-  only the k best per query. Nothing is capped: the result is the exact join.
+  blocks of bounded size and each block emits only the k best per query: a cell
+  is cut by its own candidates and by the queries that open it, so a candidate
+  is copied once per block of queries that really come near it. Nothing is
+  capped: the result is the exact join.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from acrescope.functions import scalars as S
+from acrescope.session import cut_lineage
 
 BLOCK_ROWS = 20_000
 BROADCAST_BYTES = 8 << 20
@@ -123,7 +126,7 @@ def knn_join(queries: DataFrame, candidates: DataFrame, group: list[str], k: int
 
     n_rows, n_groups, n_years, dims = _measure(queries, candidates, group, vec)
     if pivots is None:  # about an eighth of the root of the candidates
-        pivots = int(min(512, max(4, n_rows ** 0.5 / 8)))
+        pivots = int(max(4, n_rows ** 0.5 / 8))
     piv = _checked_broadcast(_pivots(c, group, ties, pivots), n_groups, 8 * (dims + 4) * pivots)
     # array of (distance, pivot number); the smallest struct is the nearest pivot
     to_pivots = F.transform("_pivots", lambda p, i: F.struct(S.euclidean(F.col("_v"), p).alias("d"), i.alias("i")))
@@ -131,6 +134,7 @@ def knn_join(queries: DataFrame, candidates: DataFrame, group: list[str], k: int
         c.join(piv, group).withColumn("_near", F.array_min(to_pivots))
         .withColumn("_cell", F.col("_near.i")).withColumn("_r", F.col("_near.d")).drop("_near", "_pivots")
     )
+    placed = cut_lineage(placed, "placed")  # distances to the pivots are computed once
     cells = _checked_broadcast(_cells(placed, q, group, k, block, rule), n_years, 64 * pivots)
 
     reach = q.join(piv, group).join(cells, [*group, "q_year"])
@@ -142,21 +146,9 @@ def knn_join(queries: DataFrame, candidates: DataFrame, group: list[str], k: int
     reach = reach.select(*group, *q_names, "_v", F.explode(F.array(measured)).alias("_m"))
     reach = reach.withColumn("_bound", F.array_min(F.transform("_m", kth)))
     open_cells = F.filter("_m", lambda s: F.greatest(s["d"] - s["rmax"], s["rmin"] - s["d"]) <= F.col("_bound") + _SLACK)
-    reach = reach.withColumn("_s", F.explode(open_cells)).withColumn("_cell", F.col("_s.cell"))
-    reach = reach.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_s.salts") - 1)))
-
-    # both sides of a cell are split, so no block outgrows `block` rows by skew
-    load = q.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_qblocks"))
-    load = _checked_broadcast(load, n_groups, 64)
-    q_side = reach.join(load, group).withColumn("_qb", F.pmod(F.xxhash64(*q_names), F.col("_qblocks")).cast("int")) \
-        .select(*group, *q_names, "_v", "_cell", "_salt", "_qb")
-    cell_salts = _checked_broadcast(placed.groupBy(*group, "_cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_salts")), n_groups * pivots, 64)
-    c_side = (
-        placed.join(cell_salts, [*group, "_cell"]).join(load, group)
-        .withColumn("_salt", F.pmod(F.xxhash64(*ties), F.col("_salts")).cast("int"))
-        .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_qblocks") - 1)))
-        .select(*keep, "_v", "_cell", "_salt", "_qb")
-    )
+    reach = reach.withColumn("_s", F.explode(open_cells)).select(*group, *q_names, "_v", F.col("_s.cell").alias("_cell"), F.col("_s.salts").alias("_salts"))
+    q_side, c_side = blocks(cut_lineage(reach, "reach"), placed, group, q_names, ties, block)
+    c_side = c_side.select(*keep, "_v", "_cell", "_salt", "_qb")
 
     out_names = [*group, *q_names, *[x for x in keep if x not in group], "distance"]
     fields = {f.name: f for df in (q_side, c_side) for f in df.schema.fields}
@@ -173,6 +165,22 @@ def knn_join(queries: DataFrame, candidates: DataFrame, group: list[str], k: int
     return top_k(best, [*group, *q_names], ties, k)
 
 
+def blocks(reach: DataFrame, placed: DataFrame, group: list[str], q_names: list[str], ties: list[str], block: int) -> tuple[DataFrame, DataFrame]:
+    """Queries and candidates of each opened cell, dealt out so that a block has about ``block`` of either.
+
+    A query goes to every salt of the cells it opens, a candidate to as many
+    query blocks as the queries that open its own cell fill. Both sides carry
+    the cell's sizes, so neither needs the other's groups.
+    """
+    cell = [*group, "_cell"]
+    load = reach.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_qblocks"), F.first("_salts").alias("_salts"))
+    q_side = reach.drop("_salts").join(load, cell).withColumn("_qb", F.pmod(F.xxhash64(*q_names), F.col("_qblocks")).cast("int")) \
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts", "_qblocks")
+    c_side = placed.join(load, cell).withColumn("_salt", F.pmod(F.xxhash64(*ties), F.col("_salts")).cast("int")) \
+        .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_qblocks") - 1)))
+    return q_side.select(*group, *q_names, "_v", "_cell", "_salt", "_qb"), c_side.drop("_salts", "_qblocks")
+
+
 def _block_compare(out_names, group, q_names, c_names, ties, k, rule, metric):
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
