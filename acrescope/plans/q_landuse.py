@@ -114,12 +114,12 @@ def _(fx):
                       S.signed_label("delta_annual", 0.0, "-", "+", "0").alias("direction"))
 
 
-@query("narrative_text", """SELECT image_id, from_class, to_class, 'Converting ' || printf('%.0f', fraction * 100) || '% of ' || from_class || ' to ' || to_class AS head,
-  CASE WHEN after_annual - before_annual < 0 THEN 'reduction' ELSE 'increase' END AS word FROM fx_sim""")
+@query("narrative_text", """SELECT image_id, from_class, to_class, 'If ' || printf('%.2f', round_even(converted_ha, 2)) || ' ha of ' || from_class || ' (' || printf('%.0f', fraction * 100) || ' percent of it) became ' || to_class
+  || ', yearly emissions would be ' || printf('%.2f', round_even(abs(after_annual - before_annual), 2)) || ' tCO2e ' || CASE WHEN after_annual - before_annual < 0 THEN 'less' ELSE 'more' END
+  || ' and the stored carbon would move by ' || printf('%.2f', round_even(after_embodied - before_embodied, 2)) || ' tCO2e once.' AS narrative FROM fx_sim""")
 def _(fx):
     sim = L.narrative(L.simulate_intervention(L.percentages(fx.classcount, "image_id"), "image_id", _SCEN))
-    head = F.regexp_replace("narrative", r" \([0-9.]+ ha\) to (\w+):.*$", " to $1")
-    return sim.select("image_id", "from_class", "to_class", head.alias("head"), F.regexp_extract("narrative", r"tCO2e/yr \((\w+)\)", 1).alias("word"))
+    return sim.select("image_id", "from_class", "to_class", "narrative")
 
 
 def _rank_sql(score):

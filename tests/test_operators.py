@@ -221,5 +221,17 @@ def test_bad_scenarios_raise_and_absent_classes_are_left_out(spark):
 def test_narrative(spark):
     mix = composition(spark, 10.0, agriculture=100.0)
     text = landuse.narrative(landuse.simulate_intervention(mix, "image", [("agriculture", "forest", 0.5)])).first().narrative
-    assert text == ("Converting 50% of agriculture (5.00 ha) to forest: annual flux changes by -52.50 tCO2e/yr (reduction), "
-                    "embodied stock changes by +3250.00 tCO2e.")
+    assert text == ("If 5.00 ha of agriculture (50 percent of it) became forest, yearly emissions would be 52.50 tCO2e less "
+                    "and the stored carbon would move by 3250.00 tCO2e once.")
+
+
+def test_neighbour_blocks_copy_candidates_by_the_queries_of_their_own_cell(spark):
+    """Queries crowd in cell 0: only its candidates meet more than one block of queries."""
+    from acrescope.operators import knn
+
+    reach = spark.range(400).selectExpr("'d' AS g", "id AS q_id", "array(double(id)) AS _v", "CASE WHEN id < 395 THEN 0 ELSE 1 END AS _cell", "1 AS _salts")
+    placed = spark.range(200).selectExpr("'d' AS g", "id", "array(double(id)) AS _v", "int(id % 2) AS _cell", "0.0 AS _r")
+    queries, candidates = knn.blocks(reach, placed, ["g"], ["q_id"], ["id"], 50)
+    copies = {r["_cell"]: r["n"] for r in candidates.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
+    assert copies == {0: 100 * 8, 1: 100}
+    assert queries.count() == 400
