@@ -50,14 +50,18 @@ def glob_union(spark: SparkSession, path: str, key: str, declared: list[str]) ->
     """Per-year CSV files whose columns differ, by name; only declared columns stay.
 
     Files are grouped by their header line, so there is one scan per distinct
-    layout. A declared column absent from every file is an error.
+    layout. A file without the key column, and a declared column absent from
+    every file, are errors. The driver sees one row per file, as a listing does.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    is_header = F.array_contains(F.split("value", ","), key)
-    layouts = lines.where(is_header).groupBy("value").agg(F.collect_set("file").alias("files")).collect()  # one row per layout
+    header = F.when(F.array_contains(F.split("value", ","), key), F.col("value"))
+    per_file = lines.groupBy("file").agg(F.min(header).alias("header"))
+    layouts = per_file.groupBy("header").agg(F.collect_set("file").alias("files")).collect()
     out = None
     for row in layouts:
-        names = row["value"].split(",")
+        if row["header"] is None:
+            raise ValueError(f"no column {key} in {sorted(row['files'])[:5]}")
+        names = row["header"].split(",")
         part = spark.read.csv(sorted(row["files"]), header=True).select(*[c for c in declared if c in names])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
@@ -80,12 +84,19 @@ def reconcile_slices(slices: list[DataFrame], keys: list[str], values: list[str]
 
 
 def read_shards(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Index shards with their file name; an unreadable shard is skipped."""
+    """Index shards with their file name; an unreadable shard is skipped, ``silent_shards`` names it."""
     reader = spark.read.option("ignoreCorruptFiles", "true")
     df = (reader.schema(schema) if schema else reader).parquet(path)
     return df.select("*", F.col("_metadata.file_name").alias("shard_source"))
 
 
+def silent_shards(spark: SparkSession, path: str, shards: DataFrame) -> DataFrame:
+    """Files under a folder that gave no rows to ``read_shards``: unreadable or empty ones. Contents are not read again."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    listed = listed.select(F.element_at(F.split("path", "/"), -1).alias("shard_source"))
+    return listed.join(shards.select("shard_source").distinct(), "shard_source", "left_anti")
+
+
 def combine_years(spark: SparkSession, path: str, sort: list[str], partitions: int | None = None) -> DataFrame:
     """Yearly shards as one table in global key order (range shuffle, local sort)."""
     df = spark.read.parquet(path)
@@ -99,6 +110,7 @@ def json_records(payloads: DataFrame, column: str, record: str, keep: list[str]
     return payloads.select(*keep, doc.alias("_d")).select(*keep, F.explode("_d.data").alias("_r")).select(*keep, "_r.*")
 
 
-def latest_file(df: DataFrame, group: list[str]) -> DataFrame:
-    """Newest file by name per group."""
-    return df.select(*group, F.col("_metadata.file_name").alias("file")).groupBy(*group).agg(F.max("file").alias("latest"))
+def latest_file(df: DataFrame, group: list[str], name: Column | None = None) -> DataFrame:
+    """Newest file per group by its name, or by a part of its path."""
+    name = F.col("_metadata.file_name") if name is None else name
+    return df.select(*group, name.alias("file")).groupBy(*group).agg(F.max("file").alias("latest"))

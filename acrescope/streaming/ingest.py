@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:  # nothing ingested yet
-        return None
+from acrescope.operators.survey import first_per_key
+from acrescope.session import path_exists
 
 
 def ingest_batch(new: DataFrame, sink: str, keys: list[str]) -> None:
-    """Append the rows of a batch whose key the sink does not hold.
+    """Append the rows of a batch whose key the sink does not hold; of rows with one key, the smallest by the other columns.
 
     A batch replayed after a failure finds its keys in the sink and adds none.
     """
-    rows = new.dropDuplicates(keys)
-    done = _existing(new.sparkSession, sink)
-    if done is not None:
-        rows = rows.join(done.select(*keys), keys, "left_anti")
+    rows = first_per_key(new, keys, [c for c in new.columns if c not in keys])
+    if path_exists(new.sparkSession, sink):
+        rows = rows.join(new.sparkSession.read.parquet(sink).select(*keys), keys, "left_anti")
     rows.write.mode("append").parquet(sink)
 
 

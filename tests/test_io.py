@@ -1,3 +1,5 @@
+import shutil
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -49,7 +51,35 @@ def test_upsert_keeps_the_last_and_old_versions_stay_readable(spark, tmp_path):
     writers.upsert(df([(1, 10), (2, 20)]), path, ["k"], ["v"])
     writers.upsert(df([(2, 5), (2, 6), (3, 30)]), path, ["k"], ["v"])
     assert {r.k: r.v for r in writers.read_current(spark, path).collect()} == {1: 10, 2: 6, 3: 30}
-    assert spark.read.parquet(f"{path}/data/v1").count() == 2
+    first = next(r.folder for r in spark.read.parquet(f"{path}/versions").collect() if r.version == 1)
+    assert spark.read.parquet(f"{path}/data/{first}").count() == 2
+
+
+def test_a_damaged_version_table_is_an_error_and_loses_nothing(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    df = spark.createDataFrame([(1, 10), (2, 20)], "k int, v int")
+    writers.upsert(df, path, ["k"], ["v"])
+    shutil.rmtree(f"{path}/versions")
+    (tmp_path / "t" / "versions").mkdir()
+    with pytest.raises(ValueError):
+        writers.upsert(df, path, ["k"], ["v"])
+    kept = [p for p in (tmp_path / "t" / "data").iterdir()]
+    assert len(kept) == 1 and spark.read.parquet(str(kept[0])).count() == 2
+
+
+def test_a_file_without_the_key_column_fails_the_union(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("geoid,x\n1,2\n")
+    (tmp_path / "b.csv").write_text("GEOID,x\n3,4\n")
+    with pytest.raises(ValueError, match="b.csv"):
+        readers.glob_union(spark, f"{tmp_path}/*.csv", "geoid", ["geoid", "x"])
+
+
+def test_unreadable_shards_are_named(spark, tmp_path):
+    spark.range(5).coalesce(1).write.parquet(f"{tmp_path}/s")
+    (tmp_path / "s" / "broken.parquet").write_text("no parquet")
+    shards = readers.read_shards(spark, f"{tmp_path}/s", "id long")
+    assert shards.count() == 5
+    assert [r.shard_source for r in readers.silent_shards(spark, f"{tmp_path}/s", shards).collect()] == ["broken.parquet"]
 
 
 def test_params_need_every_date(spark, tmp_path):
