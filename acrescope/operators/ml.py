@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
 from math import factorial
 from multiprocessing.pool import ThreadPool
 
@@ -75,10 +74,10 @@ def gbt_predict(rows: DataFrame, models: dict[str, GBTRegressionModel], by_date:
 
 def grid_sweep(train: DataFrame, val: DataFrame, features: list[str], target: str, grid: list[dict]) -> tuple[DataFrame, dict]:
     """Fit every configuration, score RMSE on the fixed validation rows, keep the
-    first best. The input is assembled once and persisted; only scores return."""
+    first best. The inputs are cut to the needed columns and persisted; only scores return."""
     from acrescope.operators.scoring import rmse
 
-    train, val = train.persist(), val.persist()
+    train, val = train.select(*features, target).persist(), val.select(*features, target).persist()
 
     def score(i, params):
         model = gbt_fit(train, val, features, target, **params)
@@ -125,8 +124,9 @@ def attribute(x: np.ndarray, leaves: list) -> np.ndarray:
     """Exact path-dependent Shapley values of a tree sum, vectorised over rows.
 
     On one path, a known feature contributes whether the row is inside its
-    interval, an unknown one its cover ratio; the Shapley weights run over the
-    subsets of the path's few distinct features.
+    interval, an unknown one its cover ratio. The subsets of the path's other
+    features are summed by size through the coefficients of a product of linear
+    factors, so the work is a power of the path's length, not exponential in it.
     """
     phi = np.zeros(x.shape)
     for value, path in leaves:
@@ -135,22 +135,26 @@ def attribute(x: np.ndarray, leaves: list) -> np.ndarray:
             continue
         inside = [((x[:, f] > lo) & (x[:, f] <= hi)).astype(float) for f, lo, hi, _ in path]
         ratio = [z for *_, z in path]
+        weights = [factorial(size) * factorial(d - size - 1) / factorial(d) for size in range(d)]
         for i in range(d):
-            others = [j for j in range(d) if j != i]
-            total = np.zeros(len(x))
-            for size in range(d):
-                weight = factorial(size) * factorial(d - size - 1) / factorial(d)
-                for known in combinations(others, size):
-                    term = np.full(len(x), weight)
-                    for j in others:
-                        term = term * (inside[j] if j in known else ratio[j])
-                    total += term
+            by_size = [np.ones(len(x))]
+            for j in range(d):
+                if j != i:
+                    grown = [c * ratio[j] for c in by_size] + [np.zeros(len(x))]
+                    for size, c in enumerate(by_size):
+                        grown[size + 1] = grown[size + 1] + c * inside[j]
+                    by_size = grown
+            total = sum(w * c for w, c in zip(weights, by_size))
             phi[:, path[i][0]] += value * (inside[i] - ratio[i]) * total
     return phi
 
 
 def tree_attribution(rows: DataFrame, model: GBTRegressionModel, features: list[str], keys: list[str]) -> DataFrame:
-    """Long table of additive contributions: keys, feature, value, attribution, prediction, base."""
+    """Long table of additive contributions: keys, feature, value, attribution, the model's own prediction, base.
+
+    Base value plus a row's contributions should equal the prediction, which
+    comes from the model and not from them.
+    """
     leaves, base = tree_paths(model)
     shared = rows.sparkSession.sparkContext.broadcast(leaves)  # bounded by model size
     key_fields = ", ".join(f"`{k}` {t}" for k, t in rows.select(*keys).dtypes)
@@ -166,12 +170,13 @@ def tree_attribution(rows: DataFrame, model: GBTRegressionModel, features: list[
             out = pdf[keys].loc[pdf.index.repeat(m)].reset_index(drop=True)
             out["feature"] = np.tile(features, len(pdf))
             out["feature_value"], out["attribution"] = x.ravel(), phi.ravel()
-            out["prediction"] = np.repeat(base + phi.sum(axis=1), m)
+            out["prediction"] = np.repeat(pdf["prediction"].to_numpy(), m)
             out["base_value"] = base
             yield out
 
     schema = f"{key_fields}, feature string, feature_value double, attribution double, prediction double, base_value double"
-    return whole.select(*keys, *[F.col(c).cast("double").alias(c) for c in features]).mapInPandas(explain, schema)
+    scored = model.transform(_assembled(whole, features))
+    return scored.select(*keys, *[F.col(c).cast("double").alias(c) for c in features], "prediction").mapInPandas(explain, schema)
 
 
 def importance(attributions: DataFrame, by: list[str] = (), method: str = "mean_abs") -> DataFrame:

