@@ -208,11 +208,13 @@ def text_key(text: str = "text"):
 
 def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999,
                     max_hashes: int = 64) -> DataFrame:
-    """One row per text class: key, rep (smallest doc_id with the text), weight (documents), links, class_id.
+    """One row per text class: key, rep (smallest doc_id with the text), weight (documents), links, class_id, component.
 
     ``links`` counts the documents with another text whose n-gram set has
     Jaccard similarity ``threshold`` or more, ``class_id`` is the smallest
-    doc_id of the connected component of such links.
+    doc_id of the connected component of such links, ``component`` that
+    component's smallest key (two components share a class_id only if two
+    different texts share that doc_id).
 
     Equal texts collapse first. The others meet in buckets of equal MinHash
     bands; a bucket whose members are those of an earlier band's bucket is
@@ -255,7 +257,7 @@ def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     out = classes.select("key", "rep", "weight").join(links, "key", "left").join(part, "key", "left") \
         .withColumn("component", F.coalesce("component", "key"))
     names = out.groupBy("component").agg(F.min("rep").alias("class_id"))
-    return out.join(names, "component").select("key", "rep", "weight", F.coalesce("links", F.lit(0)).alias("links"), "class_id")
+    return out.join(names, "component").select("key", "rep", "weight", F.coalesce("links", F.lit(0)).alias("links"), "class_id", "component")
 
 
 def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -275,8 +277,8 @@ def keep_one_per_class(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     null, one row with its smallest text key stays.
     """
     classes = cut_lineage(jaccard_classes(docs, doc_id=doc_id, text=text, **options), "classes")
-    first = classes.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("key")).alias("alone")).agg(
-        F.min(F.when(F.col("rep").eqNullSafe(F.col("class_id")), F.col("key"))).alias("_key"), F.first("class_id").alias("_id"))
+    first = classes.groupBy("component").agg(F.min(F.when(F.col("rep").eqNullSafe(F.col("class_id")), F.col("key"))).alias("_key"),
+                                             F.min("class_id").alias("_id"))
     keep = first.select("_key", "_id")
     rows = docs.withColumn("_text_key", text_key(text))
     met = rows.join(keep, (F.col("_text_key") == F.col("_key")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
