@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from acrescope.llm.common import span_hash, text_slices, unique_in_docs, word_spans
 
-BITS = 18
+BITS = 21
 SAMPLE = 12_000  # labelled documents a model is fitted on, at most
 TERMS = 512  # hashed terms kept by their chi-square with the label
 MIN_CHI2 = 15.1
@@ -81,9 +81,13 @@ def select_terms(terms: np.ndarray, bounds: np.ndarray, label: np.ndarray, limit
     return np.sort(best[chi[best] >= MIN_CHI2])
 
 
-def train(terms: np.ndarray, bounds: np.ndarray, label: np.ndarray, *, limit: int = TERMS, factors: int = FACTORS, epochs: int = 80,
-          batch: int = 256, rate: float = 0.1, decay: float = 2e-5, seed: int = 5) -> FactorizationMachine:
-    """Minibatch AdaGrad on the logistic loss; without both labels the model is the smoothed share of label 1."""
+def train(terms: np.ndarray, bounds: np.ndarray, label: np.ndarray, *, limit: int = TERMS, factors: int = FACTORS, steps: int = 4000,
+          batch: int = 256, rate: float = 0.1, decay: float = 3e-4, dropout: float = 0.3, seed: int = 5) -> FactorizationMachine:
+    """Minibatch AdaGrad on the logistic loss; without both labels the model is the smoothed share of label 1.
+
+    A share of the terms is left out at random in each step, so that one telling
+    term is enough where training texts mostly hold several.
+    """
     label = label.astype(float)
     chosen = select_terms(terms, bounds, label, limit) if 0 < label.sum() < len(label) else np.zeros(0, int)
     place = np.full(1 << BITS, -1, np.int32)
@@ -95,11 +99,11 @@ def train(terms: np.ndarray, bounds: np.ndarray, label: np.ndarray, *, limit: in
     row, at = np.repeat(np.arange(len(label)), np.diff(bounds)), place[terms]
     x[row[at >= 0], at[at >= 0]] = 1
     gb, gw, gv = 1e-8, np.full(w.shape, 1e-8), np.full(v.shape, 1e-8)
-    for _ in range(epochs if len(chosen) else 0):
+    for _ in range(-(-steps * batch // max(len(label), batch)) if len(chosen) else 0):
         order = rng.permutation(len(label))
         for k in range(0, len(order), batch):
             rows = order[k:k + batch]
-            xb = x[rows].astype(float)
+            xb = x[rows] * (rng.random((len(rows), len(chosen))) >= dropout)
             xv = xb @ v
             z = bias + xb @ w + ((xv ** 2).sum(1) - (xb @ (v * v)).sum(1)) / 2
             err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label[rows]) / len(rows)
