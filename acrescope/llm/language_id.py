@@ -72,6 +72,8 @@ class LanguageModel:
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and posterior probability of each text; ``und`` and 0 for one without a letter."""
         n, k = len(texts), len(self.langs)
+        if not k:
+            return [UNDETERMINED] * n, np.zeros(n)
         score, seen = np.zeros((n, k)), np.zeros(n, np.int64)
         for first, last, grams, row in gram_slices(texts):
             if not len(row):
@@ -82,8 +84,6 @@ class LanguageModel:
             for g in grams:
                 score[first + full] += np.add.reduceat(self.weight[g], begin[full], axis=0, dtype=np.float64)
             seen[first:last] = np.diff(np.append(begin, len(row)))
-        if not k:
-            return [UNDETERMINED] * n, np.zeros(n)
         score += self.prior
         best = score.argmax(axis=1)
         share = 1 / np.exp(np.minimum(score - score.max(axis=1, keepdims=True), 0)).sum(axis=1)

@@ -92,8 +92,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 def judge(docs: DataFrame, *, text: str = "text", base: list[Rule] | None = None, rules: list[Rule] | None = None) -> DataFrame:
     """The measured documents with base_failed, failed (names of the broken rules) and kept. All rows stay.
 
-    A null text has no words, so it fails the base. The given names overwrite
-    columns of the same name.
+    A null text has no words, so it fails the base. The new names, and those of
+    the steps (_words, _lines, _windows, _same, _at), replace columns of the same name.
     """
     base, rules = BASE if base is None else base, RULES if rules is None else rules
     bad = F.lit(False)
