@@ -51,11 +51,14 @@ def spread_cone(predictions: DataFrame, by: list[str], target: str) -> DataFrame
 
 
 def state_forecast_doc(state_cones: DataFrame, coverage: DataFrame, anchors: DataFrame, analogs: DataFrame, truth: DataFrame,
-                       history: DataFrame, cell: list[str]) -> DataFrame:
+                       history: DataFrame, cell: list[str], points: DataFrame | None = None, drivers: DataFrame | None = None,
+                       n_drivers: int = 5) -> DataFrame:
     """One nested document per (state, year, date), all of them in one job.
 
     ``coverage`` has every cell with n_complete; the status tells a cone from
-    missing features and from missing analogs.
+    missing features and from missing analogs. With ``points`` (model_point) the
+    point estimate is the regressor's, and the analogs' stays beside it; with
+    ``drivers`` (driver_rollup) the largest contributions are listed.
     """
     status = F.when(F.col("p50").isNotNull(), "ok").when(F.col("n_complete") > 0, "unavailable_no_analogs").otherwise("unavailable_pending_ndvi")
     listed = F.array_sort(F.collect_list(F.struct("rank", "geoid", "year", "distance", "yield_target")))  # k entries
@@ -67,8 +70,16 @@ def state_forecast_doc(state_cones: DataFrame, coverage: DataFrame, anchors: Dat
     rows = coverage.join(state_cones, cell, "left").join(near, cell, "left").join(truth, ["state", "year"], "left").join(history, ["state", "year"], "left")
     cone = F.when(F.col("p50").isNotNull(), F.struct("p10", "p50", "p90", (F.col("p90") - F.col("p10")).alias("width_80")))
     with_cone = F.col("p50").isNotNull()
+    extra = [F.lit(None).cast("array<string>").alias("drivers")] if drivers is None else [F.col("drivers")]
+    point = F.col("point")
+    if points is not None:
+        rows, point = rows.join(points.select(*cell, "model_point"), cell, "left"), F.coalesce("model_point", "point")
+    if drivers is not None:
+        entry = F.struct((-F.abs("attribution")).alias("neg"), "feature", "attribution", "feature_value", "kind", "direction")
+        top = drivers.groupBy(*cell).agg(F.slice(F.array_sort(F.collect_list(entry)), 1, n_drivers).alias("drivers"))  # one entry per feature
+        rows = rows.join(top.withColumn("drivers", F.transform("drivers", lambda d: d.dropFields("neg"))), cell, "left")
     return rows.select(
-        *cell, F.col("point").alias("point_estimate"), cone.alias("cone"), status.alias("cone_status"), F.coalesce("n_counties", F.lit(0)).alias("n_counties"),
+        *cell, point.alias("point_estimate"), F.col("point").alias("analog_point"), *extra, cone.alias("cone"), status.alias("cone_status"), F.coalesce("n_counties", F.lit(0)).alias("n_counties"),
         F.when(with_cone, F.struct(F.col("anchor").alias("geoid"), F.col("anchor_acres").alias("acres"))).alias("anchor"),
         F.when(with_cone, F.col("analogs")).alias("analogs"), "truth", F.struct("mean_5", "mean_10").alias("history"))
 

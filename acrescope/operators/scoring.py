@@ -60,10 +60,11 @@ def recalibrate(results: DataFrame, bias: DataFrame, by: list[str], holdout_year
     """Shift point and percentiles of the holdout year by the bias (0 if unknown)."""
     rows = results.where(F.col("holdout_year") == holdout_year).join(bias.select(*by, "bias"), by, "left")
     shift = F.coalesce("bias", F.lit(0.0))
-    rows = rows.withColumns({f"{c}_recal": F.col(c) - shift for c in ("point", "p10", "p90")})
+    rows = rows.withColumns({f"{c}_recal": F.col(c) - shift for c in ("point", "p10", "p50", "p90")})
     return rows.withColumns({
         "point_error_recal": F.col("point_recal") - F.col("truth"),
         "in_cone_80_recal": F.col("truth").between(F.col("p10_recal"), F.col("p90_recal")),
+        "cone_width_80_recal": F.col("p90_recal") - F.col("p10_recal"),
     }).drop("bias")
 
 
@@ -85,6 +86,28 @@ def lift_gate(summary: DataFrame, threshold: float, date: str = "EOS") -> DataFr
                        F.coalesce(F.col("lift_vs_analog") >= threshold, F.lit(False)).alias("passed"))
 
 
+def coverage_verdict(coverage: Column) -> Column:
+    """In the band, wider or narrower than it, or unknown."""
+    low, high = COVERAGE_BAND
+    return F.when(coverage.isNull() | F.isnan(coverage), "unknown").when(coverage > high, "too wide").when(coverage < low, "too narrow").otherwise("in band")
+
+
+def relative_gate(a: Column, b: Column, threshold: float) -> list[Column]:
+    """Gain of error b over error a, whether it reaches the threshold, and why it could not be told."""
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    reason = F.when(~finite(a) | ~finite(b), "an error is not finite").when(a <= 0, "no error to improve on")
+    lift = F.when(reason.isNull(), (a - b) / a)
+    return [lift.alias("lift"), F.coalesce(lift >= threshold, F.lit(False)).alias("passed"), reason.alias("reason")]
+
+
+def yearly_lift_gate(summary: DataFrame, year: int, threshold: float, date: str = "EOS") -> DataFrame:
+    """Lift at every date of one validation year; the year passes by its lift at ``date`` alone."""
+    rows = summary.where(F.col("year") == year)
+    deciding = rows.where(F.col("forecast_date") == date).agg(F.max("lift_vs_analog").alias("_lift"))  # one row
+    out = rows.crossJoin(F.broadcast(deciding))
+    return out.select("year", "forecast_date", "lift_vs_analog", F.coalesce(F.col("_lift") >= threshold, F.lit(False)).alias("passed"))
+
+
 def score_summary_c(results: DataFrame, by: list[str]) -> DataFrame:
     """RMSE of regressor, analog median and baseline with relative lift and coverage."""
     rows = results.where(F.coalesce("error_regressor", "error_analog").isNotNull()

@@ -7,12 +7,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acrescope.operators import cone, knn, panel, scoring, trend
+from acrescope.operators import cone, knn, ml, panel, scoring, trend
 from acrescope.plans import fixtures as fxm
 from acrescope.plans.fixtures import CLIMATE
 from acrescope.session import cut_lineage
 
 KS = (3, 5)
+ROUNDS, DEPTH = 20, 3
 CELL = ["state", "year", "forecast_date", "pool", "k"]
 
 
@@ -140,6 +141,38 @@ class Forecasting:
     def recalibrated(self) -> DataFrame:
         return scoring.recalibrate(self.backtest, self.bias, ["pool", "k", "state", "forecast_date"], fxm.HOLDOUT_YEAR)
 
+    # --- regressor chain --------------------------------------------------------
+    @cached_property
+    def models(self) -> dict:
+        """One boosted model per date, fitted on the training pool with the validation year for early stop."""
+        val = self.ready.where((F.col("year") == fxm.VAL_YEAR) & F.col("yield_target").isNotNull())
+        return ml.gbt_fit_all(self.train, val, fxm.CONTRACT, "yield_target", max_iter=ROUNDS, max_depth=DEPTH)
+
+    @cached_property
+    def tested(self) -> DataFrame:
+        return self.ready.where(F.col("year").isin(fxm.VAL_YEAR, fxm.HOLDOUT_YEAR))
+
+    @cached_property
+    def county_predictions(self) -> DataFrame:
+        rows = ml.gbt_predict(self.tested, self.models, fxm.CONTRACT)
+        return cut_lineage(rows.select("geoid", "state", "year", "forecast_date", "acres_planted_all", "yield_target", "prediction"), "predictions")
+
+    @cached_property
+    def model_points(self) -> DataFrame:
+        """Acreage-weighted state point of the county predictions."""
+        ok = F.col("prediction").isNotNull() & (F.col("acres_planted_all") > 0)
+        return self.county_predictions.groupBy("state", "year", "forecast_date").agg(
+            cone.weighted(F.col("prediction"), F.col("acres_planted_all")).alias("model_point"), F.count_if(ok).alias("n_predicted"))
+
+    @cached_property
+    def attributions(self) -> DataFrame:
+        """Contributions of every date's model to its predictions, with the base value and acreage."""
+        out, keys = None, ["geoid", "state", "year", "forecast_date", "acres_planted_all"]
+        for d, cols in fxm.CONTRACT.items():
+            part = ml.tree_attribution(self.tested.where((F.col("forecast_date") == d) & F.col("complete")), self.models[d], cols, keys)
+            out = part if out is None else out.unionByName(part)
+        return cut_lineage(out.withColumnRenamed("acres_planted_all", "acres"), "attributions")
+
     # --- state grain ----------------------------------------------------------
     @cached_property
     def state_panel(self) -> DataFrame:

@@ -291,7 +291,7 @@ WHERE holdout_year = 2000 AND point_error IS NOT NULL GROUP BY ALL
 """
 VIEWS["fx_recal"] = """
 SELECT b.holdout_year, b.pool, b.k, b.state, b.forecast_date, b.truth, b.baseline_error, b.point_error, b.cone_width_80,
-       point - coalesce(bias, 0) AS point_recal, p10 - coalesce(bias, 0) AS p10_recal, p90 - coalesce(bias, 0) AS p90_recal,
+       point - coalesce(bias, 0) AS point_recal, p50 - coalesce(bias, 0) AS p50_recal, p90 - p10 AS cone_width_80_recal, p10 - coalesce(bias, 0) AS p10_recal, p90 - coalesce(bias, 0) AS p90_recal,
        point - coalesce(bias, 0) - truth AS point_error_recal,
        (p10 - coalesce(bias, 0) <= truth AND truth <= p90 - coalesce(bias, 0)) AS in_cone_80_recal
 FROM fx_backtest b LEFT JOIN fx_bias c USING (pool, k, state, forecast_date) WHERE b.holdout_year = 2001

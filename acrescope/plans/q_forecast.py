@@ -98,7 +98,7 @@ def _(fx):
     return rounded(Forecasting.of(fx).bias, ["bias"])
 
 
-_R = ["point_recal", "p10_recal", "p90_recal", "point_error_recal"]
+_R = ["point_recal", "p10_recal", "p50_recal", "p90_recal", "cone_width_80_recal", "point_error_recal"]
 
 
 @query("recalibrate", f"SELECT holdout_year, pool, k, state, forecast_date, in_cone_80_recal, {rsql(_R)} FROM fx_recal")
@@ -193,6 +193,19 @@ def _(fx):
     return rounded(scoring.lift_gate(summary, 0.15), ["rmse_regressor", "rmse_analog_median", "lift_vs_analog"])
 
 
+@query("lift_gate_dates", f"""SELECT 2000 AS year, forecast_date, {rsql(['lift_vs_analog'])}, coalesce(max(lift_vs_analog) FILTER (forecast_date = 'EOS') OVER () >= 0.15, false) AS passed
+  FROM ({_csql('holdout_year, forecast_date')}) WHERE holdout_year = 2000""")
+def _(fx):
+    summary = scoring.score_summary_c(phase_c_rows(fx), ["holdout_year", "forecast_date"]).withColumnRenamed("holdout_year", "year")
+    return rounded(scoring.yearly_lift_gate(summary, fxm.VAL_YEAR, 0.15), ["lift_vs_analog"])
+
+
+@query("coverage_verdict", """SELECT pool, k, forecast_date, CASE WHEN coverage_80 > 0.9 THEN 'too wide' WHEN coverage_80 < 0.7 THEN 'too narrow' ELSE 'in band' END AS verdict FROM fx_score""")
+def _(fx):
+    out = scoring.score_summary(Forecasting.of(fx).backtest, ["pool", "k", "forecast_date"])
+    return out.select("pool", "k", "forecast_date", scoring.coverage_verdict(F.col("coverage_80")).alias("verdict"))
+
+
 @query("pivots", f"""SELECT state, {', '.join(f"{fix_sql(f'''max(point_error) FILTER (lbl = '{y}_{d}')''')} AS e_{y}_{d[:2]}" for y in (2000, 2001) for d in fxm.CONTRACT)}
   FROM (SELECT *, holdout_year || '_' || forecast_date AS lbl FROM fx_backtest WHERE pool = 'same_geoid' AND k = 5) GROUP BY state""")
 def _(fx):

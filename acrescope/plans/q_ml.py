@@ -89,6 +89,17 @@ def _(fx):
     return rounded(scoring.ablation_metrics(long, ["variant", "state", "year"]), ["rmse", "bias"])
 
 
+@query("relative_gate", f"""SELECT year, {fix_sql('a')} AS rmse_a, {fix_sql('b')} AS rmse_b, {fix_sql('CASE WHEN a > 0 THEN (a - b) / a END')} AS lift, coalesce((a - b) / a >= 0.05, false) AS passed,
+  CASE WHEN a IS NULL OR b IS NULL THEN 'an error is not finite' WHEN a <= 0 THEN 'no error to improve on' END AS reason FROM (
+  SELECT year, sqrt(avg((pred_a - yield_target) ** 2)) AS a, sqrt(avg((pred_b - yield_target) ** 2)) AS b FROM fx_preds GROUP BY year)""")
+def _(fx):
+    """Model B against model A at the five percent mark, per year."""
+    long = ml.long_predictions(predictions(fx), ["year"], "yield_target", {"a": "pred_a", "b": "pred_b"})
+    per = scoring.ablation_metrics(long, ["year", "variant"]).groupBy("year").agg(
+        F.max(F.when(F.col("variant") == "a", F.col("rmse"))).alias("rmse_a"), F.max(F.when(F.col("variant") == "b", F.col("rmse"))).alias("rmse_b"))
+    return rounded(per.select("year", "rmse_a", "rmse_b", *scoring.relative_gate(F.col("rmse_a"), F.col("rmse_b"), 0.05)), ["rmse_a", "rmse_b", "lift"])
+
+
 @query("state_block", """SELECT state, n AS n_counties, CAST(round_even(h, 0) AS INTEGER) AS predicted, CAST(round_even(y, 0) AS INTEGER) AS actual, top_county, CAST(round_even(top, 0) AS INTEGER) AS top_yield, rising,
   CAST(round_even(a, 0) AS INTEGER) AS row_a, CAST(round_even(b, 0) AS INTEGER) AS row_b, round_even(rh, 2) AS rmse, round_even(ra, 2) AS rmse_a, round_even((ra - rh) / ra * 100, 2) AS lift_pct,
   CASE WHEN state IN ('ASIA', 'EUROPE') THEN 'Row B' ELSE 'Row A' END AS model FROM (
@@ -106,7 +117,6 @@ def _(fx):
 
 
 # --- boosted trees: SQL checks rows, sizes and rules, tests check the numbers -
-ROUNDS, DEPTH = 20, 3
 # the published sweep: depths x step sizes x least rows of a leaf
 GRID = [{"max_depth": d, "step": s, "min_rows": m, "max_iter": 5} for d in (4, 6, 8) for s in (0.05, 0.1) for m in (1, 5)]
 
@@ -117,7 +127,7 @@ def _validation(f):
 
 def _models(fx):
     f = Forecasting.of(fx)
-    return f, ml.gbt_fit_all(f.train, _validation(f), fxm.CONTRACT, "yield_target", max_iter=ROUNDS, max_depth=DEPTH)
+    return f, f.models
 
 
 @query("gbt_fit", "SELECT forecast_date, count(*) AS n_train, TRUE AS beats_mean FROM fx_train GROUP BY forecast_date")
@@ -165,6 +175,48 @@ def _(fx):
     return out.select("forecast_date", "seq", "n", (F.col("rmse") > 0).alias("scored"), picked.alias("n_picked"))
 
 
+# --- the regressor chain: keys, counts and rules in SQL ----------------------
+_CELL = ["state", "year", "forecast_date"]
+_PREDICTED = "SELECT state, year, forecast_date, count(*) FILTER (complete AND acres_planted_all > 0) AS n_predicted FROM fx_ready WHERE year IN (2000, 2001) GROUP BY ALL"
+
+
+@query("model_state_point", f"SELECT state, year, forecast_date, n_predicted, n_predicted > 0 AS has_point FROM ({_PREDICTED})")
+def _(fx):
+    """Acreage-weighted state point of the boosted models."""
+    return Forecasting.of(fx).model_points.select(*_CELL, "n_predicted", F.col("model_point").isNotNull().alias("has_point"))
+
+
+@query("score_summary_c_model", f"""SELECT holdout_year, forecast_date, count(*) AS n, {fix_sql('sqrt(avg(point_error ** 2))')} AS rmse_analog_median, {fix_sql('avg(point_error)')} AS bias_analog_median,
+  {fix_sql('sqrt(avg(baseline_error ** 2))')} AS rmse_baseline, {fix_sql('avg(CASE WHEN in_cone_80 THEN 1.0 ELSE 0.0 END)')} AS coverage_80_truth, {fix_sql('avg(cone_width_80)')} AS mean_width, TRUE AS scored
+  FROM fx_backtest b JOIN ({_PREDICTED}) p ON b.state = p.state AND b.holdout_year = p.year AND b.forecast_date = p.forecast_date
+  WHERE pool = 'same_geoid' AND k = 5 AND point_error IS NOT NULL AND baseline_error IS NOT NULL AND n_predicted > 0 GROUP BY holdout_year, b.forecast_date""".replace("SELECT holdout_year, forecast_date", "SELECT holdout_year, b.forecast_date", 1))
+def _(fx):
+    """Regressor, analog median and baseline over the same cells."""
+    f = Forecasting.of(fx)
+    rows = f.backtest.where((F.col("pool") == "same_geoid") & (F.col("k") == 5)).join(
+        f.model_points.withColumnRenamed("year", "holdout_year"), ["state", "holdout_year", "forecast_date"], "left")
+    rows = rows.withColumn("error_regressor", F.col("model_point") - F.col("truth")).withColumnRenamed("point_error", "error_analog")
+    out = scoring.score_summary_c(rows, ["holdout_year", "forecast_date"]).withColumn("scored", F.col("rmse_regressor").isNotNull() & F.col("lift_vs_analog").isNotNull())
+    return rounded(out.drop("rmse_regressor", "bias_regressor", "lift_vs_analog"), ["rmse_analog_median", "bias_analog_median", "rmse_baseline", "coverage_80_truth", "mean_width"])
+
+
+@query("importance_model", "SELECT forecast_date, feature, TRUE AS valid FROM fx_features WHERE forecast_date IN (SELECT forecast_date FROM fx_ready WHERE complete AND year IN (2000, 2001))")
+def _(fx):
+    """Mean absolute contribution of every contract feature at every date."""
+    return ml.importance(Forecasting.of(fx).attributions, ["forecast_date"]).select("forecast_date", "feature", (F.col("importance") >= 0).alias("valid"))
+
+
+@query("driver_rollup_model", """SELECT r.state, r.year, r.forecast_date, count(DISTINCT f.feature) AS n_features, TRUE AS adds_up FROM fx_ready r JOIN fx_features f ON r.forecast_date = f.forecast_date
+  WHERE r.complete AND r.acres_planted_all > 0 AND r.year IN (2000, 2001) GROUP BY ALL""")
+def _(fx):
+    """State drivers; with the base value they add up to the state point of the model."""
+    f = Forecasting.of(fx)
+    rolled = ml.driver_rollup(f.attributions, _CELL, "acres").groupBy(*_CELL).agg(F.count("*").alias("n_features"), F.sum("attribution").alias("total"))
+    base = f.attributions.groupBy("forecast_date").agg(F.first("base_value").alias("base"))  # one value per date
+    gap = F.abs(F.col("base") + F.col("total") - F.col("model_point"))
+    return rolled.join(base, "forecast_date").join(f.model_points, _CELL).select(*_CELL, "n_features", (gap <= 1e-2).alias("adds_up"))
+
+
 # --- dense vectors -----------------------------------------------------------
 @query("pca_reduce", "SELECT vec_id, label, CASE WHEN embedding IS NULL THEN NULL ELSE 8 END AS dims, 'base+pca8' AS model_version FROM embeddings")
 def _(fx):
@@ -216,7 +268,7 @@ def _(fx):
 
 
 # --- documents ---------------------------------------------------------------
-def forecast_docs(fx):
+def forecast_docs(fx, model=False):
     f = Forecasting.of(fx)
     cell = ["state", "year", "forecast_date"]
     cones = f.state_cones.where((F.col("pool") == "same_geoid") & (F.col("k") == 5)).drop("pool", "k")
@@ -225,7 +277,8 @@ def forecast_docs(fx):
     anchors = documents.anchor_entity(holdout, cell, "geoid", "acres_planted_all")
     history = cone.lookback_state(f.panel, "geoid", "state", (5, 10)).select("state", "year", "mean_5", "mean_10")
     analogs = f.same_entity(f.holdout_queries).select("q_geoid", "q_year", "forecast_date", "rank", "geoid", "year", "distance", "yield_target")
-    return documents.state_forecast_doc(cones, coverage, anchors, analogs, f.truth, history, cell)
+    drivers = ml.driver_rollup(f.attributions, cell, "acres") if model else None
+    return documents.state_forecast_doc(cones, coverage, anchors, analogs, f.truth, history, cell, f.model_points if model else None, drivers)
 
 
 _DOC = f"""SELECT g.state, g.year, g.forecast_date, s.point, s.p10, s.p50, s.p90, CASE WHEN s.p50 IS NOT NULL THEN 'ok' WHEN g.n_complete > 0 THEN 'unavailable_no_analogs' ELSE 'unavailable_pending_ndvi' END AS cone_status,
@@ -243,6 +296,18 @@ def _(fx):
                             F.col("point_estimate").alias("point"), "cone.p10", "cone.p50", "cone.p90", "truth"), ["point", "p10", "p50", "p90", "truth"])
 
 
+@query("state_forecast_doc_model", f"""SELECT d.state, d.year, d.forecast_date, cone_status, {rsql(['analog_point'])}, n_predicted > 0 OR analog_point IS NOT NULL AS has_point, CASE WHEN n_predicted > 0 THEN 5 END AS n_drivers,
+  {rsql(['width_80', 'mean_5', 'mean_10'])} FROM (SELECT *, point AS analog_point, p90 - p10 AS width_80 FROM ({_DOC})) d JOIN ({_PREDICTED}) p ON d.state = p.state AND d.year = p.year AND d.forecast_date = p.forecast_date
+  LEFT JOIN (SELECT a.state, a.year, sum(a.m * a.acres) FILTER (a.m IS NOT NULL AND a.acres > 0) / sum(a.acres) FILTER (a.m IS NOT NULL AND a.acres > 0) AS mean_5 FROM fx_look5_all a GROUP BY ALL) h5 ON d.state = h5.state AND d.year = h5.year
+  LEFT JOIN (SELECT a.state, a.year, sum(a.m * a.acres) FILTER (a.m IS NOT NULL AND a.acres > 0) / sum(a.acres) FILTER (a.m IS NOT NULL AND a.acres > 0) AS mean_10 FROM fx_look10_all a GROUP BY ALL) h10 ON d.state = h10.state AND d.year = h10.year""")
+def _(fx):
+    """Documents whose point comes from the regressor and whose drivers come from its attributions."""
+    d = forecast_docs(fx, model=True)
+    out = d.select(*_CELL, "cone_status", "analog_point", F.col("point_estimate").isNotNull().alias("has_point"),
+                   F.when(F.col("drivers").isNotNull(), F.size("drivers")).alias("n_drivers"), "cone.width_80", "history.mean_5", "history.mean_10")
+    return rounded(out, ["analog_point", "width_80", "mean_5", "mean_10"])
+
+
 @query("payload_round", f"SELECT state, year, forecast_date, round_even(point, 1) AS point, round_even(p50, 1) AS p50, round_even(truth, 1) AS truth, cone_status FROM ({_DOC})")
 def _(fx):
     p = documents.payload_round(forecast_docs(fx))
