@@ -50,15 +50,6 @@ class Fixtures:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
 
-    def spread(self, rows: DataFrame, source: str) -> DataFrame:
-        """Spread rows for work that is heavy per row and comes before any shuffle.
-
-        Only where the source lies in fewer splits than half the cores; a table
-        with files enough is left as it is and costs no shuffle.
-        """
-        cores = self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores) if self.table(source).rdd.getNumPartitions() < cores // 2 else rows
-
     @cached_property
     def entity(self) -> DataFrame:
         segment = F.when(F.col("c_mktsegment") == "AUTOMOBILE", "001").when(F.col("c_mktsegment") == "BUILDING", "003") \
@@ -111,7 +102,8 @@ class Fixtures:
             F.lit("HLS."), F.when(F.col("l_linenumber") % 2 == 0, "L30").otherwise("S30"), F.lit(".T"),
             F.lpad(txt(F.col("l_suppkey") % 60), 2, "0"), F.lit("TVH."), txt(F.col("y")),
             F.lpad(txt(F.dayofyear("d")), 3, "0"), F.lit("T"), F.lpad(txt(F.col("l_orderkey") % 240000), 6, "0"), F.lit(".v2.0"))
-        rows = self.spread(self.line.where(F.month("d").between(5, 11)), "lineitem")
+        # a season's scenes end on 15 November
+        rows = self.line.where(F.date_format("d", "MMdd").between("0501", "1115"))
         return rows.select(
             "geoid", "state", F.col("y").alias("year"), F.col("d").alias("scene_date"), gid.alias("granule_id"),
             (F.col("l_extendedprice") / 1000).alias("cloud_pct"), (1 - F.col("l_quantity") / 50.0).alias("valid_pixel_frac"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from acrescope.operators import cone, knn, ml, panel, scoring, trend
 from acrescope.plans import fixtures as fxm
 from acrescope.plans.fixtures import CLIMATE
-from acrescope.session import cut_lineage
+from acrescope.session import cut_lineage, fingerprint
 
 KS = (3, 5)
 ROUNDS, DEPTH = 20, 3
@@ -21,7 +21,9 @@ class Forecasting:
     """Each step is a lazy DataFrame; tables used by several steps are written once.
 
     ``of`` shares the written tables between queries of one session over the
-    same input folder, as the hand-off files of a batch run would be.
+    same input folder, as the hand-off files of a batch run would be; once an
+    input table changes, the next query starts from the sources. ``forget``
+    drops what is shared, ``session.drop_intermediates`` the written tables.
     """
 
     _shared: dict = {}
@@ -31,7 +33,8 @@ class Forecasting:
 
     @classmethod
     def of(cls, fx) -> Forecasting:
-        key = (fx.spark.sparkContext.applicationId, fx.dir)
+        state = tuple(fingerprint(fx.spark, fx.path(t)) for t in fxm.SCHEMAS)
+        key = (fx.spark.sparkContext.applicationId, fx.dir, state)
         if key not in cls._shared:
             cls._shared[key] = cls(fx)
         return cls._shared[key]

@@ -45,7 +45,7 @@ SELECT geoid, state, y AS year, d AS scene_date,
        '.v2.0' AS granule_id,
        l_extendedprice / 1000 AS cloud_pct, 1 - l_quantity / 50.0 AS valid_pixel_frac, l_tax * 10 AS corn_pixel_frac,
        l_orderkey, l_linenumber, l_partkey, l_suppkey
-FROM fx_line WHERE month(d) BETWEEN 5 AND 11
+FROM fx_line WHERE month(d) BETWEEN 5 AND 10 OR (month(d) = 11 AND day(d) <= 15)
 """
 VIEWS["fx_pixel"] = """
 SELECT l_suppkey AS tile_id, l_orderkey % 16 AS r, l_partkey % 16 AS c,

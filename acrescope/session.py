@@ -72,6 +72,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return store.exists(place)
 
 
+def fingerprint(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(bytes, time of the last change) of a file or folder, without reading it."""
+    store, place = _file_system(spark, path)
+    return store.getContentSummary(place).getLength(), store.getFileStatus(place).getModificationTime()
+
+
 def drop_intermediates(spark: SparkSession) -> None:
     """Delete what this application wrote to the shared folder; results that still read it must be saved before."""
     store, place = _file_system(spark, shared_folder(spark))

@@ -10,13 +10,14 @@ sys.path.insert(0, str(ROOT / "tests"))
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from acrescope.session import get_session
+    from acrescope.session import drop_intermediates, get_session
 
     session = get_session("acrescope-tests", cpus=8, **{
         "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_intermediates(session)
     session.stop()
 
 
