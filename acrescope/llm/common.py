@@ -176,7 +176,7 @@ class SpanIds:
     half not met for longest leaves.
     """
 
-    def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 1_500_000):
+    def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 1_000_000):
         self.make, self.limit, self.clock = make, limit, 0
         self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.at, self.size, self.seen = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -211,14 +211,12 @@ class SpanIds:
         return out, before
 
     def _keep(self, key, check, at, size) -> None:
-        join = np.concatenate
-        key, check, at, size = join([self.key, key]), join([self.check, check]), join([self.at, at]), join([self.size, size])
-        seen = join([self.seen, np.full(len(key) - len(self.seen), self.clock)])
-        if len(key) > self.limit:
-            stay = np.argsort(-seen, kind="stable")[:self.limit // 2]
-            key, check, at, size, seen = key[stay], check[stay], at[stay], size[stay], seen[stay]
-            begin = np.cumsum(size) - size
-            self.pool = self.pool[np.repeat(at - begin, size) + np.arange(int(size.sum()))]
-            at = begin
-        order = np.argsort(key, kind="stable")
-        self.key, self.check, self.at, self.size, self.seen = key[order], check[order], at[order], size[order], seen[order]
+        place = np.searchsorted(self.key, key)  # both sides are sorted
+        for name, new in (("key", key), ("check", check), ("at", at), ("size", size), ("seen", np.full(len(key), self.clock))):
+            setattr(self, name, np.insert(getattr(self, name), place, new))
+        if len(self.key) > self.limit:
+            stay = np.sort(np.argsort(-self.seen, kind="stable")[:self.limit // 2])
+            self.key, self.check, self.at, self.size, self.seen = (x[stay] for x in (self.key, self.check, self.at, self.size, self.seen))
+            begin = np.cumsum(self.size) - self.size
+            self.pool = self.pool[np.repeat(self.at - begin, self.size) + np.arange(int(self.size.sum()))]
+            self.at = begin

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from acrescope.llm.common import SpanIds, text_slices
 
-TEXT_SLICE = 4 << 20
+TEXT_SLICE = 2 << 20
 LONG_SPAN = 128  # characters above which a span has a heap of its own
 _MARK = "▁"
 
@@ -245,9 +245,11 @@ def encode_pieces(docs: DataFrame, model: str, *, text: str = "text", into: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load_model(model)
         for batch in batches:
-            ids = list(coder.encode(batch.column(text)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64())],
-                                             names=[*keep, into, count])
+            ids = [np.array(i, np.int32) for i in coder.encode(batch.column(text))]
+            size = np.array([len(i) for i in ids], np.int64)
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists, pa.array(size)], names=[*keep, into, count])
 
     schema = docs.select(*[c for c in docs.columns if c in keep], F.lit(None).cast("array<int>").alias(into), F.lit(None).cast("long").alias(count)).schema
     return docs.mapInArrow(run, schema)

@@ -30,7 +30,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
-TEXT_SLICE = 8 << 20
+TEXT_SLICE = 2 << 20
 
 
 def _tokenizer(path: str) -> SpanIds:
@@ -63,11 +63,9 @@ def encode_texts(path: str, texts: pa.Array, end_id: int) -> Iterator[np.ndarray
     """
     store, end = _tokenizer(path), np.array([end_id], np.int32)
     for _, _, data, offsets in text_slices(texts, TEXT_SLICE):
-        wide = np.concatenate([[0], np.cumsum(data >= 128)])[offsets]
-        mark = np.zeros(len(data) + 1, np.int64)
-        mark[1:-1] = np.cumsum((data[:-1] == 60) & (data[1:] == 124)) if len(data) > 1 else 0
-        mark[-1] = mark[-2] if len(data) > 1 else 0
-        plain = (np.diff(wide) == 0) & (np.diff(mark[offsets]) == 0)
+        odd = data >= 128
+        odd[:-1] |= (data[:-1] == 60) & (data[1:] == 124)
+        plain = np.diff(np.concatenate([[0], np.cumsum(odd, dtype=np.int32)])[offsets]) == 0
         data = np.where(np.repeat(plain, np.diff(offsets)), _LOWER[data], data)
         starts, ends, before = word_spans(data, offsets)
         stop = data[ends - 1]
