@@ -106,26 +106,39 @@ def code_lookup_join(pixels: DataFrame, lookup: DataFrame, code: str, group: lis
     return counts.join(lookup, code, "left")
 
 
-def bbox_overlap_join(boxes: DataFrame, zones: DataFrame, cell: float) -> DataFrame:
-    """Pairs whose bounds intersect, through a grid instead of a cross join.
-
-    Both sides list the grid cells they cover; pairs meet on a cell and are
-    kept only in the cell that holds the lower-left corner of their overlap, so
-    each pair appears once without a distinct.
+def bbox_overlap_join(boxes: DataFrame, zones: DataFrame, cell: float, step: int = 4) -> DataFrame:
+    """Pairs whose bounds intersect, through grids of growing cells instead of a cross join.
+
+    A box lies in the finest grid whose cells are not smaller than it, so it
+    covers at most four of them, and in the coarser grids that are in use. A
+    pair meets in the grid of its larger box and is kept only in the cell that
+    holds the lower-left corner of their overlap, so each pair appears once
+    without a distinct. Boxes crowded in one cell are an equi-join key like any
+    other, which adaptive execution splits.
     """
+    def level(prefix):
+        size = F.greatest(F.col(f"{prefix}_xmax") - F.col(f"{prefix}_xmin"), F.col(f"{prefix}_ymax") - F.col(f"{prefix}_ymin"))
+        return F.greatest(F.lit(0), F.ceil(F.log(F.greatest(size / cell, F.lit(1.0))) / F.log(F.lit(float(step))))).cast("int")
+
+    top = max((df.agg(F.max(level(p))).first()[0] or 0) for df, p in ((boxes, "a"), (zones, "b")))
+
     def covered(df, prefix):
-        span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
+        side = F.lit(float(cell)) * F.pow(F.lit(float(step)), F.col("_level"))
+        span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / side), F.floor(F.col(hi) / side))
+        df = df.withColumn(f"_{prefix}", level(prefix)).withColumn("_level", F.explode(F.sequence(F.col(f"_{prefix}"), F.lit(top))))
         return (df.withColumn("_cx", F.explode(span(f"{prefix}_xmin", f"{prefix}_xmax")))
                   .withColumn("_cy", F.explode(span(f"{prefix}_ymin", f"{prefix}_ymax"))))
 
     a, b = covered(boxes, "a"), covered(zones, "b")
+    side = F.lit(float(cell)) * F.pow(F.lit(float(step)), F.col("_level"))
     x0, y0 = F.greatest("a_xmin", "b_xmin"), F.greatest("a_ymin", "b_ymin")
     return (
-        a.join(b, ["_cx", "_cy"])
+        a.join(b, ["_level", "_cx", "_cy"])
+        .where(F.col("_level") == F.greatest("_a", "_b"))
         .where((F.col("a_xmin") <= F.col("b_xmax")) & (F.col("b_xmin") <= F.col("a_xmax")))
         .where((F.col("a_ymin") <= F.col("b_ymax")) & (F.col("b_ymin") <= F.col("a_ymax")))
-        .where((F.col("_cx") == F.floor(x0 / cell)) & (F.col("_cy") == F.floor(y0 / cell)))
-        .drop("_cx", "_cy")
+        .where((F.col("_cx") == F.floor(x0 / side)) & (F.col("_cy") == F.floor(y0 / side)))
+        .drop("_level", "_cx", "_cy", "_a", "_b")
     )
 
 

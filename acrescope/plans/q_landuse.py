@@ -149,11 +149,13 @@ def _(fx):
     return L.missing_classes(L.percentages(fx.classcount, "image_id"), "image_id")
 
 
-@query("land_breakdown", """SELECT image_id, CAST(count(*) FILTER (round_even(100.0::DOUBLE * pixel_count / total, 2) > 0) AS INTEGER) AS n_classes, arg_max(class_name, (pixel_count, -class_id)) AS dominant_class,
+@query("land_breakdown", """SELECT image_id, list_sort(list(class_name || '=' || printf('%.2f', round_even(100.0::DOUBLE * pixel_count / total, 2))) FILTER (round_even(100.0::DOUBLE * pixel_count / total, 2) > 0)) AS shares, CAST(count(*) FILTER (round_even(100.0::DOUBLE * pixel_count / total, 2) > 0) AS INTEGER) AS n_classes, arg_max(class_name, (pixel_count, -class_id)) AS dominant_class,
   round_even(any_value(total) * 0.000009::DOUBLE, 3) AS total_area_ha, round_even(sum(pixel_count) FILTER (class_id >= 2) * 0.000009::DOUBLE, 3) AS assessed_area_ha,
   round_even(sum(pixel_count) FILTER (class_id < 2) / any_value(total), 4) AS excluded_fraction FROM fx_hist GROUP BY image_id""")
 def _(fx):
-    return L.land_breakdown(L.percentages(fx.classcount, "image_id"), "image_id").drop("percentages")
+    shares = F.transform(F.map_entries("percentages"), lambda e: F.format_string("%s=%.2f", e["key"], e["value"]))
+    out = L.land_breakdown(L.percentages(fx.classcount, "image_id"), "image_id")
+    return out.withColumn("shares", F.sort_array(shares)).drop("percentages")
 
 
 @query("caveat_rules", f"""SELECT image_id, list_filter([{', '.join(f"CASE WHEN {n} > {t} THEN '{x}' END" for n, (t, x) in K.MIX_CAVEATS.items())}], lambda x: x IS NOT NULL) AS caveats,

@@ -18,8 +18,8 @@ VIEWS["fx_zone"] = "SELECT r, c, CAST(r // 8 AS BIGINT) AS zone FROM (SELECT DIS
 
 
 def _zones(fx):
-    """Membership table: each pixel touches a row band and a column band."""
-    cells = fx.pixel.select("r", "c").distinct()
+    """Membership table of the 16 x 16 grid: each pixel touches a row band and a column band; the pixels themselves are not read."""
+    cells = fx.spark.range(256).select(F.floor(F.col("id") / 16).alias("r"), (F.col("id") % 16).alias("c"))
     zone = F.explode(F.array(F.floor(F.col("r") / 8), 100 + F.floor(F.col("c") / 8)))
     return cells.withColumn("zone", zone)
 
