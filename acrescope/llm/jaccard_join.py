@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acrescope.llm.common import cut_lineage, mix64, ragged, sorted_groups, unique_in_docs, window_hashes, word_table
+from acrescope.llm.common import cut_lineage, mix64, ragged, small_batches, sorted_groups, unique_in_docs, window_hashes, word_table
 
 BLOCK = 256  # members of a bucket that meet in one block
 
@@ -73,7 +73,7 @@ def band_hashes(sets: np.ndarray, bounds: np.ndarray, bands: int, rows: int, see
 
 def _signatures(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             sets, bounds = shingle_sets(batch.column("text"), n)
             found = band_hashes(sets, bounds, bands, rows).view(np.int64)
             some = pa.array(np.diff(bounds) > 0)
@@ -87,7 +87,7 @@ def _signatures(n: int, bands: int, rows: int):
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             sets, bounds = shingle_sets(batch.column("text"), n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("weight"), batch.column("bands"), pa.array(ragged(sets, bounds), pa.binary())],
@@ -206,8 +206,8 @@ def text_key(text: str = "text"):
     return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256), 1, 32))
 
 
-def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999,
-                    max_hashes: int = 64) -> DataFrame:
+def jaccard_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.99999,
+                    max_hashes: int = 96) -> DataFrame:
     """One row per text class: key, rep (smallest doc_id with the text), weight (documents), links, class_id, component.
 
     ``links`` counts the documents with another text whose n-gram set has
