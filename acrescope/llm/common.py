@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from acrescope.session import cut_lineage, shared_folder
 
-__all__ = ["cut_lineage", "shared_folder", "text_slices", "word_table", "window_hashes", "unique_in_docs", "ragged", "table_bytes",
+__all__ = ["cut_lineage", "shared_folder", "text_slices", "small_batches", "word_table", "window_hashes", "unique_in_docs", "ragged", "table_bytes",
            "sorted_groups", "mix64", "crc_mod", "SpanIds"]
 
 SLICE_BYTES = 1 << 20
@@ -66,6 +66,13 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
         start = end
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that what a worker makes of one stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start byte, end byte, words before each row) of the words in a slice; words do not cross rows."""
     inside = ~space[data]

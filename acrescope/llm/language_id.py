@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acrescope.llm.common import text_slices
+from acrescope.llm.common import small_batches, text_slices
 
 BUCKETS = 1 << 15
 MAX_LANGS = 512  # the model is BUCKETS x languages and is broadcast
@@ -48,7 +48,7 @@ def gram_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in small_batches(batches):
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
         for _, _, grams, row in gram_slices(batch.column("text")):
             names = langs[row]
@@ -116,7 +116,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             langs, score = shared.value.predict(batch.column(text))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(score, pa.float64())],
                                              names=[*keep, "lang_pred", "score"])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acrescope.llm.common import SpanIds, text_slices
+from acrescope.llm.common import SpanIds, small_batches, text_slices
 
 TEXT_SLICE = 2 << 20
 LONG_SPAN = 128  # characters above which a span has a heap of its own
@@ -244,7 +244,7 @@ def encode_pieces(docs: DataFrame, model: str, *, text: str = "text", into: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load_model(model)
-        for batch in batches:
+        for batch in small_batches(batches):
             ids = [np.array(i, np.int32) for i in coder.encode(batch.column(text))]
             size = np.array([len(i) for i in ids], np.int64)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
@@ -261,7 +261,7 @@ def decode_pieces(rows: DataFrame, model: str, *, ids: str = "ids", into: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load_model(model)
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [None if i is None else coder.decode(i).decode() for i in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, into])
 

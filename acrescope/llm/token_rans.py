@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrescope.llm.common import SpanIds, cut_lineage, text_slices, word_spans
+from acrescope.llm.common import SpanIds, cut_lineage, small_batches, text_slices, word_spans
 
 BLOCK = 1 << 18  # ids in a block
 LANES = 1 << 10  # interleaved coders of a block
@@ -86,7 +86,7 @@ def _tokenize(path: str, end_id: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        for batch in batches:
+        for batch in small_batches(batches):
             ids = list(encode_texts(path, batch.column("text"), end_id))
             width = [2 if i.max() < 65536 else 4 for i in ids]  # 16 bits where all ids of the document allow it
             body = [i.astype(np.uint16 if w == 2 else np.uint32).tobytes() for w, i in zip(width, ids)]

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acrescope.llm.common import span_hash, text_slices, unique_in_docs, word_spans
+from acrescope.llm.common import small_batches, span_hash, text_slices, unique_in_docs, word_spans
 
 BITS = 21
 SAMPLE = 12_000  # labelled documents a model is fitted on, at most
@@ -70,15 +70,13 @@ class FactorizationMachine:
 
 def select_terms(terms: np.ndarray, bounds: np.ndarray, label: np.ndarray, limit: int) -> np.ndarray:
     """The terms with the largest chi-square of presence against label; ties go to the smaller term."""
-    row = np.repeat(np.arange(len(label)), np.diff(bounds))
     n, pos = len(label), label.sum()
-    df = np.bincount(terms, minlength=1 << BITS).astype(float)
-    hit = np.bincount(terms, label[row], 1 << BITS)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = n * (hit * n - df * pos) ** 2 / (df * (n - df) * pos * (n - pos))
-    chi = np.where(df >= 3, np.nan_to_num(chi), 0)
+    df, hit = np.bincount(terms, minlength=1 << BITS), np.bincount(terms[np.repeat(label > 0, np.diff(bounds))], minlength=1 << BITS)
+    some = np.flatnonzero((df >= 3) & (df < n))
+    df, hit = df[some].astype(float), hit[some].astype(float)
+    chi = n * (hit * n - df * pos) ** 2 / (df * (n - df) * pos * (n - pos))
     best = np.argsort(-chi, kind="stable")[:limit]
-    return np.sort(best[chi[best] >= MIN_CHI2])
+    return np.sort(some[best[chi[best] >= MIN_CHI2]])
 
 
 def train(terms: np.ndarray, bounds: np.ndarray, label: np.ndarray, *, limit: int = TERMS, factors: int = FACTORS, steps: int = 4000,
@@ -96,8 +94,9 @@ def train(terms: np.ndarray, bounds: np.ndarray, label: np.ndarray, *, limit: in
     rng = np.random.default_rng(seed)
     bias, w, v = float(np.log(share / (1 - share))), np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), factors))
     x = np.zeros((len(label), len(chosen)), np.float32)  # at most SAMPLE x TERMS
-    row, at = np.repeat(np.arange(len(label)), np.diff(bounds)), place[terms]
-    x[row[at >= 0], at[at >= 0]] = 1
+    at = place[terms]
+    known = at >= 0
+    x[np.repeat(np.arange(len(label), dtype=np.int32), np.diff(bounds))[known], at[known]] = 1
     gb, gw, gv = 1e-8, np.full(w.shape, 1e-8), np.full(v.shape, 1e-8)
     for _ in range(-(-steps * batch // max(len(label), batch)) if len(chosen) else 0):
         order = rng.permutation(len(label))
@@ -117,7 +116,7 @@ def train(terms: np.ndarray, bounds: np.ndarray, label: np.ndarray, *, limit: in
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         terms, bounds = term_rows(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(terms, pa.int32()))],
                                          names=["doc_id", "terms"])
@@ -137,12 +136,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     found = rows.mapInArrow(_terms, "doc_id long, terms array<int>").limit(2 * sample).toArrow()
     value = dict(picked.toPandas().itertuples(index=False))
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")  # the fit does not depend on the order of files
-    found = found.take(pa.array(order)).combine_chunks()
-    terms = found.column("terms").combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int32()))
-    terms = pa.concat_arrays(terms.chunks) if isinstance(terms, pa.ChunkedArray) else terms
-    bounds = terms.offsets.to_numpy() - (terms.offsets[0].as_py() if len(terms) else 0)
-    ids = found.column("doc_id").to_pylist()
-    return train(terms.flatten().to_numpy(), bounds if len(terms) else np.zeros(1, np.int64), np.array([value[i] for i in ids], float))
+    found = found.take(pa.array(order))
+    label = np.array([value[i] for i in found.column("doc_id").to_pylist()], float)
+    size = pc.list_value_length(found.column("terms")).to_numpy()
+    terms = pc.list_flatten(found.column("terms")).to_numpy()
+    del found
+    return train(terms, np.concatenate([[0], np.cumsum(size)]).astype(np.int64), label)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, *, text: str = "text", into: str = "score") -> DataFrame:
@@ -151,7 +150,7 @@ def score(docs: DataFrame, model: FactorizationMachine, *, text: str = "text", i
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(shared.value.score(batch.column(text)), pa.float64())], names=[*names, into])
 
     return docs.select(*names).mapInArrow(run, docs.select(*names, F.lit(0.0).alias(into)).schema)
