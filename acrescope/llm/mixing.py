@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 64  # documents of a source that stay together
 MAX_SOURCES = 512
-SALT_ROWS = 20_000  # rows of a source that are ordered in one task
+SALT_ROWS = 4_000  # rows of a source that are ordered in one task
 PARTS = 1000  # units that default weights are rounded to
 
 
