@@ -130,8 +130,12 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, *, source: str =
     return placed.select(*names, "_mix_source", "_source_index", "_block").mapInArrow(run, schema)
 
 
-def in_mixed_order(docs: DataFrame, weights: dict[str, int] | None = None, **options) -> DataFrame:
-    """The documents in the order of the mixture: sorted ranges of slots, columns as they were."""
+def in_mixed_order(docs: DataFrame, weights: dict[str, int] | None = None, *, places: bool = False, **options) -> DataFrame:
+    """The documents in the order of the mixture: sorted ranges of slots, columns as they were.
+
+    Files that are read again come in another order; with ``places`` the columns of ``mix`` stay, which say it for good.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = mix(docs, weights, **options)
-    return rows.repartitionByRange(parts, "_slot", "_source_index").sortWithinPartitions("_slot", "_source_index").select(*docs.columns)
+    rows = rows.repartitionByRange(parts, "_slot", "_source_index").sortWithinPartitions("_slot", "_source_index")
+    return rows if places else rows.select(*docs.columns)

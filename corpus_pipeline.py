@@ -30,8 +30,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of the documents."""
-    return piece_codec.encode_pieces(docs, queries.tokenizer_file(queries.PIECE_MODEL))
+    """Piece ids of the documents in the order of the mixture, with their _source_index, _block and _slot.
+
+    Files are not read in the order they were written in, so the places are made
+    again from sources and ids, which are those that the mixture had.
+    """
+    return piece_codec.encode_pieces(mixing.in_mixed_order(docs, places=True), queries.tokenizer_file(queries.PIECE_MODEL))
 
 
 STAGES = [("toxicity", toxicity), ("n-gram Jaccard join", near_duplicates), ("substring dedup", substrings), ("mixing sources to target weights", mixture),

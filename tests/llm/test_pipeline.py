@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from acrescope.llm import piece_codec, queries
+from acrescope.llm import mixing, piece_codec, queries
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +44,14 @@ def test_ids_give_the_texts_back(stages):
 
 def test_run_gives_the_rows_of_the_last_stage(spark, stages, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).select("doc_id", "n_tokens").exceptAll(stages[4].select("doc_id", "n_tokens")).count() == 0
+
+
+def test_run_follows_the_schedule_after_files_are_read_again(spark, stages, sf_dir, tmp_path):
+    want = [(r._slot, r._source_index, r.doc_id) for r in mixing.mix(stages[2]).orderBy("_slot", "_source_index").collect()]
+    assert len({slot for slot, _, _ in want}) > 5
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert [(r._slot, r._source_index, r.doc_id) for r in out.collect()] == want
+    out.write.parquet(f"{tmp_path}/out")
+    again = spark.read.parquet(f"{tmp_path}/out")
+    assert len(again.inputFiles()) > 1
+    assert [(r._slot, r._source_index, r.doc_id) for r in again.orderBy("_slot", "_source_index").collect()] == want
