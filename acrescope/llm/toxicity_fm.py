@@ -15,8 +15,7 @@ from acrescope.llm.common import small_batches, span_hash, text_slices, unique_i
 
 BITS = 21
 SAMPLE = 12_000  # labelled documents a model is fitted on, at most
-TERMS = 512  # hashed terms kept by their chi-square with the label
-MIN_CHI2 = 15.1
+LEAST = 2  # documents of the sample a term must be in to be learned
 FACTORS = 8
 # terms are runs of ASCII letters and digits and of all bytes of other characters
 _EDGE = np.ones(256, bool)
@@ -68,51 +67,79 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-z))
 
 
-def select_terms(terms: np.ndarray, bounds: np.ndarray, label: np.ndarray, limit: int) -> np.ndarray:
-    """The terms with the largest chi-square of presence against label; ties go to the smaller term."""
-    n, pos = len(label), label.sum()
-    df, hit = np.bincount(terms, minlength=1 << BITS), np.bincount(terms[np.repeat(label > 0, np.diff(bounds))], minlength=1 << BITS)
-    some = np.flatnonzero((df >= 3) & (df < n))
-    df, hit = df[some].astype(float), hit[some].astype(float)
-    chi = n * (hit * n - df * pos) ** 2 / (df * (n - df) * pos * (n - pos))
-    best = np.argsort(-chi, kind="stable")[:limit]
-    return np.sort(some[best[chi[best] >= MIN_CHI2]])
+def select_terms(terms: np.ndarray, bounds: np.ndarray, label: np.ndarray, least: int) -> np.ndarray:
+    """All terms in ``least`` rows or more, whatever their labels; a term in one row tells nothing of another."""
+    return np.flatnonzero(np.bincount(terms, minlength=1 << BITS) >= least)
 
 
-def train(terms: np.ndarray, bounds: np.ndarray, label: np.ndarray, *, limit: int = TERMS, factors: int = FACTORS, steps: int = 4000,
-          batch: int = 256, rate: float = 0.1, decay: float = 3e-4, dropout: float = 0.3, seed: int = 5) -> FactorizationMachine:
-    """Minibatch AdaGrad on the logistic loss; without both labels the model is the smoothed share of label 1.
+def _shrink(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    return np.sign(x) * np.maximum(np.abs(x) - by, 0)
 
-    A share of the terms is left out at random in each step, so that one telling
-    term is enough where training texts mostly hold several.
+
+def train(terms: np.ndarray, bounds: np.ndarray, label: np.ndarray, *, least: int = LEAST, factors: int = FACTORS, steps: int = 900, batch: int = 256,
+          rate: float = 0.1, calm: tuple[float, float] = (1e-6, 1e-4), penalty: tuple[float, float] = (2.0, 3.0), knee: float = 0.1,
+          dropout: float = 0.5, seed: int = 5) -> FactorizationMachine:
+    """Minibatch AdaGrad on the logistic loss over sparse rows; without both labels the model is the smoothed share of label 1.
+
+    All terms take part, with a weight and with factors, at work that grows with
+    the terms of the rows. After a step, what is moved shrinks towards zero by
+    ``penalty`` (weights, factors) times the standard error of a gradient that
+    is chance alone, the less the larger it is (from ``knee`` on), so that a
+    hundred thousand terms without a message add up to nothing; weights of terms
+    that few steps move go further in each. A share of the
+    terms is left out at random in each step, so that one telling term is enough
+    where training texts mostly hold several.
     """
     label = label.astype(float)
-    chosen = select_terms(terms, bounds, label, limit) if 0 < label.sum() < len(label) else np.zeros(0, int)
+    chosen = select_terms(terms, bounds, label, least) if 0 < label.sum() < len(label) else np.zeros(0, int)
+    n, rows_all = len(chosen), len(label)
     place = np.full(1 << BITS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    share = (label.sum() + 0.5) / (len(label) + 1)
+    place[chosen] = np.arange(n)
+    share = (label.sum() + 0.5) / (rows_all + 1)
     rng = np.random.default_rng(seed)
-    bias, w, v = float(np.log(share / (1 - share))), np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), factors))
-    x = np.zeros((len(label), len(chosen)), np.float32)  # at most SAMPLE x TERMS
+    bias, w, v = float(np.log(share / (1 - share))), np.zeros(n, np.float32), rng.normal(0, 0.01, (n, factors)).astype(np.float32)
     at = place[terms]
-    known = at >= 0
-    x[np.repeat(np.arange(len(label), dtype=np.int32), np.diff(bounds))[known], at[known]] = 1
-    gb, gw, gv = 1e-8, np.full(w.shape, 1e-8), np.full(v.shape, 1e-8)
-    for _ in range(-(-steps * batch // max(len(label), batch)) if len(chosen) else 0):
-        order = rng.permutation(len(label))
-        for k in range(0, len(order), batch):
-            rows = order[k:k + batch]
-            xb = x[rows] * (rng.random((len(rows), len(chosen))) >= dropout)
-            xv = xb @ v
-            z = bias + xb @ w + ((xv ** 2).sum(1) - (xb @ (v * v)).sum(1)) / 2
-            err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label[rows]) / len(rows)
-            db, dw = err.sum(), xb.T @ err + decay * w
-            dv = xb.T @ (err[:, None] * xv) - (xb.T @ err)[:, None] * v + decay * v
-            gb, gw, gv = gb + db * db, gw + dw * dw, gv + dv * dv
-            bias -= rate * db / gb ** 0.5
-            w -= rate * dw / np.sqrt(gw)
-            v -= rate * dv / np.sqrt(gv)
-    return FactorizationMachine(place, bias, w, v)
+    begin = np.concatenate([[0], np.cumsum(at >= 0)])[bounds]
+    at = at[at >= 0]
+    df = np.bincount(at, minlength=n)
+    met = 1 - (1 - np.minimum(df / max(rows_all, 1), 1) * (1 - dropout)) ** min(batch, max(rows_all, 1))  # chance that a step moves a term
+    noise = (np.sqrt(np.minimum(df, rows_all - df + 1) * (1 - dropout) * share * (1 - share)) / max(rows_all, 1) / met).astype(np.float32)
+    met = met.astype(np.float32)
+    gb, gw, gv = calm[1], np.full(w.shape, calm[0], np.float32), np.full(v.shape, calm[1], np.float32)
+    epochs = -(-steps * batch // max(rows_all, batch)) if n else 0
+    left = np.linspace(1, 0, epochs * -(-rows_all // batch), endpoint=False)
+    for step in range(len(left)):
+        k = step % -(-rows_all // batch) * batch
+        order = rng.permutation(rows_all) if k == 0 else order
+        rows, pace = order[k:k + batch], rate * left[step]
+        size = begin[rows + 1] - begin[rows]
+        row = np.repeat(np.arange(len(rows)), size)
+        idx = at[np.repeat(begin[rows] - (np.cumsum(size) - size), size) + np.arange(len(row))]
+        stay = rng.random(len(idx), np.float32) >= dropout
+        idx, row = idx[stay], row[stay]
+        z, xv = np.full(len(rows), bias), np.zeros((len(rows), factors), np.float32)
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        if len(first):
+            some, own = row[first], v[idx]
+            xv[some] = np.add.reduceat(own, first, axis=0)
+            z[some] += np.add.reduceat(w[idx], first) + ((xv[some] ** 2).sum(1) - np.add.reduceat((own * own).sum(1), first)) / 2
+        err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label[rows]) / len(rows)
+        moved = np.flatnonzero(np.bincount(idx, minlength=n))
+        dw = np.bincount(idx, err[row], n)[moved]
+        wm, vm = w[moved], v[moved]
+        dv = np.stack([np.bincount(idx, (err * xv[:, f])[row], n)[moved] for f in range(factors)], 1) - dw[:, None] * vm
+        db = err.sum()
+        gb += db * db
+        bias -= pace * db / gb ** 0.5
+        gw[moved] += dw * dw
+        gv[moved] += dv * dv
+        fw, fv = pace / np.sqrt(gw[moved] * met[moved]), pace / np.sqrt(gv[moved])
+        w[moved] = _shrink(wm - fw * dw, fw * penalty[0] * noise[moved] / (1 + np.abs(wm) / knee))
+        v[moved] = _shrink(vm - fv * dv, fv * penalty[1] * noise[moved, None] * np.sqrt((xv ** 2).mean(0)) / (1 + np.abs(vm) / knee))
+    some = np.flatnonzero((w != 0) | (v != 0).any(axis=1))  # the others add nothing to any score
+    place[chosen] = -1
+    place[chosen[some]] = np.arange(len(some))
+    return FactorizationMachine(place, bias, w[some], v[some])
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -168,6 +168,28 @@ def test_pairs_that_a_sum_of_weights_cannot_tell():
     assert ((model.logits(terms, bounds) > 0) == (label == 1)).mean() > 0.97
 
 
+def test_a_pair_of_words_that_tell_nothing_alone_is_learned_by_the_fit(spark):
+    rng, rows = np.random.default_rng(4), []
+    for i in range(3000):
+        a, b = rng.random(2) < 0.5
+        rows.append((i, " ".join(["aa"] * int(a) + ["bb"] * int(b) + [f"f{k}" for k in rng.integers(40, size=6)]), int(a == b)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity_fm.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    score = model.score(pa.array([t for _, t, _ in rows]))
+    assert ((score >= 0.5) == np.array([y for *_, y in rows])).mean() > 0.97
+
+
+def test_more_telling_terms_than_any_fixed_number_are_learned():
+    """600 terms in three rows of label 1 each; the first 512 are 85 of 100 of these rows."""
+    rng, terms, bounds = np.random.default_rng(3), [], [0]
+    for i in range(12_000):
+        terms += sorted({*([1000 + i % 600] if i < 1800 else []), *(5000 + rng.integers(50, size=5)).tolist()})
+        bounds.append(len(terms))
+    terms, bounds, label = np.array(terms, np.int32), np.array(bounds), (np.arange(12_000) < 1800).astype(float)
+    found = toxicity_fm.train(terms, bounds, label).logits(terms, bounds) > 0
+    assert found[:1800].mean() > 0.9 and not found[1800:].any()
+
+
 def test_grams_stay_in_their_row():
     rows = pa.array(["ab c", "", None, "é"])
     alone = [np.sort(np.concatenate([g.ravel() for _, _, g, _ in language_id.gram_slices(rows.slice(k, 1))])) for k in range(4)]
