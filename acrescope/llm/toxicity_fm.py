@@ -152,15 +152,17 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> FactorizationMachine:
     """Fit on at most ``sample`` labelled documents, those with the smallest hashes of their ids.
 
-    Only the ids of the sample are broadcast, so texts stay where they are; the
-    sample's hashed terms come to the driver. Null labels and ids do not count;
-    an id with several labels counts as 1 if one of them is.
+    Only the ids of the sample are broadcast, so other texts stay where they are;
+    the sample's hashed terms come to the driver. Null labels and ids do not
+    count; an id with several labels counts as 1 if one of them is, one with
+    several texts has that of the smallest hash.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(label)).alias("label"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = rows.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")  # at most ``sample`` ids
-    found = rows.mapInArrow(_terms, "doc_id long, terms array<int>").limit(2 * sample).toArrow()
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = rows.mapInArrow(_terms, "doc_id long, terms array<int>").toArrow()
     value = dict(picked.toPandas().itertuples(index=False))
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")  # the fit does not depend on the order of files
     found = found.take(pa.array(order))

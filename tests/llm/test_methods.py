@@ -190,6 +190,13 @@ def test_more_telling_terms_than_any_fixed_number_are_learned():
     assert found[:1800].mean() > 0.9 and not found[1800:].any()
 
 
+def test_copies_of_one_id_leave_the_others_in_the_fit(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"copy w{i}") for i in range(300)] + [(i, f"word{i}") for i in range(2, 21)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 21)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity_fm, "train", lambda terms, bounds, label: label.tolist())
+    assert toxicity_fm.fit(docs.repartition(4), labels, sample=20) == [i % 2 for i in range(1, 21)]
+
+
 def test_grams_stay_in_their_row():
     rows = pa.array(["ab c", "", None, "é"])
     alone = [np.sort(np.concatenate([g.ravel() for _, _, g, _ in language_id.gram_slices(rows.slice(k, 1))])) for k in range(4)]
