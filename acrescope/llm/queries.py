@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrescope.llm import ann_collision, jaccard_join, language_id, mixing, piece_codec, quality_rules, substring_dedup, token_rans, toxicity_fm, url_filter
+from acrescope.llm import (ann_collision, conversation_repair, jaccard_join, language_id, mixing, piece_codec, quality_rules, substring_dedup, token_count,
+                           token_rans, toxicity_fm, url_filter)
 from acrescope.llm.common import crc_mod
 from acrescope.session import fresh_path
 
-WORD_MODEL, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
+WORD_MODEL, PIECE_MODEL, BYTE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.json"
 BLOCK_RULES, ALLOW_RULES = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
 
 
@@ -82,6 +83,17 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.col("_source_index").alias("source_index"), F.col("_block").alias("block"), F.col("_slot").alias("slot"))
 
 
+def op11_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of all documents, and whether they have more than 512 tokens."""
+    return token_count.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file(BYTE_MODEL), limit=512)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of all conversations, after damage by the hash of id and turn."""
+    damaged, times = conversation_repair.damage(_table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(damaged, times=times)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -91,7 +103,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_rans, op2_sentencepiece, op3_ann_collision, op4_quality_rules, op5_language_id, op6_jaccard_join, op7_substring_dedup,
-    op8_url_filter, op9_toxicity_fm, op10_source_mixing, pipeline)}
+    op8_url_filter, op9_toxicity_fm, op10_source_mixing, op11_token_count, op12_conversation_repair, pipeline)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
