@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acrescope.llm import (ann_collision, conversation_repair, jaccard_join, language_id, mixing, piece_codec, quality_rules, substring_dedup, token_count,
+from acrescope.llm import (ann_collision, conversation_repair, hard_negatives, jaccard_join, language_id, mixing, piece_codec, quality_rules, substring_dedup, token_count,
                            token_rans, toxicity_fm, url_filter)
 from acrescope.llm.common import crc_mod
 from acrescope.session import fresh_path
@@ -94,6 +94,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(damaged, times=times)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, after every seventh row's label moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -103,7 +109,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_rans, op2_sentencepiece, op3_ann_collision, op4_quality_rules, op5_language_id, op6_jaccard_join, op7_substring_dedup,
-    op8_url_filter, op9_toxicity_fm, op10_source_mixing, op11_token_count, op12_conversation_repair, pipeline)}
+    op8_url_filter, op9_toxicity_fm, op10_source_mixing, op11_token_count, op12_conversation_repair,
+    op13_hard_negatives, pipeline)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
