@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressionModel, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,27 +35,6 @@ def in_threads(spark: SparkSession, jobs: list[Callable], parallelism: int = 4)
         return pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs)
 
 
-def gbt_fit(train: DataFrame, val: DataFrame, features: list[str], target: str, max_iter: int = 20, max_depth: int = 3,
-            step: float = 0.1, subsample: float = 1.0, min_rows: int = 1, seed: int = 42) -> GBTRegressionModel:
-    """Squared-error boosting with early stop on the validation rows.
-
-    Rows with a NULL feature are dropped; a NULL label is an error.
-    """
-    fail = F.raise_error(F.lit(f"NULL {target} in training rows")).cast("double")
-    tag = lambda df, flag: df.select(*features, F.coalesce(F.col(target), fail).alias("label"), F.lit(flag).alias("is_val"))
-    rows = _assembled(tag(train, False).unionByName(tag(val, True)), features).where(F.col("features").isNotNull())
-    gbt = GBTRegressor(featuresCol="features", labelCol="label", validationIndicatorCol="is_val", maxIter=max_iter, maxDepth=max_depth,
-                       stepSize=step, subsamplingRate=subsample, minInstancesPerNode=min_rows, seed=seed)
-    return gbt.fit(rows)
-
-
-def gbt_fit_all(train: DataFrame, val: DataFrame, by_date: dict[str, list[str]], target: str, **params) -> dict[str, GBTRegressionModel]:
-    """One model per date; each fit is a distributed job, and the fits overlap."""
-    on = lambda df, d: df.where(F.col("forecast_date") == d)
-    fits = in_threads(train.sparkSession, [lambda d=d, cols=cols: gbt_fit(on(train, d), on(val, d), cols, target, **params) for d, cols in by_date.items()])
-    return dict(zip(by_date, fits))
-
-
 def gbt_predict(rows: DataFrame, models: dict[str, GBTRegressionModel], by_date: dict[str, list[str]]) -> DataFrame:
     """Route each row to its date's model. All rows come back: an incomplete one
     has a NULL prediction, and a date without a model is an error."""
@@ -72,91 +51,80 @@ def gbt_predict(rows: DataFrame, models: dict[str, GBTRegressionModel], by_date:
     return out
 
 
-def grid_sweep(train: DataFrame, val: DataFrame, features: list[str], target: str, grid: list[dict]) -> tuple[DataFrame, dict]:
-    """Fit every configuration, score RMSE on the fixed validation rows, keep the
-    first best. The inputs are cut to the needed columns and persisted; only scores return."""
-    from acrescope.operators.scoring import rmse
-
-    train, val = train.select(*features, target).persist(), val.select(*features, target).persist()
-
-    def score(i, params):
-        model = gbt_fit(train, val, features, target, **params)
-        pred = model.transform(_assembled(val, features).where(F.col("features").isNotNull()))
-        row = pred.withColumn("_e", F.col("prediction") - F.col(target)).agg(rmse("_e").alias("r"), F.count(F.lit(1)).alias("n")).first()
-        return i, str(sorted(params.items())), row["r"], row["n"]
-
-    scores = in_threads(train.sparkSession, [lambda i=i, params=params: score(i, params) for i, params in enumerate(grid)])
-    train.unpersist(), val.unpersist()
-    best = min(scores, key=lambda s: (s[2], s[0]))
-    table = val.sparkSession.createDataFrame(scores, "seq int, params string, rmse double, n long")
-    return table.withColumn("picked", F.col("seq") == best[0]), grid[best[0]]
-
-
 # --- attribution -------------------------------------------------------------
-def tree_paths(model: GBTRegressionModel) -> tuple[list, float]:
+def tree_paths(nodes: list) -> tuple[list, float]:
     """Leaves of all trees as (weight*value, [(feature, low, high, ratio)]) and the base value.
 
-    A path keeps one interval and one cover ratio per feature. The model's size
-    is set by its parameters (trees x 2^depth), not by the data.
+    ``nodes`` are rows of ``bundles.tree_nodes`` of one model. A path keeps one
+    interval and one cover ratio per feature. The model's size is set by its
+    parameters (trees x 2^depth), not by the data.
     """
+    trees: dict[int, dict] = {}
+    for n in nodes:
+        trees.setdefault(n.tree, {})[n.node] = n
     leaves, base = [], 0.0
-
-    def walk(node, bounds, weight, cover):
-        if node.numDescendants() == 0:
-            leaves.append((weight * node.prediction(), [(f, lo, hi, z) for f, (lo, hi, z) in sorted(bounds.items())]))
-            return weight * node.prediction() * cover
-        split, total = node.split(), 0.0
-        f, t = split.featureIndex(), split.threshold()
-        n = node.impurityStats().count()
-        for child, left in ((node.leftChild(), True), (node.rightChild(), False)):
-            ratio = child.impurityStats().count() / n
-            lo, hi, z = bounds.get(f, (-np.inf, np.inf, 1.0))
-            interval = (lo, min(hi, t), z * ratio) if left else (max(lo, t), hi, z * ratio)
-            total += walk(child, {**bounds, f: interval}, weight, cover * ratio)
-        return total
-
-    for tree, weight in zip(model.trees, model.treeWeights):
-        base += walk(tree._call_java("rootNode"), {}, weight, 1.0)
+    for tree in sorted(trees):
+        of = trees[tree]
+        open_ = [(of[0], {}, 1.0)]
+        while open_:
+            n, bounds, cover = open_.pop()
+            if n.left < 0:
+                leaves.append((n.weight * n.prediction, [(f, lo, hi, z) for f, (lo, hi, z) in sorted(bounds.items())]))
+                base += n.weight * n.prediction * cover
+                continue
+            for child, left in ((of[n.right], False), (of[n.left], True)):
+                ratio = child.rows / n.rows
+                lo, hi, z = bounds.get(n.feature, (-np.inf, np.inf, 1.0))
+                interval = (lo, min(hi, n.threshold), z * ratio) if left else (max(lo, n.threshold), hi, z * ratio)
+                open_.append((child, {**bounds, n.feature: interval}, cover * ratio))
     return leaves, base
 
 
-def attribute(x: np.ndarray, leaves: list) -> np.ndarray:
-    """Exact path-dependent Shapley values of a tree sum, vectorised over rows.
+def attribute(x: np.ndarray, leaves: list, cells: int = 1 << 20) -> np.ndarray:
+    """Exact path-dependent Shapley values of a tree sum, vectorised over rows and over leaves of equal length.
 
     On one path, a known feature contributes whether the row is inside its
     interval, an unknown one its cover ratio. The subsets of the path's other
     features are summed by size through the coefficients of a product of linear
-    factors, so the work is a power of the path's length, not exponential in it.
+    factors: the product of all is made once, and each feature's own factor divided out of
+    it, so the work is the square of the path's length, not exponential in it.
     """
-    phi = np.zeros(x.shape)
+    phi, by_length = np.zeros(x.shape), {}
     for value, path in leaves:
-        d = len(path)
-        if d == 0:
-            continue
-        inside = [((x[:, f] > lo) & (x[:, f] <= hi)).astype(float) for f, lo, hi, _ in path]
-        ratio = [z for *_, z in path]
+        by_length.setdefault(len(path), []).append((value, path))
+    for d, same in by_length.items():
         weights = [factorial(size) * factorial(d - size - 1) / factorial(d) for size in range(d)]
-        for i in range(d):
-            by_size = [np.ones(len(x))]
+        step = max(1, cells // max(1, len(x)))
+        for at in range(0, len(same) if d else 0, step):
+            part = same[at:at + step]
+            value = np.array([v for v, _ in part])
+            feature, low, high, ratio = (np.array([[f[c] for f in p] for _, p in part]) for c in range(4))
+            inside = [(x[:, feature[:, j]] > low[:, j]) & (x[:, feature[:, j]] <= high[:, j]) for j in range(d)]
+            whole = [np.ones((len(x), len(part)))]
             for j in range(d):
-                if j != i:
-                    grown = [c * ratio[j] for c in by_size] + [np.zeros(len(x))]
-                    for size, c in enumerate(by_size):
-                        grown[size + 1] = grown[size + 1] + c * inside[j]
-                    by_size = grown
-            total = sum(w * c for w, c in zip(weights, by_size))
-            phi[:, path[i][0]] += value * (inside[i] - ratio[i]) * total
+                grown = [c * ratio[:, j] for c in whole] + [np.zeros_like(whole[0])]
+                for size, c in enumerate(whole):
+                    grown[size + 1] += np.where(inside[j], c, 0.0)
+                whole = grown
+            for i in range(d):
+                total, rest = np.zeros_like(whole[0]), np.zeros_like(whole[0])
+                for size in range(d - 1, -1, -1):  # coefficients without feature i, the largest subsets first
+                    rest = np.where(inside[i], whole[size + 1] - ratio[:, i] * rest, whole[size] / ratio[:, i])
+                    total += weights[size] * rest
+                gain = value * (inside[i] - ratio[:, i]) * total
+                for f in np.unique(feature[:, i]):
+                    phi[:, f] += gain[:, feature[:, i] == f].sum(axis=1)
     return phi
 
 
-def tree_attribution(rows: DataFrame, model: GBTRegressionModel, features: list[str], keys: list[str]) -> DataFrame:
+def tree_attribution(rows: DataFrame, model: GBTRegressionModel, nodes: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
     """Long table of additive contributions: keys, feature, value, attribution, the model's own prediction, base.
 
     Base value plus a row's contributions should equal the prediction, which
-    comes from the model and not from them.
+    comes from the model and not from the ``nodes`` (``bundles.tree_nodes``).
     """
-    leaves, base = tree_paths(model)
-    shared = rows.sparkSession.sparkContext.broadcast(leaves)  # bounded by model size
+    leaves, base = tree_paths(nodes.collect())  # bounded by model size
+    shared = rows.sparkSession.sparkContext.broadcast(leaves)
     key_fields = ", ".join(f"`{k}` {t}" for k, t in rows.select(*keys).dtypes)
     whole = rows.where(F.array_size(F.array_compact(F.array(*[F.col(c).cast("double") for c in features]))) == len(features))
 

@@ -7,13 +7,19 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acrescope.operators import cone, knn, ml, panel, scoring, trend
+from acrescope.operators import boosting, chips, cone, hybrid, joins, knn, ml, panel, scoring, trend
 from acrescope.plans import fixtures as fxm
 from acrescope.plans.fixtures import CLIMATE
-from acrescope.session import cut_lineage, fingerprint
+from acrescope.session import cut_lineage, fingerprint, fresh_path
+from acrescope.sources import bundles
 
 KS = (3, 5)
-ROUNDS, DEPTH = 20, 3
+# fixed values, the published sweep: depths x step sizes x least rows of a leaf
+GRID = [{"max_depth": d, "step": s, "min_rows": m} for d in (4, 6, 8) for s in (0.05, 0.1) for m in (1, 5)]
+QC = ["chip_count", "chip_age_days_max", "cloud_pct_max", "corn_pixel_frac_min"]
+ROUTED = ["ASIA", "EUROPE"]
+KEYS = ["geoid", "year", "forecast_date"]
+N_VECTORS = 600  # panel keys share the given vectors with ids below; ids that a small table lacks leave keys without one
 CELL = ["state", "year", "forecast_date", "pool", "k"]
 
 
@@ -145,11 +151,40 @@ class Forecasting:
         return scoring.recalibrate(self.backtest, self.bias, ["pool", "k", "state", "forecast_date"], fxm.HOLDOUT_YEAR)
 
     # --- regressor chain --------------------------------------------------------
+    @cached_property
+    def validation(self) -> DataFrame:
+        return self.ready.where((F.col("year") == fxm.VAL_YEAR) & F.col("yield_target").isNotNull())
+
+    @cached_property
+    def training(self) -> boosting.Training:
+        return boosting.Training.write(self.train, self.validation, fxm.CONTRACT, "yield_target")
+
+    @cached_property
+    def swept(self) -> tuple[DataFrame, dict[str, boosting.Pick]]:
+        """The sweep's table and each date's pick, both from validation curves."""
+        return boosting.sweep(self.fx.spark, self.training, list(fxm.CONTRACT), GRID)
+
     @cached_property
     def models(self) -> dict:
-        """One boosted model per date, fitted on the training pool with the validation year for early stop."""
-        val = self.ready.where((F.col("year") == fxm.VAL_YEAR) & F.col("yield_target").isNotNull())
-        return ml.gbt_fit_all(self.train, val, fxm.CONTRACT, "yield_target", max_iter=ROUNDS, max_depth=DEPTH)
+        """One boosted model per date: the picked configuration at its best round."""
+        return boosting.fit_picks(self.fx.spark, self.training, self.swept[1])
+
+    @cached_property
+    def bundle(self) -> bundles.Bundle:
+        """Models, trends and standardizer, saved and read back."""
+        root = fresh_path(self.fx.spark, "bundle")
+        notes = {d: {**p.config, "rounds": p.rounds, "rmse": p.rmse} for d, p in self.swept[1].items()}
+        bundles.save_bundle(self.fx.spark, root, self.models, fxm.CONTRACT, {bundles.TRENDS: self.params, bundles.STANDARDIZER: self.std}, notes)
+        return bundles.load_bundle(self.fx.spark, root, fxm.CONTRACT)
+
+    def explained(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Contributions of every date's model to its predictions of complete rows."""
+        nodes, out = bundles.tree_nodes(self.fx.spark, self.bundle.folder, list(fxm.CONTRACT)), None
+        for d, cols in fxm.CONTRACT.items():
+            at = F.col("forecast_date") == d
+            part = ml.tree_attribution(rows.where(at & F.col("complete")), self.models[d], nodes.where(at), cols, keys)
+            out = part if out is None else out.unionByName(part)
+        return out
 
     @cached_property
     def tested(self) -> DataFrame:
@@ -170,12 +205,47 @@ class Forecasting:
     @cached_property
     def attributions(self) -> DataFrame:
         """Contributions of every date's model to its predictions, with the base value and acreage."""
-        out, keys = None, ["geoid", "state", "year", "forecast_date", "acres_planted_all"]
-        for d, cols in fxm.CONTRACT.items():
-            part = ml.tree_attribution(self.tested.where((F.col("forecast_date") == d) & F.col("complete")), self.models[d], cols, keys)
-            out = part if out is None else out.unionByName(part)
+        out = self.explained(self.tested, ["geoid", "state", "year", "forecast_date", "acres_planted_all"])
         return cut_lineage(out.withColumnRenamed("acres_planted_all", "acres"), "attributions")
 
+    # --- second model and routing ---------------------------------------------------
+    @cached_property
+    def chip_vectors(self) -> DataFrame:
+        """Per panel key its chip columns and, where it has a chip, one of the given vectors."""
+        from acrescope.plans.q_chips import index
+
+        grid = joins.skeleton_cross(self.panel.select("geoid", "year"))
+        coverage = chips.chip_coverage(grid, chips.chip_sequence(index(self.fx), "geoid"), "geoid")
+        number = (F.col("geoid").cast("int") * 28 + (F.col("year") - fxm.TRAIN_YEARS[0]) * 4 + F.col("date_rank")) % N_VECTORS
+        given = self.fx.table("embeddings").select(F.col("vec_id").alias("_id"), F.col("embedding").alias("_vec"))
+        out = coverage.withColumn("_id", number.cast("long")).join(given, "_id", "left")
+        return cut_lineage(out.select(*KEYS, *QC, F.when(~F.col("fully_padded"), F.col("_vec")).alias("vector")), "chip-vectors")
+
+    @cached_property
+    def probed(self) -> DataFrame:
+        """The panel with the chip columns and the out-of-fold probe; five folds of entities."""
+        train = F.col("year").between(*fxm.TRAIN_YEARS) & F.col("yield_target").isNotNull()
+        fold = F.pmod(F.col("geoid").cast("int"), F.lit(hybrid.FOLDS))
+        rows, _ = hybrid.with_probe(self.ready, self.chip_vectors, KEYS, QC, "vector", "yield_target", train, fold)
+        return cut_lineage(rows, "probed")
+
+    @cached_property
+    def second_models(self) -> dict:
+        """Model B per date: the pick of model A's sweep, run to its own early stop on the wider contract."""
+        by_date = hybrid.second_features(fxm.CONTRACT, QC)
+        train = panel.train_pool(self.probed, "geoid", fxm.MIN_YEARS, fxm.TRAIN_YEARS)
+        val = self.probed.where((F.col("year") == fxm.VAL_YEAR) & F.col("yield_target").isNotNull())
+        training = boosting.Training.write(train, val, by_date, "yield_target")
+        return boosting.fit_dates(self.fx.spark, training, {d: p.config for d, p in self.swept[1].items()})[0]
+
+    @cached_property
+    def hybrid(self) -> DataFrame:
+        """Both models' predictions of validation and holdout rows, and the routed one."""
+        by_date, rows = hybrid.second_features(fxm.CONTRACT, QC), self.probed.where(F.col("year").isin(fxm.VAL_YEAR, fxm.HOLDOUT_YEAR))
+        b = ml.gbt_predict(rows, self.second_models, by_date).select(*KEYS, F.col("prediction").alias("pred_b"))
+        both = self.county_predictions.withColumnRenamed("prediction", "pred_a").join(b, KEYS)
+        return cut_lineage(ml.hybrid_route(both, ROUTED), "hybrid")
+
     # --- state grain ----------------------------------------------------------
     @cached_property
     def state_panel(self) -> DataFrame:

@@ -6,16 +6,14 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from acrescope.operators import chips, cone, documents, joins, landuse, ml, scoring, trend
+from acrescope.operators import boosting, chips, cone, documents, hybrid, joins, landuse, ml, scoring, trend
 from acrescope.plans import fixtures as fxm
 from acrescope.plans.catalog import query
-from acrescope.plans.forecasting import Forecasting
+from acrescope.plans.forecasting import GRID, KEYS, N_VECTORS, ROUTED, Forecasting
 from acrescope.plans.oracle_views import VIEWS
 from acrescope.plans.q_chips import _QC, index
 from acrescope.plans.rounding import fix, fix_sql, rounded, rsql
 
-ROUTED = ["ASIA", "EUROPE"]
-
 VIEWS["fx_attr"] = """
 SELECT l.geoid, l.state, l.year, l.forecast_date, CASE WHEN feature IN ('d2plus', 'irrigated_share') THEN 'state_is_' || feature ELSE feature END AS feature, v AS feature_value,
   (v - s.mean) / s.std AS attribution, r.acres_planted_all AS acres
@@ -117,25 +115,19 @@ def _(fx):
 
 
 # --- boosted trees: SQL checks rows, sizes and rules, tests check the numbers -
-# the published sweep: depths x step sizes x least rows of a leaf
-GRID = [{"max_depth": d, "step": s, "min_rows": m, "max_iter": 5} for d in (4, 6, 8) for s in (0.05, 0.1) for m in (1, 5)]
-
-
-def _validation(f):
-    return f.ready.where((F.col("year") == fxm.VAL_YEAR) & F.col("yield_target").isNotNull())
-
-
 def _models(fx):
     f = Forecasting.of(fx)
     return f, f.models
 
 
-@query("gbt_fit", "SELECT forecast_date, count(*) AS n_train, TRUE AS beats_mean FROM fx_train GROUP BY forecast_date")
+@query("gbt_fit", "SELECT forecast_date, count(*) AS n_train, TRUE AS beats_mean, TRUE AS in_grid, TRUE AS stopped, TRUE AS cut_to_best FROM fx_train GROUP BY forecast_date")
 def _(fx):
-    """Training rows of each date's model, and whether its error is below the target's spread."""
+    """Training rows of each date's model: picked from the grid, run to its early stop, cut to its best round, its error below the target's spread."""
     f, models = _models(fx)
     fitted = ml.gbt_predict(f.train, models, fxm.CONTRACT).withColumn("e", F.col("prediction") - F.col("yield_target"))
-    return fitted.groupBy("forecast_date").agg(F.count("prediction").alias("n_train"), (scoring.rmse("e") < F.stddev_pop("yield_target")).alias("beats_mean"))
+    scored = fitted.groupBy("forecast_date").agg(F.count("prediction").alias("n_train"), (scoring.rmse("e") < F.stddev_pop("yield_target")).alias("beats_mean"))
+    picks = [(d, p.config == GRID[p.seq], p.stopped, models[d].getNumTrees == p.rounds) for d, p in f.swept[1].items()]
+    return scored.join(fx.spark.createDataFrame(picks, "forecast_date string, in_grid boolean, stopped boolean, cut_to_best boolean"), "forecast_date")
 
 
 @query("gbt_predict", f"SELECT geoid, state, year, forecast_date, {fix_sql('yield_target')} AS yield_target, NOT complete AS no_prediction FROM fx_ready WHERE year IN (2000, 2001)")
@@ -150,29 +142,47 @@ def _(fx):
 @query("tree_attribution", f"""SELECT r.geoid, r.state, r.year, l.forecast_date, l.feature, {fix_sql('l.v')} AS feature_value, TRUE AS adds_up
   FROM ({_long}) l JOIN fx_features f USING (forecast_date, feature) JOIN fx_ready r ON l.geoid = r.geoid AND l.year = r.year AND l.forecast_date = r.forecast_date WHERE r.complete""")
 def _(fx):
-    """Contributions of every date's model, and whether they add up to what the model itself predicts."""
-    f, models = _models(fx)
-    out, keys = None, ["geoid", "state", "year", "forecast_date"]
-    for d, cols in fxm.CONTRACT.items():
-        part = ml.tree_attribution(f.ready.where((F.col("forecast_date") == d) & F.col("complete")), models[d], cols, keys)
-        out = part if out is None else out.unionByName(part)
+    """Contributions of every date's saved model, and whether they add up to what the model itself predicts."""
+    f, keys = Forecasting.of(fx), ["geoid", "state", "year", "forecast_date"]
+    out = f.explained(f.ready, keys)
     total = F.sum("attribution").over(Window.partitionBy(*keys))  # one row per contract feature
     out = out.withColumn("adds_up", F.abs(F.col("base_value") + total - F.col("prediction")) <= 1e-2)
     return rounded(out.select(*keys, "feature", "feature_value", "adds_up"), ["feature_value"])
 
 
+_ALIVE = [len(GRID), -(-len(GRID) // boosting.KEEP)]
+_ALIVE.append(-(-_ALIVE[1] // boosting.KEEP))
+
+
 @query("grid_sweep", f"""SELECT d.forecast_date, CAST(s AS INTEGER) AS seq, (SELECT count(*) FROM fx_ready r WHERE r.year = 2000 AND r.complete AND r.yield_target IS NOT NULL AND r.forecast_date = d.forecast_date) AS n,
-  TRUE AS scored, CAST(1 AS BIGINT) AS n_picked FROM fx_dates d CROSS JOIN range({len(GRID)}) AS g(s)""")
+  TRUE AS scored, CAST(1 AS BIGINT) AS n_picked, CAST({_ALIVE[0] - _ALIVE[1]} AS BIGINT) AS n_first, CAST({_ALIVE[1] - _ALIVE[2]} AS BIGINT) AS n_second, CAST({_ALIVE[2]} AS BIGINT) AS n_stopped, TRUE AS best_is_picked
+  FROM fx_dates d CROSS JOIN range({len(GRID)}) AS g(s)""")
 def _(fx):
-    """All configurations at all dates; the first best on the validation year is picked per date."""
-    f, val, out = Forecasting.of(fx), None, None
-    val = _validation(f)
-    for d, cols in fxm.CONTRACT.items():
-        at = lambda df: df.where(F.col("forecast_date") == d)
-        part = ml.grid_sweep(at(f.train), at(val), cols, "yield_target", GRID)[0].withColumn("forecast_date", F.lit(d))
-        out = part if out is None else out.unionByName(part)
-    picked = F.sum(F.col("picked").cast("long")).over(Window.partitionBy("forecast_date"))  # one row per configuration
-    return out.select("forecast_date", "seq", "n", (F.col("rmse") > 0).alias("scored"), picked.alias("n_picked"))
+    """All configurations at all dates: how many were given up on each rung, how many ran to their early stop, and the best of those is picked."""
+    f = Forecasting.of(fx)
+    at = Window.partitionBy("forecast_date")  # one row per configuration
+    some = lambda c: F.sum(c.cast("long")).over(at)
+    sizes = fx.spark.createDataFrame([(d, n) for (d, is_val), n in f.training.counts.items() if is_val], "forecast_date string, n long")
+    long = F.when(F.col("left_at") == 0, F.struct("rmse", "seq"))
+    return f.swept[0].join(sizes, "forecast_date").select(
+        "forecast_date", "seq", "n", ((F.col("rmse") > 0) & F.col("best_round").between(1, F.col("rounds"))).alias("scored"), some(F.col("picked")).alias("n_picked"),
+        some(F.col("left_at") == 1).alias("n_first"), some(F.col("left_at") == 2).alias("n_second"), some(F.col("stopped")).alias("n_stopped"),
+        (F.min(long).over(at)["seq"] == F.max(F.when(F.col("picked"), F.col("seq"))).over(at)).alias("best_is_picked"))
+
+
+@query("bundle_trends", f"SELECT geoid, state, own_fit, {rsql(['slope', 'intercept'])} FROM fx_params")
+def _(fx):
+    """Trends of every entity, saved with the models and read back."""
+    return rounded(Forecasting.of(fx).bundle.tables["trends"], ["slope", "intercept"])
+
+
+@query("bundle_models", "SELECT forecast_date, count(*) AS n, count(*) FILTER (complete) AS n_predicted, TRUE AS same FROM fx_ready WHERE year IN (2000, 2001) GROUP BY forecast_date")
+def _(fx):
+    """Predictions of the models read back, against those of the models as fitted."""
+    f = Forecasting.of(fx)
+    again = ml.gbt_predict(f.tested, f.bundle.models, f.bundle.by_date).select(*KEYS, F.col("prediction").alias("again"))
+    both = f.county_predictions.join(again, KEYS)
+    return both.groupBy("forecast_date").agg(F.count("*").alias("n"), F.count("again").alias("n_predicted"), F.bool_and(F.col("prediction").eqNullSafe(F.col("again"))).alias("same"))
 
 
 # --- the regressor chain: keys, counts and rules in SQL ----------------------
@@ -217,6 +227,85 @@ def _(fx):
     return rolled.join(base, "forecast_date").join(f.model_points, _CELL).select(*_CELL, "n_features", (gap <= 1e-2).alias("adds_up"))
 
 
+@query("topk_drivers_model", "SELECT geoid, state, year, forecast_date, CAST(3 AS BIGINT) AS n, TRUE AS ordered, TRUE AS signed FROM fx_ready WHERE complete AND year IN (2000, 2001)")
+def _(fx):
+    """The three largest contributions to every prediction, largest first, with their direction."""
+    keys = ["geoid", "state", "year", "forecast_date"]
+    top = ml.topk_drivers(Forecasting.of(fx).attributions, keys)
+    size = F.sort_array(F.collect_list(F.struct("rank", F.abs("attribution").alias("a"))))["a"]  # three entries
+    return top.groupBy(*keys).agg(F.count("*").alias("n"), (size == F.reverse(F.array_sort(size))).alias("ordered"),
+                                  F.bool_and((F.col("direction") == "+") == (F.col("attribution") > 0)).alias("signed"))
+
+
+# --- model B and routing ----------------------------------------------------------
+_ROUTED = ", ".join(f"'{s}'" for s in ROUTED)
+VIEWS["fx_chipvec"] = f"""SELECT p.geoid, p.state, p.year, d.forecast_date, p.yield_target, coalesce(q.chip_count, 0) AS chip_count, coalesce(q.chip_count, 0) > 0 AND e.embedding IS NOT NULL AS has_vector
+  FROM fx_panel p CROSS JOIN (SELECT forecast_date, row_number() OVER (ORDER BY forecast_date) - 1 AS r FROM fx_dates) d
+  LEFT JOIN ({_QC}) q ON p.geoid = q.geoid AND p.year = q.year AND q.forecast_date = d.forecast_date
+  LEFT JOIN embeddings e ON e.vec_id = (CAST(p.geoid AS INTEGER) * 28 + (p.year - 1995) * 4 + d.r) % {N_VECTORS}"""
+VIEWS["fx_folds"] = """SELECT forecast_date, CAST(geoid AS INTEGER) % 5 AS fold, count(*) AS n FROM fx_chipvec WHERE has_vector AND year BETWEEN 1995 AND 1999 AND yield_target IS NOT NULL GROUP BY ALL"""
+VIEWS["fx_probe"] = """SELECT v.geoid, v.state, v.year, v.forecast_date, v.has_vector, v.has_vector AND coalesce(t.n, 0) - CASE WHEN v.year BETWEEN 1995 AND 1999 AND v.yield_target IS NOT NULL THEN coalesce(f.n, 0) ELSE 0 END >= 100 AS predicted
+  FROM fx_chipvec v LEFT JOIN (SELECT forecast_date, sum(n) AS n FROM fx_folds GROUP BY forecast_date) t ON t.forecast_date = v.forecast_date
+  LEFT JOIN fx_folds f ON f.forecast_date = v.forecast_date AND f.fold = CAST(v.geoid AS INTEGER) % 5"""
+
+
+@query("ridge_probe", "SELECT geoid, state, year, forecast_date, has_vector, predicted FROM fx_probe")
+def _(fx):
+    """Ridge scalar of every panel key with a vector: out of fold in training years, from all training rows elsewhere; too few rows give none."""
+    rows = Forecasting.of(fx).probed
+    return rows.select("geoid", "state", "year", "forecast_date", (F.col(hybrid.PRESENT) == 1).alias("has_vector"), (F.col(hybrid.PROBE) != hybrid.ABSENT).alias("predicted"))
+
+
+@query("hybrid_model", f"""SELECT geoid, state, year, forecast_date, complete AS has_a, complete AS has_b, CASE WHEN state IN ({_ROUTED}) THEN 'B' ELSE 'A' END AS model, TRUE AS routed
+  FROM fx_ready WHERE year IN (2000, 2001)""")
+def _(fx):
+    """Both real models and the routed prediction of every validation and holdout row."""
+    rows = Forecasting.of(fx).hybrid.withColumn("model", F.when(F.col("state").isin(*ROUTED), "B").otherwise("A"))
+    own = F.when(F.col("model") == "B", F.col("pred_b")).otherwise(F.col("pred_a"))
+    return rows.select("geoid", "state", "year", "forecast_date", F.col("pred_a").isNotNull().alias("has_a"), F.col("pred_b").isNotNull().alias("has_b"), "model",
+                       F.col("pred_hybrid").eqNullSafe(own).alias("routed"))
+
+
+@query("ablation_metrics_model", """SELECT variant, state, year, forecast_date, count(*) AS n, TRUE AS scored, CASE WHEN variant = 'hybrid' THEN TRUE END AS as_routed FROM fx_ready
+  CROSS JOIN (SELECT unnest(['rowA', 'rowB', 'hybrid']) AS variant) WHERE year IN (2000, 2001) AND complete AND yield_target IS NOT NULL GROUP BY ALL""")
+def _(fx):
+    """n, RMSE and bias of both models and the routed one per state, year and date; the routed error is that of the state's model."""
+    out = hybrid.route_scores(Forecasting.of(fx).hybrid, "yield_target", _CELL)
+    at = Window.partitionBy(*_CELL)  # three variants
+    own = F.when(F.col("state").isin(*ROUTED), "rowB").otherwise("rowA")
+    same = F.abs(F.col("rmse") - F.max(F.when(F.col("variant") == own, F.col("rmse"))).over(at)) < 1e-9
+    return out.select("variant", *_CELL, "n", ((F.col("rmse") > 0) & (F.abs("bias") <= F.col("rmse") + 1e-9)).alias("scored"), F.when(F.col("variant") == "hybrid", same).alias("as_routed"))
+
+
+@query("relative_gate_model", "SELECT DISTINCT year, forecast_date, CAST(NULL AS VARCHAR) AS reason, TRUE AS by_lift FROM fx_ready WHERE year IN (2000, 2001) AND complete AND yield_target IS NOT NULL")
+def _(fx):
+    """Model B against model A at the five percent mark, per year and date."""
+    per = hybrid.route_scores(Forecasting.of(fx).hybrid, "yield_target", ["year", "forecast_date"])
+    of = lambda v: F.max(F.when(F.col("variant") == v, F.col("rmse")))
+    wide = per.groupBy("year", "forecast_date").agg(of("rowA").alias("a"), of("rowB").alias("b"))
+    out = wide.select("year", "forecast_date", "a", "b", *scoring.relative_gate(F.col("a"), F.col("b"), 0.05))
+    return out.select("year", "forecast_date", "reason", (F.col("passed") == ((F.col("a") - F.col("b")) / F.col("a") >= 0.05)).alias("by_lift"))
+
+
+@query("state_block_model", f"""SELECT state, count(*) AS n_counties, CASE WHEN state IN ({_ROUTED}) THEN 'Row B' ELSE 'Row A' END AS model, CAST(round_even(avg(yield_target), 0) AS INTEGER) AS actual,
+  TRUE AS own_row FROM fx_ready WHERE year = 2001 AND complete AND forecast_date = 'EOS' GROUP BY state""")
+def _(fx):
+    """State report of the holdout year from the routed predictions at the end of season."""
+    rows = Forecasting.of(fx).hybrid.where((F.col("year") == fxm.HOLDOUT_YEAR) & (F.col("forecast_date") == "EOS"))
+    out = documents.state_block(rows, "state", "geoid", "yield_target", ROUTED)
+    own = F.when(F.col("model") == "Row B", F.col("row_b")).otherwise(F.col("row_a"))
+    return out.select("state", "n_counties", "model", "actual", ((F.col("predicted") == own) & (F.col("top_yield") >= F.col("predicted"))).alias("own_row"))
+
+
+@query("spread_cone_model", """SELECT state, year, forecast_date, CAST(round_even(avg(yield_target), 0) AS INTEGER) AS actual, CASE WHEN count(*) > 1 THEN TRUE END AS nested FROM fx_ready
+  WHERE year IN (2000, 2001) AND complete GROUP BY state, year, forecast_date""")
+def _(fx):
+    """Cone from the spread of the routed predictions of a state's entities; the range holds the cone, the cone the point."""
+    out = documents.spread_cone(Forecasting.of(fx).hybrid, _CELL, "yield_target")
+    nested = (F.col("range_low") <= F.col("lower")) & (F.col("lower") <= F.col("predicted")) & (F.col("predicted") <= F.col("upper")) & (F.col("upper") <= F.col("range_high"))
+    return out.select(*_CELL, "actual", nested.alias("nested"))
+
+
 # --- dense vectors -----------------------------------------------------------
 @query("pca_reduce", "SELECT vec_id, label, CASE WHEN embedding IS NULL THEN NULL ELSE 8 END AS dims, 'base+pca8' AS model_version FROM embeddings")
 def _(fx):
@@ -225,17 +314,6 @@ def _(fx):
     return out.select("vec_id", "label", F.when(F.col("reduced").isNotNull(), F.size("reduced")).alias("dims"), F.lit("base+pca8").alias("model_version"))
 
 
-@query("ridge_probe", """SELECT vec_id, e.label, d.forecast_date, embedding IS NOT NULL AND n >= 100 AND sd > 0 AS predicted FROM (SELECT *, vec_id % 4 AS k FROM embeddings) e
-  JOIN (SELECT forecast_date, row_number() OVER (ORDER BY forecast_date) - 1 AS k FROM fx_dates) d USING (k)
-  JOIN (SELECT vec_id % 4 AS k, count(*) FILTER (embedding IS NOT NULL AND label IS NOT NULL AND vec_id % 5 < 3) AS n, stddev_pop(label) FILTER (embedding IS NOT NULL AND vec_id % 5 < 3) AS sd FROM embeddings GROUP BY 1) t USING (k)""")
-def _(fx):
-    """Ridge scalar per forecast date, fitted on the training ids; too small a date has none."""
-    date = F.element_at(F.array(*[F.lit(d) for d in sorted(fxm.CONTRACT)]), (F.col("vec_id") % 4 + 1).cast("int"))
-    rows = fx.table("embeddings").withColumn("forecast_date", date)
-    out = ml.ridge_probe(rows, "embedding", "label", F.col("vec_id") % 5 < 3, "forecast_date", sorted(fxm.CONTRACT))
-    return out.select("vec_id", "label", "forecast_date", F.col("ridge_pred").isNotNull().alias("predicted"))
-
-
 @query("embedding_join", """SELECT c_custkey, len(embedding) AS dims, round(embedding[1]::DOUBLE + 3.3e-8, 6) AS first_dim, label FROM customer
   LEFT JOIN (SELECT * FROM embeddings WHERE label < 5) e ON c_custkey = e.vec_id""")
 def _(fx):

@@ -10,7 +10,7 @@ from acrescope.plans.catalog import query
 from acrescope.plans.forecasting import Forecasting
 from acrescope.plans.rounding import fix, fix_sql, rounded, rsql
 from acrescope.session import fresh_path
-from acrescope.sources import readers, writers
+from acrescope.sources import bucketed, readers, writers
 from acrescope.streaming import ingest, progress
 
 
@@ -115,16 +115,15 @@ def _(fx):
 def _(fx):
     path = fresh(fx, "upsert")
     row = lambda df, shift: df.select("geoid", "year", F.lit("v1").alias("model_version"), (F.col("yield_target") + shift).alias("value"))
-    writers.upsert(row(fx.panel, 0.0), path, ["geoid", "year", "model_version"], ["value"])
-    writers.upsert(row(fx.panel.where("year >= 1998"), 1.0), path, ["geoid", "year", "model_version"], ["value"])
-    return rounded(writers.read_current(fx.spark, path), ["value"])
+    bucketed.upsert(row(fx.panel, 0.0), path, ["geoid", "year", "model_version"], ["value"], buckets=16)
+    bucketed.upsert(row(fx.panel.where("year >= 1998"), 1.0), path, ["geoid", "year", "model_version"], ["value"])
+    return rounded(bucketed.read(fx.spark, path), ["value"])
 
 
 @query("params_save_load", f"SELECT forecast_date, feature, {rsql(['mean', 'std'])} FROM fx_std")
 def _(fx):
-    path = fresh(fx, "params")
-    writers.save_params(Forecasting.of(fx).std, path)
-    return rounded(writers.load_params(fx.spark, path, K.FORECAST_DATES), ["mean", "std"])
+    """The standardizer, saved in one bundle with the models and trends (bundle_models, bundle_trends) and read back."""
+    return rounded(Forecasting.of(fx).bundle.tables["standardizer"], ["mean", "std"])
 
 
 @query("latest_run", "SELECT state, 'run-' || max(CAST(year AS VARCHAR)) AS latest FROM fx_panel GROUP BY state")
@@ -149,10 +148,10 @@ def _(fx):
 def _(fx):
     sink, landing = fresh(fx, "ingested"), fresh(fx, "landing")
     rows = fx.table("orders").select("o_orderkey", "o_custkey")
-    ingest.ingest_batch(rows.where("o_orderkey % 3 = 0"), sink, ["o_orderkey"])
+    ingest.ingest_batch(rows.where("o_orderkey % 3 = 0"), sink, ["o_orderkey"], "first load", 0)
     rows.write.parquet(landing)
     ingest.ingest_available(fx.spark, landing, rows.schema, sink, fresh(fx, "ckpt"), ["o_orderkey"])
-    return fx.spark.read.parquet(sink)
+    return bucketed.read(fx.spark, sink)
 
 
 _PROG = """SELECT *, greatest(planned - granules, 0) AS remaining FROM (SELECT shard, count(*) AS n_lines, count(*) FILTER (seq % 3 = 0) AS cells_seen, CAST(coalesce(sum(c) FILTER (seq % 3 = 0), 0) AS BIGINT) AS planned,

@@ -78,6 +78,12 @@ def fingerprint(spark: SparkSession, path: str) -> tuple[int, int]:
     return store.getContentSummary(place).getLength(), store.getFileStatus(place).getModificationTime()
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediates that nothing reads any more."""
+    store, place = _file_system(spark, path)
+    store.delete(place, True)
+
+
 def drop_intermediates(spark: SparkSession) -> None:
     """Delete what this application wrote to the shared folder; results that still read it must be saved before."""
     store, place = _file_system(spark, shared_folder(spark))

@@ -1,14 +1,8 @@
-"""Writers: ordered files, and a versioned table for atomic keep-last upserts."""
+"""Writers of ordered files; tables with versions are in ``bucketed``, fitted parameters in ``bundles``."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from acrescope.operators.survey import last_per_key
-from acrescope.session import path_exists
+from pyspark.sql import DataFrame
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] = (), order: list[str] = ()) -> None:
@@ -26,53 +20,3 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] = (), order:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").csv(path, header=True)
-
-
-def current_version(spark: SparkSession, path: str) -> tuple[int, str] | None:
-    """(version, data folder) that readers see; None only where no version table lies. A damaged one is an error."""
-    if not path_exists(spark, f"{path}/versions"):
-        return None
-    rows = spark.read.schema("version int, folder string").parquet(f"{path}/versions")
-    found = rows.agg(F.max(F.struct("version", "folder")).alias("v")).first()["v"]
-    if found is None:
-        raise ValueError(f"{path}/versions holds no version")
-    return found["version"], found["folder"]
-
-
-def read_current(spark: SparkSession, path: str) -> DataFrame:
-    found = current_version(spark, path)
-    if found is None:
-        raise FileNotFoundError(path)
-    return spark.read.parquet(f"{path}/data/{found[1]}")
-
-
-def upsert(new: DataFrame, path: str, keys: list[str], order: list[str]) -> None:
-    """Existing and new rows, last per key, as a new version.
-
-    Data lands in a folder of its own; readers move to it only when one row is
-    appended to the version table, so a failed job leaves the old version and
-    nothing is ever overwritten.
-    """
-    spark = new.sparkSession
-    found = current_version(spark, path)
-    rows = new.withColumn("_new", F.lit(1))
-    if found is not None:
-        rows = spark.read.parquet(f"{path}/data/{found[1]}").withColumn("_new", F.lit(0)).unionByName(rows)
-    version = 1 if found is None else found[0] + 1
-    folder = f"v{version}-{uuid.uuid4().hex}"
-    last_per_key(rows, keys, ["_new", *order]).drop("_new").write.mode("errorifexists").parquet(f"{path}/data/{folder}")
-    spark.range(1).select(F.lit(version).alias("version"), F.lit(folder).alias("folder")).write.mode("append").parquet(f"{path}/versions")
-
-
-def save_params(params: DataFrame, path: str) -> None:
-    params.write.mode("errorifexists").parquet(path)
-
-
-def load_params(spark: SparkSession, path: str, dates) -> DataFrame:
-    """Fitted parameters; loading fails if any forecast date is missing."""
-    df = spark.read.parquet(path)
-    have = {r[0] for r in df.select("forecast_date").distinct().limit(len(dates) + 1).collect()}
-    missing = [d for d in dates if d not in have]
-    if missing:
-        raise ValueError(f"parameters lack dates {missing}")
-    return df

@@ -4,29 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from acrescope.operators.survey import first_per_key
-from acrescope.session import path_exists
+from acrescope.sources import bucketed
 
 
-def ingest_batch(new: DataFrame, sink: str, keys: list[str]) -> None:
+def ingest_batch(new: DataFrame, sink: str, keys: list[str], source: str, batch: int) -> None:
     """Append the rows of a batch whose key the sink does not hold; of rows with one key, the smallest by the other columns.
 
-    A batch replayed after a failure finds its keys in the sink and adds none.
+    The sink (``bucketed.read``) remembers the last batch of a source, so that a replayed one is
+    known at once; under another source the key filters of its buckets say which files could
+    hold a key of the batch, and only those are read.
     """
-    rows = first_per_key(new, keys, [c for c in new.columns if c not in keys])
-    if path_exists(new.sparkSession, sink):
-        rows = rows.join(new.sparkSession.read.parquet(sink).select(*keys), keys, "left_anti")
-    rows.write.mode("append").parquet(sink)
+    bucketed.append_new(new, sink, keys, source, batch)
 
 
 def ingest_available(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, keys: list[str]) -> None:
     """Drain what lies in a folder as a file stream, then stop.
 
-    The checkpoint remembers the files done, the anti-join the ids done.
+    The checkpoint remembers the files done, the sink the batches and ids done.
     """
     stream = spark.readStream.schema(schema).parquet(source)
     query = (
-        stream.writeStream.foreachBatch(lambda df, _epoch: ingest_batch(df, sink, keys))
+        stream.writeStream.foreachBatch(lambda df, epoch: ingest_batch(df, sink, keys, checkpoint, epoch))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()

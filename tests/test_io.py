@@ -1,11 +1,9 @@
-import shutil
-
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from acrescope.plans.fixtures import Fixtures
-from acrescope.sources import readers, writers
+from acrescope.sources import bucketed, readers
 from acrescope.streaming import ingest, progress
 
 
@@ -45,28 +43,6 @@ def test_json_error_payload_has_no_rows(spark):
     assert sorted(r.Value for r in readers.json_records(df, "p", "Value: string").collect()) == ["1", "2"]
 
 
-def test_upsert_keeps_the_last_and_old_versions_stay_readable(spark, tmp_path):
-    path = f"{tmp_path}/t"
-    df = lambda rows: spark.createDataFrame(rows, "k int, v int")
-    writers.upsert(df([(1, 10), (2, 20)]), path, ["k"], ["v"])
-    writers.upsert(df([(2, 5), (2, 6), (3, 30)]), path, ["k"], ["v"])
-    assert {r.k: r.v for r in writers.read_current(spark, path).collect()} == {1: 10, 2: 6, 3: 30}
-    first = next(r.folder for r in spark.read.parquet(f"{path}/versions").collect() if r.version == 1)
-    assert spark.read.parquet(f"{path}/data/{first}").count() == 2
-
-
-def test_a_damaged_version_table_is_an_error_and_loses_nothing(spark, tmp_path):
-    path = f"{tmp_path}/t"
-    df = spark.createDataFrame([(1, 10), (2, 20)], "k int, v int")
-    writers.upsert(df, path, ["k"], ["v"])
-    shutil.rmtree(f"{path}/versions")
-    (tmp_path / "t" / "versions").mkdir()
-    with pytest.raises(ValueError):
-        writers.upsert(df, path, ["k"], ["v"])
-    kept = [p for p in (tmp_path / "t" / "data").iterdir()]
-    assert len(kept) == 1 and spark.read.parquet(str(kept[0])).count() == 2
-
-
 def test_a_file_without_the_key_column_fails_the_union(spark, tmp_path):
     (tmp_path / "a.csv").write_text("geoid,x\n1,2\n")
     (tmp_path / "b.csv").write_text("GEOID,x\n3,4\n")
@@ -82,18 +58,12 @@ def test_unreadable_shards_are_named(spark, tmp_path):
     assert [r.shard_source for r in readers.silent_shards(spark, f"{tmp_path}/s", shards).collect()] == ["broken.parquet"]
 
 
-def test_params_need_every_date(spark, tmp_path):
-    spark.createDataFrame([("08-01", 1.0)], "forecast_date string, mean double").write.parquet(f"{tmp_path}/p")
-    with pytest.raises(ValueError):
-        writers.load_params(spark, f"{tmp_path}/p", ["08-01", "EOS"])
-
-
 def test_ingest_is_safe_to_rerun(spark, tmp_path):
     rows = spark.range(10).withColumn("v", F.col("id") * 2)
     rows.write.parquet(f"{tmp_path}/in")
     for run in ("c1", "c1", "c2"):  # a new checkpoint replays every file
         ingest.ingest_available(spark, f"{tmp_path}/in", rows.schema, f"{tmp_path}/out", f"{tmp_path}/{run}", ["id"])
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 10
+    assert bucketed.read(spark, f"{tmp_path}/out").count() == 10
 
 
 def test_progress_reads_every_line_kind(spark):
