@@ -133,3 +133,26 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     pick = lambda p, n: F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n)
     wide = q.groupBy("column").agg(pick(0.25, "q1"), pick(0.5, "q2"), pick(0.75, "q3"))
     return counts.join(wide, "column", "left").withColumn("null_pct", 100.0 * F.col("n_null") / F.col("n_rows"))
+
+
+def profile_slices(df: DataFrame, sets: dict[str, list[str]], entity: str, known: list[str]) -> DataFrame:
+    """Rows, entities and the share of known values of columns, for several groupings from one pass.
+
+    ``sets`` names the groupings (an empty one is the whole table). They are GROUPING SETS
+    of one aggregate: a row is expanded once per grouping and combined before the shuffle. ``slice``
+    names the grouping a row belongs to; columns it does not group by are NULL, as is a value that is NULL itself.
+    """
+    columns = list(dict.fromkeys(c for cols in sets.values() for c in cols))
+    place = {c: len(columns) - 1 - i for i, c in enumerate(columns)}
+    code = {n: sum(1 << place[c] for c in columns if c not in cols) for n, cols in sets.items()}  # what grouping_id says of it
+    share = [(100.0 * F.count(c) / F.count(F.lit(1))).alias(f"{c}_known_pct") for c in known]
+    out = df.groupingSets([[F.col(c) for c in cols] for cols in sets.values()], *columns).agg(
+        F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct(entity).alias("n_entities"), *share)
+    name = F.coalesce(*[F.when(F.col("_g") == g, F.lit(n)) for n, g in code.items()])
+    return out.select(name.alias("slice"), *columns, "n_rows", "n_entities", *[f"{c}_known_pct" for c in known])
+
+
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n) of every value of the columns as text, NULL among them; one pass, combined before the shuffle."""
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    return df.select(F.explode(entries).alias("_e")).groupBy("_e.column", "_e.value").agg(F.count(F.lit(1)).alias("n"))

@@ -110,7 +110,8 @@ def bbox_overlap_join(boxes: DataFrame, zones: DataFrame, cell: float, step: int
     """Pairs whose bounds intersect, through grids of growing cells instead of a cross join.
 
     A box lies in the finest grid whose cells are not smaller than it, so it
-    covers at most four of them, and in the coarser grids that are in use. A
+    covers at most four of them, and in those coarser grids that are some box's finest (one
+    small job finds them, so one huge box adds one grid, not all sizes between). A
     pair meets in the grid of its larger box and is kept only in the cell that
     holds the lower-left corner of their overlap, so each pair appears once
     without a distinct. Boxes crowded in one cell are an equi-join key like any
@@ -120,12 +121,13 @@ def bbox_overlap_join(boxes: DataFrame, zones: DataFrame, cell: float, step: int
         size = F.greatest(F.col(f"{prefix}_xmax") - F.col(f"{prefix}_xmin"), F.col(f"{prefix}_ymax") - F.col(f"{prefix}_ymin"))
         return F.greatest(F.lit(0), F.ceil(F.log(F.greatest(size / cell, F.lit(1.0))) / F.log(F.lit(float(step))))).cast("int")
 
-    top = max((df.agg(F.max(level(p))).first()[0] or 0) for df, p in ((boxes, "a"), (zones, "b")))
+    used = boxes.select(level("a").alias("l")).union(zones.select(level("b").alias("l"))).where("l IS NOT NULL").distinct().collect()  # a logarithm of the sizes
+    used = F.array(*[F.lit(r["l"]) for r in sorted(used)]) if used else F.array(F.lit(0))
 
     def covered(df, prefix):
         side = F.lit(float(cell)) * F.pow(F.lit(float(step)), F.col("_level"))
         span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / side), F.floor(F.col(hi) / side))
-        df = df.withColumn(f"_{prefix}", level(prefix)).withColumn("_level", F.explode(F.sequence(F.col(f"_{prefix}"), F.lit(top))))
+        df = df.withColumn(f"_{prefix}", level(prefix)).withColumn("_level", F.explode(F.filter(used, lambda l: l >= F.col(f"_{prefix}"))))
         return (df.withColumn("_cx", F.explode(span(f"{prefix}_xmin", f"{prefix}_xmax")))
                   .withColumn("_cy", F.explode(span(f"{prefix}_ymin", f"{prefix}_ymax"))))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from acrescope import constants as K
@@ -56,6 +56,32 @@ def expect_monotone(df: DataFrame, columns: list[str], slack: float = 1e-9) -> D
     return expect_rules(df, rules)
 
 
+def mark_broken(df: DataFrame, rules: dict[str, Column], into: str = "broken") -> tuple[DataFrame, Observation]:
+    """The rows with the names of the rules each breaks, and an observation of the counts.
+
+    The counts (``n_rows``, ``n_broken`` and one per rule) come with whatever job runs over the
+    rows; they cost no job of their own. A rule that is NULL for a row is not broken.
+    """
+    names = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
+    out, seen = df.withColumn(into, names), Observation()
+    broken = lambda n: F.array_contains(into, n)
+    return out.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(F.size(into) > 0).alias("n_broken"), *[F.count_if(broken(n)).alias(n) for n in rules]), seen
+
+
+def split_write(df: DataFrame, rules: dict[str, Column], path: str, at_most: float = 1.0) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(good rows, quarantined rows with the rules they break, counts): one job that scans the input once and writes both.
+
+    More than the share ``at_most`` of broken rows is an error; the files then stay for inspection.
+    """
+    marked, seen = mark_broken(df, rules)
+    marked.withColumn("quarantined", F.size("broken") > 0).write.mode("errorifexists").partitionBy("quarantined").parquet(path)
+    counts = {"n_rows": 0, "n_broken": 0, **{n: 0 for n in rules}, **{k: v for k, v in seen.get.items() if v is not None}}
+    if counts["n_broken"] > at_most * counts["n_rows"]:
+        raise ValueError(f"{counts['n_broken']} of {counts['n_rows']} rows break rules: { {n: counts[n] for n in rules if counts[n]} }")
+    both = df.sparkSession.read.schema(marked.withColumn("quarantined", F.lit(True)).schema).parquet(path)
+    return both.where(~F.col("quarantined")).select(*df.columns), both.where("quarantined").drop("quarantined"), counts
+
+
 def require(violations: DataFrame, what: str) -> None:
     """Strict mode: fail when a frame of violations has a row."""
     sample = violations.take(3)

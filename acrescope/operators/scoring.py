@@ -127,20 +127,22 @@ def score_summary_c(results: DataFrame, by: list[str]) -> DataFrame:
 def score_slices(results: DataFrame) -> DataFrame:
     """Coverage, errors and widths overall, by year, date, state, state x date.
 
-    ``slice`` names the grouping set, absent keys are NULL. A row stands once in
-    each of its five slices; sums combine before the shuffle, and the median of
+    ``slice`` names the grouping set, absent keys are NULL. Sums are one aggregate over
+    GROUPING SETS, combined before the shuffle, and the median of
     a slice comes from ``exact_quantiles``, so no slice meets in one task.
     """
     sets = {"overall": [], "year": ["year"], "date": ["forecast_date"], "state": ["state"], "state_date": ["state", "forecast_date"]}
     cols = ["year", "forecast_date", "state"]
-    kinds = dict(results.dtypes)
-    entry = [F.struct(F.lit(n).alias("slice"), *[(F.col(c) if c in s else F.lit(None).cast(kinds[c])).alias(c) for c in cols]) for n, s in sets.items()]
-    rows = results.select(F.explode(F.array(*entry)).alias("_s"), "in_80_cone", "error", "width")
-    rows = rows.select(F.to_json("_s").alias("_key"), "_s.*", "in_80_cone", "error", "width")
-    out = rows.groupBy("_key", "slice", *cols).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("in_80_cone").alias("coverage_80"), rmse("error").alias("rmse_p50"),
-        F.avg(F.abs("error")).alias("mae_p50"), F.avg("width").alias("width_mean"))
-    median = exact_quantiles(rows, ["_key"], "width", [0.5]).select("_key", F.col("quantile").alias("width_median"))
+    code = {n: sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in s) for n, s in sets.items()}  # what grouping_id says of it
+    name = F.coalesce(*[F.when(F.col("_g") == g, F.lit(n)) for n, g in code.items()])
+    own = lambda c: F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string"))
+    key = lambda n, s: F.concat(F.lit(n), *[F.coalesce(own(F.col(c)), F.lit("-")) for c in s]) if s else F.lit(n)
+    out = results.groupingSets([[F.col(c) for c in s] for s in sets.values()], *cols).agg(
+        F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("n"), F.avg("in_80_cone").alias("coverage_80"), rmse("error").alias("rmse_p50"),
+        F.avg(F.abs("error")).alias("mae_p50"), F.avg("width").alias("width_mean")).withColumn("slice", name)
+    out = out.withColumn("_key", F.coalesce(*[F.when(F.col("slice") == n, key(n, s)) for n, s in sets.items()])).drop("_g")
+    each = results.select(F.explode(F.array(*[key(n, s) for n, s in sets.items()])).alias("_key"), "width")
+    median = exact_quantiles(each, ["_key"], "width", [0.5]).select("_key", F.col("quantile").alias("width_median"))
     return out.join(median, "_key", "left").drop("_key")
 
 

@@ -145,6 +145,23 @@ class Fixtures:
             .otherwise(F.concat(F.lit("CELL IA-2018 done in "), txt(k % 700), F.lit(".5s ("), txt(c % 60), F.lit(" granules processed)")))
         return self.table("orders").select((c % 4).alias("shard"), k.alias("seq"), line.alias("line"))
 
+    @cached_property
+    def full_log(self) -> DataFrame:
+        """Log lines of every kind, cells that open, sizes and end marks among them; ``seq`` is the line's number."""
+        k, c = F.col("o_orderkey"), F.col("o_custkey")
+        txt = lambda x: x.cast("string")
+        said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else txt(p) for p in parts])
+        state = F.element_at(F.array(*[F.lit(s) for s in ("IA", "CO", "MO", "NE", "WI")]), (c % 5 + 1).cast("int"))
+        kind = k % 16
+        line = F.when(kind == 0, said("=== CELL ", state, "-", 2013 + k % 12)) \
+            .when(kind < 3, said("after resume-skip: ", c, " granules to download (", k % 50, " already done)")) \
+            .when(kind < 5, said("approx download size: ", k % 90, ".5 GB")) \
+            .when(kind < 9, said("[", k % 90, "/90] downloaded g", k, " (", c % 20, " files, ", k % 60, ".5s)")) \
+            .when(kind < 13, said("[", k % 90, "/90] g", k, " -> ", c % 9, " rows (", c % 5, " chips written)")) \
+            .when(kind < 15, said("CELL IA-2018 done in ", k % 700, ".5s (", c % 60, " granules processed)")) \
+            .otherwise(F.when(c % 8 == 3, "ALL CELLS DONE in 12.5 minutes").otherwise("==="))
+        return self.table("orders").select((c % 4).alias("shard"), k.alias("seq"), line.alias("line"))
+
     # --- derived by the engine ------------------------------------------------
     @cached_property
     def entity_day(self) -> DataFrame:

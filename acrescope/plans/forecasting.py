@@ -268,4 +268,4 @@ class Forecasting:
             .select("state", "year", "forecast_date", F.col("yield_target").alias("actual"))
         out = rows.join(cones, ["state", "year", "forecast_date"], "left")
         inside = F.when(F.col("p10").isNotNull(), F.col("actual").between(F.col("p10"), F.col("p90")).cast("double"))
-        return out.withColumns({"in_80_cone": inside, "error": F.col("actual") - F.col("p50"), "width": F.col("p90") - F.col("p10")})
+        return cut_lineage(out.withColumns({"in_80_cone": inside, "error": F.col("actual") - F.col("p50"), "width": F.col("p90") - F.col("p10")}), "slice-rows")

@@ -77,6 +77,9 @@ FROM orders
 """
 
 # --- calendar ----------------------------------------------------------------
+VIEWS["fx_full_log"] = """
+SELECT o_custkey % 4 AS shard, o_orderkey AS seq, o_orderkey % 16 AS kind, o_custkey AS c, o_orderkey AS k, (['IA', 'CO', 'MO', 'NE', 'WI'])[o_custkey % 5 + 1] || '-' || (2013 + o_orderkey % 12) AS cell FROM orders
+"""
 VIEWS["fx_dates"] = """
 SELECT * FROM (VALUES ('08-01', 0), ('09-01', 1), ('10-01', 2), ('EOS', 3)) AS t(forecast_date, date_rank)
 """

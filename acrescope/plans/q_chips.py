@@ -10,6 +10,7 @@ from acrescope.operators import chips, joins, quality
 from acrescope.plans.catalog import query
 from acrescope.plans.oracle_views import VIEWS
 from acrescope.plans.rounding import fix_sql, rounded, rsql
+from acrescope.session import fresh_path
 
 _MD = "(month(scene_date) * 100 + day(scene_date))"
 _PHASE = f"CASE WHEN {_MD} BETWEEN 717 AND 815 THEN 'aug1' WHEN {_MD} BETWEEN 817 AND 915 THEN 'sep1' WHEN {_MD} BETWEEN 917 AND 1015 THEN 'oct1' WHEN {_MD} BETWEEN 1017 AND 1115 THEN 'final' END"
@@ -145,15 +146,39 @@ _IDX = """(SELECT geoid, CASE WHEN l_orderkey % 4 = 0 THEN NULL ELSE chip_path E
   CASE WHEN l_orderkey % 8 = 0 THEN 'all_cloud' WHEN l_orderkey % 20 = 4 THEN 'odd' END AS skip_reason FROM fx_index)"""
 
 
+def _faulty(fx):
+    k = F.col("l_orderkey")
+    return index(fx).withColumns({
+        "chip_path": F.when(k % 4 != 0, F.col("chip_path")), "corn_pixel_count": F.when(F.col("l_partkey") % 10 != 0, 1),
+        "skip_reason": F.when(k % 8 == 0, "all_cloud").when(k % 20 == 4, "odd")})
+
+
 @query("expect_rules", f"""SELECT 'positive_without_measures' AS rule, count(*) FILTER (chip_path IS NOT NULL AND corn_pixel_count IS NULL) AS n_violations FROM {_IDX}
   UNION ALL SELECT 'negative_without_reason', count(*) FILTER (chip_path IS NULL AND skip_reason IS NULL) FROM {_IDX} UNION ALL SELECT 'bad_entity_key', count(*) FILTER (length(geoid) <> 5) FROM {_IDX}
   UNION ALL SELECT 'unknown_reason', count(*) FILTER (skip_reason = 'odd') FROM {_IDX}""")
 def _(fx):
-    k = F.col("l_orderkey")
-    rows = index(fx).withColumns({
-        "chip_path": F.when(k % 4 != 0, F.col("chip_path")), "corn_pixel_count": F.when(F.col("l_partkey") % 10 != 0, 1),
-        "skip_reason": F.when(k % 8 == 0, "all_cloud").when(k % 20 == 4, "odd")})
-    return quality.expect_rules(rows, quality.index_rules())
+    return quality.expect_rules(_faulty(fx), quality.index_rules())
+
+
+_RULES = """SELECT *, chip_path IS NOT NULL AND corn_pixel_count IS NULL AS r1, chip_path IS NULL AND skip_reason IS NULL AS r2, length(geoid) <> 5 AS r3, coalesce(skip_reason = 'odd', false) AS r4 FROM """ + _IDX
+
+
+@query("expect_observed", f"""SELECT unnest(['positive_without_measures', 'negative_without_reason', 'bad_entity_key', 'unknown_reason', 'n_rows', 'n_broken', 'good', 'quarantined']) AS what,
+  unnest([count(*) FILTER (r1), count(*) FILTER (r2), count(*) FILTER (r3), count(*) FILTER (r4), count(*), count(*) FILTER (r1 OR r2 OR r3 OR r4), count(*) FILTER (NOT (r1 OR r2 OR r3 OR r4)), count(*) FILTER (r1 OR r2 OR r3 OR r4)]) AS n FROM ({_RULES})""")
+def _(fx):
+    """One job scans the index, counts every rule as it goes, and writes good and quarantined rows apart."""
+    good, bad, counts = quality.split_write(_faulty(fx), quality.index_rules(), fresh_path(fx.spark, "checked"))
+    seen = fx.spark.createDataFrame([(k, int(v)) for k, v in counts.items()], "what string, n long")
+    sizes = good.agg(F.count("*").alias("n")).select(F.lit("good").alias("what"), "n").unionByName(bad.agg(F.count("*").alias("n")).select(F.lit("quarantined").alias("what"), "n"))
+    return seen.unionByName(sizes)
+
+
+@query("expect_quarantine", f"""SELECT geoid, chip_path IS NULL AS negative, concat_ws(',', CASE WHEN r1 THEN 'positive_without_measures' END, CASE WHEN r2 THEN 'negative_without_reason' END, CASE WHEN r3 THEN 'bad_entity_key' END,
+  CASE WHEN r4 THEN 'unknown_reason' END) AS broken, count(*) AS n FROM ({_RULES}) WHERE r1 OR r2 OR r3 OR r4 GROUP BY ALL""")
+def _(fx):
+    """Quarantined rows by entity and the rules they break."""
+    _, bad, _ = quality.split_write(_faulty(fx), quality.index_rules(), fresh_path(fx.spark, "checked"))
+    return bad.groupBy("geoid", F.col("chip_path").isNull().alias("negative"), F.array_join("broken", ",").alias("broken")).agg(F.count("*").alias("n"))
 
 
 @query("expect_monotone", """SELECT a || '<' || b AS rule, count(*) FILTER (x < y - 1e-9) AS n_violations FROM (

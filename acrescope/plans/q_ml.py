@@ -427,3 +427,19 @@ def _(fx):
   SELECT unnest(['l_extendedprice', 'l_quantity']) AS col, unnest([l_extendedprice, l_quantity]) AS v FROM lineitem) GROUP BY col""")
 def _(fx):
     return rounded(documents.profile(fx.table("lineitem"), ["l_extendedprice", "l_quantity"]), ["mean", "min", "max", "q1", "q2", "q3", "null_pct"])
+
+
+@query("profile_slices", f"""SELECT CASE grouping(year, forecast_date, state) WHEN 7 THEN 'all' WHEN 3 THEN 'year' WHEN 5 THEN 'date' ELSE 'state' END AS slice, year, forecast_date, state, count(*) AS n_rows,
+  count(DISTINCT geoid) AS n_entities, {fix_sql('100.0 * count(yield_target) / count(*)')} AS yield_target_known_pct, {fix_sql('100.0 * count(vpd_kpa_grain) / count(*)')} AS vpd_kpa_grain_known_pct
+  FROM fx_ready GROUP BY GROUPING SETS ((), (year), (forecast_date), (state))""")
+def _(fx):
+    """Rows, entities and known shares of the panel over all and by year, date and state, from one aggregate."""
+    sets = {"all": [], "year": ["year"], "date": ["forecast_date"], "state": ["state"]}
+    out = documents.profile_slices(Forecasting.of(fx).ready, sets, "geoid", ["yield_target", "vpd_kpa_grain"])
+    return rounded(out, ["yield_target_known_pct", "vpd_kpa_grain_known_pct"])
+
+
+@query("value_counts", """SELECT "column", value, count(*) AS n FROM (SELECT unnest(['phase', 'sensor', 'tile']) AS "column", unnest([phase, sensor, tile]) AS value FROM fx_index) GROUP BY ALL""")
+def _(fx):
+    """Values of the scene index' closed columns with their counts, missing ones among them."""
+    return documents.value_counts(index(fx), ["phase", "sensor", "tile"])

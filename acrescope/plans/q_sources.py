@@ -51,13 +51,13 @@ def _(fx):
     return rounded(readers.read_dated(fx.spark, path, "state string, year int, forecast_date string, d1_pct double, d2_pct double"), ["d1_pct", "d2_pct"])
 
 
-@query("src_glob_union", f"""SELECT geoid, CAST(year AS VARCHAR) AS year, {fix_sql('yield_target')} AS yield_target, CASE WHEN year >= 1998 THEN {fix_sql('acres_planted_all')} END AS acres_planted_all FROM fx_panel""")
+@query("src_glob_union", f"""SELECT geoid, CAST(year AS INTEGER) AS year, {fix_sql('yield_target')} AS yield_target, CASE WHEN year >= 1998 THEN {fix_sql('acres_planted_all')} END AS acres_planted_all FROM fx_panel""")
 def _(fx):
     path = fresh(fx, "years")
     old, new = fx.panel.where("year < 1998"), fx.panel.where("year >= 1998")
     writers.write_csv(old.select("geoid", "year", "yield_target", F.lit("x").alias("name")), f"{path}/old")
     writers.write_csv(new.select("year", "geoid", "acres_planted_all", "yield_target"), f"{path}/new")
-    df = readers.glob_union(fx.spark, f"{path}/*", "geoid", ["geoid", "year", "yield_target", "acres_planted_all"])
+    df = readers.glob_union(fx.spark, f"{path}/*", "geoid", "geoid string, year int, yield_target double, acres_planted_all double")
     return rounded(df, ["yield_target", "acres_planted_all"])
 
 
@@ -184,6 +184,57 @@ def _(fx):
     return rounded(out.drop("gb", "n_sizes", "estimated_gb"), ["avg_per_cell", "estimated_granules"])
 
 
+_SUMS = """SELECT *, greatest(planned - granules, 0) AS remaining FROM (SELECT shard, count(*) AS n_lines, count(*) FILTER (kind IN (1, 2)) AS cells_seen, CAST(coalesce(sum(c) FILTER (kind IN (1, 2)), 0) AS BIGINT) AS planned,
+  CAST(coalesce(sum(k % 50) FILTER (kind IN (1, 2)), 0) AS BIGINT) AS skipped, CAST(coalesce(sum(c % 5) FILTER (kind BETWEEN 9 AND 12), 0) AS BIGINT) AS chips, count(*) FILTER (kind IN (13, 14)) AS cells_done,
+  CAST(coalesce(sum(c % 60) FILTER (kind IN (13, 14)), 0) AS BIGINT) AS granules, CAST(coalesce(sum(k % 700 + 0.5) FILTER (kind IN (13, 14)), 0) AS DOUBLE) AS seconds,
+  CAST(coalesce(sum(k % 90 + 0.5) FILTER (kind IN (3, 4)), 0) AS DOUBLE) AS gb, count(*) FILTER (kind IN (3, 4)) AS n_sizes, bool_or(kind = 15 AND c % 8 = 3) AS all_done FROM fx_full_log GROUP BY shard)"""
+
+
+@query("progress_sizes", _SUMS)
+def _(fx):
+    """Sums over a log with lines of every kind: sizes and end marks count."""
+    return progress.progress_metrics(fx.full_log, ["shard"])
+
+
+@query("progress_estimate", f"""SELECT n AS cells_seen, p AS planned, g AS granules, {fix_sql('gb')} AS gb, {fix_sql('p / n')} AS avg_per_cell, {fix_sql('(p + greatest(0, 60 - n) * p / n)')} AS estimated_granules,
+  {fix_sql('(p + greatest(0, 60 - n) * p / n) * gb / s')} AS estimated_gb FROM (SELECT CAST(sum(cells_seen) AS BIGINT) AS n, CAST(sum(planned) AS BIGINT) AS p, CAST(sum(granules) AS BIGINT) AS g, sum(gb) AS gb, sum(n_sizes) AS s FROM ({_SUMS}))""")
+def _(fx):
+    """Granules and gigabytes of the whole grid, from the cells and sizes seen."""
+    out = progress.extrapolate(progress.progress_metrics(fx.full_log, ["shard"]))
+    return rounded(out.drop("chips", "n_sizes"), ["gb", "avg_per_cell", "estimated_granules", "estimated_gb"])
+
+
+_OPEN = """WITH h AS (SELECT shard, max(seq) AS h FROM fx_full_log WHERE kind = 0 GROUP BY shard),
+l AS (SELECT f.*, h.h, h.h IS NULL OR f.seq > h.h AS after FROM fx_full_log f LEFT JOIN h USING (shard))
+SELECT *, CASE WHEN current_cell IS NULL THEN 0 ELSE greatest(coalesce(todo, 0) - downloaded, 0) END AS "left" FROM (
+SELECT shard, max(seq) FILTER (kind < 3 OR kind BETWEEN 5 AND 12 OR kind = 15 AND c % 8 = 3) AS seq, max(cell) FILTER (seq = h) AS current_cell, arg_max(c, seq) FILTER (after AND kind IN (1, 2)) AS todo,
+  arg_max(k % 50, seq) FILTER (after AND kind IN (1, 2)) AS skipped, coalesce(arg_max(k % 90, seq) FILTER (after AND kind BETWEEN 5 AND 8), 0) AS downloaded,
+  CAST(coalesce(sum(c % 5) FILTER (after AND kind BETWEEN 9 AND 12), 0) AS BIGINT) AS chips, CAST(arg_max(k % 60 + 0.5, seq) FILTER (kind BETWEEN 5 AND 8) AS DOUBLE) AS last_download_seconds,
+  arg_max(c % 5, seq) FILTER (kind BETWEEN 9 AND 12) AS last_extract_chips, bool_or(kind = 15 AND c % 8 = 3) AS all_done FROM l GROUP BY shard)"""
+
+
+@query("progress_open", _OPEN)
+def _(fx):
+    """The open cell of every shard by line number: granules left, chips since it opened, last download."""
+    return progress.open_cells(fx.full_log, ["shard"])
+
+
+@query("progress_open_stream", _OPEN)
+def _(fx):
+    """The same from state kept on a stream that gets the log in four triggers."""
+    path, ckpt = fresh(fx, "logs"), fresh(fx, "ckpt")
+    name, top = f"open_{path[-8:]}", fx.full_log.agg(F.max("seq")).first()[0]
+    for k in range(4):
+        fx.full_log.where(F.floor(F.col("seq") * 4 / (top + 1)) == k).coalesce(1).write.mode("append").parquet(path)
+    lines = fx.spark.readStream.schema(fx.full_log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    with progress.keyed_state(fx.spark):
+        run = progress.stream_open_cells(lines, ["shard"]).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True) \
+            .option("checkpointLocation", ckpt).start()
+        run.awaitTermination()
+    out = fx.spark.table(name)  # a row per shard and trigger
+    return out.groupBy("shard").agg(F.max_by(F.struct(*[c for c in out.columns if c != "shard"]), "seq").alias("_s")).select("shard", "_s.*")
+
+
 @query("expect_columns", "SELECT state, year, count(*) AS n FROM fx_panel GROUP BY ALL")
 def _(fx):
     quality.expect_columns(fx.panel, ["geoid", "state", "year", "yield_target"])

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from acrescope import constants as K
 from acrescope.functions import scalars as S
 from acrescope.operators.quality import expect_columns
+from acrescope.session import _file_system
 
 
 def guard(df: DataFrame, ok: Column, message: Column | str) -> DataFrame:
@@ -46,28 +52,51 @@ def read_dated(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return guard(df, F.col("forecast_date").isin(*K.FORECAST_DATES), "unknown forecast date")
 
 
-def glob_union(spark: SparkSession, path: str, key: str, declared: list[str]) -> DataFrame:
-    """Per-year CSV files whose columns differ, by name; only declared columns stay.
+def _header(spark: SparkSession, path: str) -> list[str]:
+    """Column names of a CSV file: its first line is read and nothing else."""
+    store, place = _file_system(spark, path)
+    stream = store.open(place)
+    try:
+        line = spark.sparkContext._jvm.java.io.BufferedReader(spark.sparkContext._jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return next(csv.reader([(line or "").removeprefix("\ufeff")]), [])
+
 
-    Files are grouped by their header line, so there is one scan per distinct
-    layout. A file without the key column, and a declared column absent from
-    every file, are errors. The driver sees one row per file, as a listing does.
+def glob_union(spark: SparkSession, path: str, key: str, declared: str, parallelism: int = 16) -> DataFrame:
+    """Per-year CSV files whose columns differ, by name, as the declared columns (a schema string) with their types.
+
+    Only first lines are read to learn the layouts, from whatever store Spark reads; then there is one scan per distinct layout, and
+    a column that a file lacks is NULL in its rows. A file without the key column (unless it is empty), a declared column absent from
+    every file, and a value that is not of its column's type are errors. The driver sees the name and header of every file, as a listing does.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    header = F.when(F.array_contains(F.split("value", ","), key), F.col("value"))
-    per_file = lines.groupBy("file").agg(F.min(header).alias("header"))
-    layouts = per_file.groupBy("header").agg(F.collect_set("file").alias("files")).collect()
-    out = None
-    for row in layouts:
-        if row["header"] is None:
-            raise ValueError(f"no column {key} in {sorted(row['files'])[:5]}")
-        names = row["header"].split(",")
-        part = spark.read.csv(sorted(row["files"]), header=True).select(*[c for c in declared if c in names])
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+    files = sorted(spark.read.format("binaryFile").load(path).inputFiles())
+    with ThreadPool(parallelism) as pool:
+        headers = dict(zip(files, pool.map(inheritable_thread_target(spark)(lambda f: _header(spark, f)), files)))
+    layouts: dict[tuple, list[str]] = {}
+    for f, names in headers.items():
+        if names:
+            layouts.setdefault(tuple(names), []).append(f)
+    unkeyed = [f for names, some in layouts.items() if key not in names for f in some]
+    if unkeyed:
+        raise ValueError(f"no column {key} in {unkeyed[:5]}")
+    if not layouts:
         raise FileNotFoundError(f"no file with column {key} under {path}")
-    expect_columns(out, declared)
-    return out.select(*declared)
+    wanted = _parse_schema(spark, declared)
+    missing = [f.name for f in wanted if not any(f.name in names for names in layouts)]
+    if missing:
+        raise KeyError(f"no file has the columns {missing}")
+    kind, out = {f.name: f.dataType for f in wanted}, None
+    for names, some in layouts.items():
+        schema = StructType([StructField(n, kind.get(n, StringType())) for n in names])
+        rows = spark.read.schema(schema).csv(some, header=True, mode="FAILFAST", enforceSchema=False)
+        part = rows.select(*[(F.col(f"`{f.name}`") if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _parse_schema(spark: SparkSession, ddl: str) -> StructType:
+    return spark.createDataFrame([], ddl).schema
 
 
 def reconcile_slices(slices: list[DataFrame], keys: list[str], values: list[str], label: str, labels: dict[str, str]) -> DataFrame:

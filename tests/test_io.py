@@ -2,6 +2,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from acrescope.operators import quality
 from acrescope.plans.fixtures import Fixtures
 from acrescope.sources import bucketed, readers
 from acrescope.streaming import ingest, progress
@@ -22,13 +23,19 @@ def test_panel_reader_rejects_unknown_dates_and_states(spark, tmp_path):
         readers.read_panel(spark, f"{tmp_path}/ok", ["acres"], ["CO"])
 
 
-def test_glob_union_wants_declared_columns(spark, tmp_path):
-    spark.createDataFrame([("a", 1)], "geoid string, x int").write.csv(f"{tmp_path}/a", header=True)
-    spark.createDataFrame([(2, "b")], "y int, geoid string").write.csv(f"{tmp_path}/b", header=True)
-    rows = {r.geoid: (r.x, r.y) for r in readers.glob_union(spark, f"{tmp_path}/*", "geoid", ["geoid", "x", "y"]).collect()}
-    assert rows == {"a": ("1", None), "b": (None, "2")}
-    with pytest.raises(KeyError):
-        readers.glob_union(spark, f"{tmp_path}/*", "geoid", ["geoid", "z"])
+def test_glob_union_reads_headers_by_name_and_types(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('geoid,x,"odd, name"\n01001,1,"q, r"\n')
+    (tmp_path / "b.csv").write_text('y,geoid\n2.5,"00002"\n')
+    (tmp_path / "empty.csv").write_text("")
+    df = readers.glob_union(spark, f"{tmp_path}/*.csv", "geoid", "geoid string, x int, y double, `odd, name` string")
+    assert df.dtypes == [("geoid", "string"), ("x", "int"), ("y", "double"), ("odd, name", "string")]
+    assert {tuple(r) for r in df.collect()} == {("01001", 1, None, "q, r"), ("00002", None, 2.5, None)}
+    assert len({f for f in df.inputFiles()}) == 2 and "Scan text" not in plan_of(df)  # one scan a layout, no pass over lines
+    with pytest.raises(KeyError, match="z"):
+        readers.glob_union(spark, f"{tmp_path}/*.csv", "geoid", "geoid string, z int")
+    (tmp_path / "c.csv").write_text("geoid,x\n3,many\n")
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        readers.glob_union(spark, f"{tmp_path}/c.csv", "geoid", "geoid string, x int").collect()
 
 
 def test_slices_with_two_values_fail(spark):
@@ -47,7 +54,7 @@ def test_a_file_without_the_key_column_fails_the_union(spark, tmp_path):
     (tmp_path / "a.csv").write_text("geoid,x\n1,2\n")
     (tmp_path / "b.csv").write_text("GEOID,x\n3,4\n")
     with pytest.raises(ValueError, match="b.csv"):
-        readers.glob_union(spark, f"{tmp_path}/*.csv", "geoid", ["geoid", "x"])
+        readers.glob_union(spark, f"{tmp_path}/*.csv", "geoid", "geoid string, x int")
 
 
 def test_unreadable_shards_are_named(spark, tmp_path):
@@ -76,6 +83,69 @@ def test_progress_reads_every_line_kind(spark):
     assert total.estimated_granules == 40 + 59 * 40 and total.estimated_gb == pytest.approx(2400 * 1.5)
 
 
+LOG = ["=== CELL IA-2018", "after resume-skip: 40 granules to download (2 already done)", "[7/40] downloaded g7 (18 files, 3.5s)", "[7/40] g7 -> 9 rows (3 chips written)",
+       "CELL IA-2018 done in 12.5s (40 granules processed)", "=== CELL NE-2019", "[1/9] g1 -> 9 rows (4 chips written)", "after resume-skip: 9 granules to download (1 already done)",
+       "[2/9] downloaded g2 (18 files, 4.0s)", "noise", "[2/9] g2 -> 1 rows (5 chips written)"]
+
+
+def follow(lines):
+    """The open cell of one log, line by line."""
+    s = {"current_cell": None, "todo": None, "skipped": None, "downloaded": 0, "chips": 0, "last_download_seconds": None, "last_extract_chips": None, "all_done": False}
+    for line in lines:
+        words = line.split()
+        if line.startswith("=== CELL"):
+            s.update(current_cell=words[2], todo=None, skipped=None, downloaded=0, chips=0)
+        elif "to download" in line:
+            s.update(todo=int(words[2]), skipped=int(words[6][1:]))
+        elif "] downloaded" in line:
+            s.update(downloaded=int(words[0][1:].split("/")[0]), last_download_seconds=float(words[5][:-2]))
+        elif "chips written" in line:
+            s.update(chips=s["chips"] + int(words[5][1:]), last_extract_chips=int(words[5][1:]))
+        elif "ALL CELLS DONE" in line:
+            s["all_done"] = True
+    return {**s, "left": max(0, (s["todo"] or 0) - s["downloaded"]) if s["current_cell"] else 0}
+
+
+def test_open_cells_follow_the_lines(spark):
+    logs = {"a": LOG, "b": LOG[:5], "c": LOG[1:4], "d": [*LOG[:6], "ALL CELLS DONE in 3.0 minutes"], "e": ["noise"]}
+    df = spark.createDataFrame([(k, i, x) for k, lines in logs.items() for i, x in enumerate(lines)], "shard string, seq int, line string").repartition(4)
+    got = {r.shard: {c: v for c, v in r.asDict().items() if c not in ("shard", "seq")} for r in progress.open_cells(df, ["shard"]).collect()}
+    assert got == {k: follow(v) for k, v in logs.items() if k != "e"}
+
+
+def test_state_of_a_stream_follows_the_lines(spark, tmp_path):
+    rows = [("a", i, x) for i, x in enumerate(LOG)] + [("b", i, x) for i, x in enumerate(LOG[:5])]
+    for part in (rows[:3] + rows[13:14], rows[3:8][::-1] + rows[11:13], rows[8:11] + rows[14:], rows[2:4]):  # shuffled inside a trigger; the last repeats
+        spark.createDataFrame(part, "shard string, seq int, line string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    lines = spark.readStream.schema("shard string, seq int, line string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log")
+    with progress.keyed_state(spark):
+        run = progress.stream_open_cells(lines, ["shard"]).writeStream.outputMode("update").format("memory").queryName("open_cells_test").trigger(availableNow=True) \
+            .option("checkpointLocation", f"{tmp_path}/ckpt").start()
+        run.awaitTermination()
+    out = [r for r in spark.table("open_cells_test").collect() if r.shard == "a"]
+    assert len(out) >= 3
+    last = max(out, key=lambda r: r.seq)
+    assert {c: v for c, v in last.asDict().items() if c not in ("shard", "seq")} == follow(LOG)
+
+
+def test_broken_rows_are_counted_and_split_in_one_scan(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None), (-3, "b"), (-4, None), (None, "c")], "n int, s string")
+    df.write.parquet(f"{tmp_path}/in")
+    rules = {"negative": F.col("n") < 0, "nameless": F.col("s").isNull()}
+    source = spark.read.schema(df.schema).parquet(f"{tmp_path}/in")
+    marked, _ = quality.mark_broken(source, rules)
+    physical = plan_of(marked).split("== Physical Plan ==")[1]
+    assert physical.count("FileScan") == 1 and "Exchange" not in physical and "CollectMetrics" in physical
+    good, bad, counts = quality.split_write(source, rules, f"{tmp_path}/out")
+    assert counts == {"n_rows": 5, "n_broken": 3, "negative": 2, "nameless": 2}
+    assert {r.s for r in good.collect()} == {"a", "c"} and good.columns == df.columns
+    assert {r.n: r.broken for r in bad.collect()} == {2: ["nameless"], -3: ["negative"], -4: ["negative", "nameless"]}
+    with pytest.raises(ValueError, match="3 of 5"):
+        quality.split_write(source, rules, f"{tmp_path}/strict", at_most=0.5)
+    none, quarantined, counts = quality.split_write(source.limit(0), rules, f"{tmp_path}/none")
+    assert none.count() == quarantined.count() == counts["n_rows"] == 0
+
+
 def test_progress_runs_on_a_stream_of_log_files(spark, tmp_path):
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs" / "s1.log").write_text("after resume-skip: 40 granules to download (2 already done)\n[1/40] X -> 9 rows (3 chips written)\n")

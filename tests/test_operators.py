@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from acrescope import constants as K
-from acrescope.operators import chips, cone, joins, knn, landuse, panel, quantiles, raster, survey, trend, weather
+from acrescope.operators import chips, cone, documents, joins, knn, landuse, panel, quantiles, raster, survey, trend, weather
 
 KEYS = ["geoid", "year"]
 
@@ -235,3 +235,27 @@ def test_neighbour_blocks_copy_candidates_by_the_queries_of_their_own_cell(spark
     copies = {r["_cell"]: r["n"] for r in candidates.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
     assert copies == {0: 100 * 8, 1: 100}
     assert queries.count() == 400
+
+
+def test_profile_slices_expand_once(spark):
+    rows = [("a", 1, "x", 1.0), ("a", 1, "y", None), ("b", 1, "x", 2.0), ("c", None, "x", None)]
+    df = spark.createDataFrame(rows, "geoid string, year int, state string, v double")
+    out = documents.profile_slices(df, {"all": [], "year": ["year"], "both": ["state", "year"]}, "geoid", ["v"])
+    got = {(r.slice, r.year, r.state): (r.n_rows, r.n_entities, r.v_known_pct) for r in out.collect()}
+    assert got == {("all", None, None): (4, 3, 50.0), ("year", 1, None): (3, 2, pytest.approx(200 / 3)), ("year", None, None): (1, 1, 0.0),
+                   ("both", 1, "x"): (2, 2, 100.0), ("both", 1, "y"): (1, 1, 0.0), ("both", None, "x"): (1, 1, 0.0)}
+    assert sum(line.count("Scan") for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines()) <= 1
+    counts = {(r.column, r.value): r.n for r in documents.value_counts(df, ["year", "state"]).collect()}
+    assert counts == {("year", "1"): 3, ("year", None): 1, ("state", "x"): 3, ("state", "y"): 1}
+
+
+def test_a_huge_box_adds_one_grid(spark):
+    rng = np.random.default_rng(6)
+    box = lambda i, x, y, w, h: (i, float(x), float(x + w), float(y), float(y + h))
+    a = [box(i, *rng.uniform(-50, 50, 2), *rng.uniform(0, 3, 2)) for i in range(60)] + [box(60, -1e6, -1e6, 2e6, 2e6), (61, None, None, None, None)]
+    b = [box(i, *rng.uniform(-50, 50, 2), *rng.uniform(0, 9, 2)) for i in range(40)] + [box(40, 3e5, 3e5, 1.0, 1.0)]
+    frame = lambda rows, p: spark.createDataFrame(rows, f"{p}_id int, {p}_xmin double, {p}_xmax double, {p}_ymin double, {p}_ymax double")
+    got = sorted((r.a_id, r.b_id) for r in joins.bbox_overlap_join(frame(a, "a"), frame(b, "b"), 1.0).collect())
+    want = sorted((x[0], y[0]) for x in a for y in b if x[1] is not None and x[1] <= y[2] and y[1] <= x[2] and x[3] <= y[4] and y[3] <= x[4])
+    assert got == want and sum(i == 60 for i, _ in got) == 41
+    assert joins.bbox_overlap_join(frame(a, "a").limit(0), frame(b, "b").limit(0), 1.0).count() == 0
