@@ -129,14 +129,14 @@ LAND_CLASSES = {0: "no_data", 1: "background", 2: "building", 3: "road",
 COSTED_CLASSES = (2, 3, 4, 5, 6, 7)
 M2_PER_HA = 10_000.0
 PIXEL_AREA_M2 = 0.09
-# class -> (annual tCO2e/ha/yr, source, embodied tCO2e/ha, source, uncertainty, note)
+# class -> (annual tCO2e/ha/yr, source, embodied tCO2e/ha, source, uncertainty, note on the annual rate, note on the embodied one)
 EMISSION_FACTORS = {
-    "building": (65.0, "SRC-3", 600.0, "SRC-5", "high", "operational energy, single storey"),
-    "road": (4.0, "SRC-1", 220.0, "SRC-5", "medium", "maintenance and repaving"),
-    "water": (0.0, "SRC-1", 0.0, "SRC-1", "medium", "open fresh water"),
-    "barren": (0.0, "SRC-4", 50.0, "SRC-4", "high", "steady state bare ground"),
-    "forest": (-8.0, "SRC-1", 800.0, "SRC-4", "medium", "mature growth uptake"),
-    "agriculture": (2.5, "SRC-6", 150.0, "SRC-4", "medium", "global mean of crop types"),
+    "building": (65.0, "SRC-3", 600.0, "SRC-5", "high", "operational energy, single storey", "materials of the whole structure"),
+    "road": (4.0, "SRC-1", 220.0, "SRC-5", "medium", "maintenance and repaving", "pavement and base course"),
+    "water": (0.0, "SRC-1", 0.0, "SRC-1", "medium", "open fresh water", "nothing is built"),
+    "barren": (0.0, "SRC-4", 50.0, "SRC-4", "high", "steady state bare ground", "soil carbon that is left"),
+    "forest": (-8.0, "SRC-1", 800.0, "SRC-4", "medium", "mature growth uptake", "standing stock, lost when cleared"),
+    "agriculture": (2.5, "SRC-6", 150.0, "SRC-4", "medium", "global mean of crop types", "soil carbon under crops"),
 }
 CITATIONS = {
     "SRC-1": "IPCC (2022). AR6 WGIII, Chapter 7: Agriculture, Forestry and Other Land Uses.",

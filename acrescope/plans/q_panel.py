@@ -106,6 +106,17 @@ def _(fx):
     return Forecasting.of(fx).ready.groupBy("forecast_date").agg(*[fix(F.avg(c)).alias(c) for c in cols])
 
 
+_NUMERIC = sorted([*_ALL, "acres_planted_all", "acres_harvested_all", "acres_harvested_irr", "acres_harvested_noirr_derived", "d1_pct", "d2_pct", "d3_pct", "d4_pct"])
+
+
+@query("select_numeric", f"SELECT forecast_date, {', '.join(f'{fix_sql(f"avg({c})")} AS {c}' for c in _NUMERIC)} FROM fx_master GROUP BY forecast_date")
+def _(fx):
+    """Every numeric column but keys and ranks, averaged per date; no list of names is given."""
+    rows = Forecasting.of(fx).ready
+    cols = sorted(panel.numeric_features(rows, {"geoid", "state", "year", "forecast_date", "date_rank"}))
+    return rows.groupBy("forecast_date").agg(*[fix(F.avg(c)).alias(c) for c in cols])
+
+
 @query("sort_enum", "SELECT geoid, year, forecast_date, CAST(date_rank AS INTEGER) AS date_rank FROM fx_panel CROSS JOIN fx_dates ORDER BY geoid, year, date_rank")
 def _(fx):
     rows = joins.skeleton_cross(fx.panel.select("geoid", "year")).withColumn("date_rank", S.date_rank("forecast_date"))
