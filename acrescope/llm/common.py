@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from acrescope.session import cut_lineage, shared_folder
 
 __all__ = ["cut_lineage", "shared_folder", "text_slices", "small_batches", "word_table", "window_hashes", "unique_in_docs", "ragged", "table_bytes",
-           "sorted_groups", "mix64", "crc_mod", "SpanIds"]
+           "sorted_groups", "mix64", "crc_mod", "free_prefix", "SpanIds"]
 
 SLICE_BYTES = 1 << 20
 
@@ -31,6 +31,13 @@ def crc_mod(column: str, n: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def free_prefix(columns: list[str], prefix: str) -> str:
+    """The prefix, with as many underscores before it as no column name starts with, whatever its case."""
+    while any(c.lower().startswith(prefix.lower()) for c in columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over 64 bits."""
     x = x.astype(np.uint64, copy=True)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acrescope.llm.common import small_batches, span_hash, text_slices, unique_in_docs, word_spans
+from acrescope.llm.common import free_prefix, small_batches, span_hash, text_slices, unique_in_docs, word_spans
 
 BITS = 21
 SAMPLE = 12_000  # labelled documents a model is fitted on, at most
@@ -99,7 +99,7 @@ def train(terms: np.ndarray, bounds: np.ndarray, label: np.ndarray, *, least: in
     rng = np.random.default_rng(seed)
     bias, w, v = float(np.log(share / (1 - share))), np.zeros(n, np.float32), rng.normal(0, 0.01, (n, factors)).astype(np.float32)
     at = place[terms]
-    begin = np.concatenate([[0], np.cumsum(at >= 0)])[bounds]
+    begin = np.concatenate([[0], np.cumsum(at >= 0, dtype=np.int32 if len(at) < 1 << 31 else np.int64)])[bounds]
     at = at[at >= 0]
     df = np.bincount(at, minlength=n)
     met = 1 - (1 - np.minimum(df / max(rows_all, 1), 1) * (1 - dropout)) ** min(batch, max(rows_all, 1))  # chance that a step moves a term
@@ -145,32 +145,56 @@ def train(terms: np.ndarray, bounds: np.ndarray, label: np.ndarray, *, least: in
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
         terms, bounds = term_rows(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(terms, pa.int32()))],
-                                         names=["doc_id", "terms"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(terms, pa.int32()))],
+                                         names=["doc_id", "label", "terms"])
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: bias, the learned terms, their weights and factors."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    found = pa.Table.from_batches(held)
+    del held
+    found = found.take(pa.array(np.argsort(found.column("doc_id").to_numpy(), kind="stable")))  # the fit does not depend on the order of files
+    size = pc.list_value_length(found.column("terms")).to_numpy()
+    terms, label = pc.list_flatten(found.column("terms")).to_numpy(), found.column("label").to_numpy()
+    del found
+    model = train(terms, np.concatenate([[0], np.cumsum(size)]).astype(np.int64), label)
+    learned = np.flatnonzero(model.place >= 0)
+    at = model.place[learned]
+    one = lambda x, kind: pa.array([x], pa.list_(kind))
+    yield pa.RecordBatch.from_arrays([pa.array([model.bias]), one(learned.astype(np.int32), pa.int32()), one(model.w[at], pa.float32()), one(model.v[at].ravel(), pa.float32())],
+                                     names=["bias", "terms", "w", "v"])
+
+
+def sampled(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label: str, sample: int) -> DataFrame:
+    """doc_id, text and label of the sample: one row per id."""
+    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(label)).cast("double").alias("label"))
+    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.join(F.broadcast(picked), "doc_id")  # at most ``sample`` ids
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("label").alias("label"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> FactorizationMachine:
     """Fit on at most ``sample`` labelled documents, those with the smallest hashes of their ids.
 
-    Only the ids of the sample are broadcast, so other texts stay where they are;
-    the sample's hashed terms come to the driver. Null labels and ids do not
+    Only the ids and labels of the sample are broadcast, so other texts stay where they are;
+    the sample's hashed terms meet in one task, which fits, and the driver gets the learned
+    terms alone. Null labels and ids do not
     count; an id with several labels counts as 1 if one of them is, one with
-    several texts has that of the smallest hash.
+    several texts has that of the smallest hash. Without any labelled document all scores are one half.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(label)).alias("label"))
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")  # at most ``sample`` ids
-    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    found = rows.mapInArrow(_terms, "doc_id long, terms array<int>").toArrow()
-    value = dict(picked.toPandas().itertuples(index=False))
-    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")  # the fit does not depend on the order of files
-    found = found.take(pa.array(order))
-    label = np.array([value[i] for i in found.column("doc_id").to_pylist()], float)
-    size = pc.list_value_length(found.column("terms")).to_numpy()
-    terms = pc.list_flatten(found.column("terms")).to_numpy()
-    del found
-    return train(terms, np.concatenate([[0], np.cumsum(size)]).astype(np.int64), label)
+    rows = sampled(docs, labels, doc_id=doc_id, text=text, label=label, sample=sample)
+    terms = rows.mapInArrow(_terms, "doc_id long, label double, terms array<int>").repartition(1)  # bounded by ``sample``
+    found = terms.mapInArrow(_fit, "bias double, terms array<int>, w array<float>, v array<float>").toArrow()
+    if not found.num_rows:
+        return train(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0))
+    flat = lambda c: pc.list_flatten(found.column(c)).to_numpy()
+    learned, place = flat("terms"), np.full(1 << BITS, -1, np.int32)
+    place[learned] = np.arange(len(learned))
+    return FactorizationMachine(place, found.column("bias")[0].as_py(), flat("w"), flat("v").reshape(len(learned), -1) if len(learned) else np.zeros((0, FACTORS), np.float32))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, *, text: str = "text", into: str = "score") -> DataFrame:
@@ -186,5 +210,6 @@ def score(docs: DataFrame, model: FactorizationMachine, *, text: str = "text", i
 
 
 def drop_toxic(docs: DataFrame, model: FactorizationMachine, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents whose score is below the threshold, columns as they were."""
-    return score(docs, model, text=text, into="_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    """The documents whose score is below the threshold, columns as they were, whatever their names."""
+    into = free_prefix(docs.columns, "_toxicity")
+    return score(docs, model, text=text, into=into).where(F.col(into) < threshold).drop(into)

@@ -55,3 +55,37 @@ def test_run_follows_the_schedule_after_files_are_read_again(spark, stages, sf_d
     again = spark.read.parquet(f"{tmp_path}/out")
     assert len(again.inputFiles()) > 1
     assert [(r._slot, r._source_index, r.doc_id) for r in again.orderBy("_slot", "_source_index").collect()] == want
+
+
+CLASH = ["_toxicity", "_key", "_id", "_text_key", "_class_key", "_mix_source", "_mix_hash", "_mix_salt", "_mix_row", "_mix_before"]
+
+
+def through_all(spark, docs, sf_dir, tmp_path):
+    """Rows after each stage, written and read again as the pipeline does."""
+    out = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/s{k}")
+        docs = spark.read.parquet(f"{tmp_path}/s{k}")
+        out.append(docs)
+    return out
+
+
+def test_null_ids_repeated_rows_and_clashing_names_go_through_all_stages(spark, sf_dir, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
+    words = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(6)]
+    rows = [(1, words[0], "en", "a", 1), (1, words[0], "en", "a", 1), (1, words[1], "en", "a", 1), (None, words[2], None, None, None), (None, None, None, None, None),
+            (2, "", "en", "b", 0), (3, words[3], "en", "b", 1), (4, words[3], "en", "b", 1), (5, words[4] + " " + words[5], "en", "c", 1)]
+    docs = spark.createDataFrame([(*r, *(f"{c}{k}" for c in CLASH)) for k, r in enumerate(rows)], schema).repartition(3)
+    stages = through_all(spark, docs, sf_dir, tmp_path)
+    assert all(s.columns == docs.columns for s in stages[:4]) and {*CLASH, "doc_id", "ids"} <= set(stages[4].columns)
+    given = {tuple(r) for r in docs.collect()}
+    assert {tuple(r) for r in stages[1].collect()} <= given
+    kept = sorted((r.doc_id or 0, r.text or "") for r in stages[1].collect())
+    assert kept == sorted([(1, words[0]), (1, words[1]), (0, words[2]), (2, ""), (3, words[3]), (5, words[4] + " " + words[5])])
+    assert [s.count() for s in stages[1:]] == [6] * 4 and {r._mix_row for r in stages[4].collect()} <= {r[-2] for r in given}
+
+
+def test_an_empty_table_goes_through_all_stages(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    stages = through_all(spark, docs, sf_dir, tmp_path)
+    assert [s.count() for s in stages] == [0] * 5 and all(s.columns == docs.columns for s in stages[:4])
