@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acrescope.llm.common import cut_lineage, mix64, ragged, small_batches, sorted_groups, unique_in_docs, window_hashes, word_table
+from acrescope.llm.common import free_prefix, cut_lineage, mix64, ragged, small_batches, sorted_groups, unique_in_docs, window_hashes, word_table
 
 BLOCK = 256  # members of a bucket that meet in one block
 
@@ -277,9 +277,10 @@ def keep_one_per_class(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     null, one row with its smallest text key stays.
     """
     classes = cut_lineage(jaccard_classes(docs, doc_id=doc_id, text=text, **options), "classes")
-    first = classes.groupBy("component").agg(F.min(F.when(F.col("rep").eqNullSafe(F.col("class_id")), F.col("key"))).alias("_key"),
-                                             F.min("class_id").alias("_id"))
-    keep = first.select("_key", "_id")
-    rows = docs.withColumn("_text_key", text_key(text))
-    met = rows.join(keep, (F.col("_text_key") == F.col("_key")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
-    return met.dropDuplicates(["_text_key", doc_id]).select(*docs.columns)
+    own = free_prefix(docs.columns, "_class_")  # names that no column of the documents has
+    first = classes.groupBy("component").agg(F.min(F.when(F.col("rep").eqNullSafe(F.col("class_id")), F.col("key"))).alias(f"{own}key"),
+                                             F.min("class_id").alias(f"{own}id"))
+    keep = first.select(f"{own}key", f"{own}id")
+    rows = docs.withColumn(f"{own}text", text_key(text))
+    met = rows.join(keep, (F.col(f"{own}text") == F.col(f"{own}key")) & F.col(doc_id).eqNullSafe(F.col(f"{own}id")), "left_semi")
+    return met.dropDuplicates([f"{own}text", doc_id]).select(*docs.columns)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from acrescope.llm.common import free_prefix
+
 BLOCK = 64  # documents of a source that stay together
 MAX_SOURCES = 512
 SALT_ROWS = 4_000  # rows of a source that are ordered in one task
@@ -83,6 +85,9 @@ def tempered_weights(rows: dict[str, int], power: float = 0.5) -> dict[str, int]
     return {s: max(1, round(PARTS * n ** power / total)) for s, n in rows.items()}
 
 
+PLACES = ("_source_index", "_block", "_slot")
+
+
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, *, source: str = "source", doc_id: str = "doc_id", block: int = BLOCK,
         power: float = 0.5) -> DataFrame:
     """The documents with _source_index (place in their source), _block and _slot, which replace columns of these names; all rows stay.
@@ -105,19 +110,20 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, *, source: str =
     weights = tempered_weights(rows, power) if weights is None else {s: int(weights.get(s, 1)) for s in rows}
     shared = docs.sparkSession.sparkContext.broadcast(plan({s: -(-n // block) for s, n in rows.items()}, weights))
     salts = max(1, -(-max(rows.values(), default=1) // SALT_ROWS))
-    salted = docs.withColumns({"_mix_source": name, "_mix_salt": F.pmod(spread, F.lit(salts)).cast("int"), "_mix_hash": spread})
-    counts = salted.groupBy("_mix_source", "_mix_salt").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("_mix_source").orderBy("_mix_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_mix_source", "_mix_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_mix_before"))
-    within = F.row_number().over(Window.partitionBy("_mix_source", "_mix_salt").orderBy("_mix_hash", doc_id)) - 1
-    numbered = salted.withColumn("_mix_row", within).join(F.broadcast(offsets) if len(rows) * salts <= 10_000 else offsets, ["_mix_source", "_mix_salt"])
-    placed = numbered.withColumn("_source_index", F.col("_mix_before") + F.col("_mix_row"))
+    own = free_prefix([c for c in docs.columns if c not in PLACES], "_mix_")  # names that no column of the documents has
+    salted = docs.withColumns({f"{own}source": name, f"{own}salt": F.pmod(spread, F.lit(salts)).cast("int"), f"{own}hash": spread})
+    counts = salted.groupBy(f"{own}source", f"{own}salt").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(f"{own}source").orderBy(f"{own}salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(f"{own}source", f"{own}salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(f"{own}before"))
+    within = F.row_number().over(Window.partitionBy(f"{own}source", f"{own}salt").orderBy(f"{own}hash", doc_id)) - 1
+    numbered = salted.withColumn(f"{own}row", within).join(F.broadcast(offsets) if len(rows) * salts <= 10_000 else offsets, [f"{own}source", f"{own}salt"])
+    placed = numbered.withColumn("_source_index", F.col(f"{own}before") + F.col(f"{own}row"))
     placed = placed.withColumn("_block", F.floor(F.col("_source_index") / block))
-    names = [c for c in docs.columns if c not in ("_source_index", "_block", "_slot")]
+    names = [c for c in docs.columns if c not in PLACES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            group = np.array(batch.column("_mix_source").to_pylist(), dtype=object)
+            group = np.array(batch.column(f"{own}source").to_pylist(), dtype=object)
             at, out = batch.column("_block").to_numpy(), np.zeros(batch.num_rows, np.int64)
             for s in set(group):
                 pick = group == s
@@ -127,7 +133,7 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, *, source: str =
 
     zero = F.lit(0).cast("long")
     schema = docs.select(*names, zero.alias("_source_index"), zero.alias("_block"), zero.alias("_slot")).schema
-    return placed.select(*names, "_mix_source", "_source_index", "_block").mapInArrow(run, schema)
+    return placed.select(*names, f"{own}source", "_source_index", "_block").mapInArrow(run, schema)
 
 
 def in_mixed_order(docs: DataFrame, weights: dict[str, int] | None = None, *, places: bool = False, **options) -> DataFrame:
