@@ -17,25 +17,28 @@ from acrescope.llm.common import small_batches, text_slices
 BUCKETS = 1 << 15
 MAX_LANGS = 512  # the model is BUCKETS x languages and is broadcast
 UNDETERMINED = "und"
-_letters: list[np.ndarray] = []
+CELLS = 1 << 21  # log-probabilities a task gathers at once
+_kinds: list[np.ndarray] = []
 
 
-def _is_letter() -> np.ndarray:
-    if not _letters:
-        _letters.append(np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000))
-    return _letters[0]
+def _kind() -> np.ndarray:
+    """2 for letters, 1 for the marks that go with them, 0 for all else."""
+    if not _kinds:
+        _kinds.append(np.fromiter(({"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), np.uint8, 0x110000))
+    return _kinds[0]
 
 
-def gram_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, buckets, row of each) of the 1-, 2- and 3-grams of lower-cased letters and word edges."""
-    letter = _is_letter()
+def gram_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, buckets, row of each, whether its middle is a letter) of the 1-, 2- and 3-grams of lower-cased letters, their marks and word edges."""
+    kind = _kind()
     for first, last, data, offsets in text_slices(pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))):
         raw = data.tobytes()
         text = "\n".join([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
         c = np.frombuffer(f"\n{text}\n".encode("utf-32-le"), np.uint32)
         width = np.array([len(raw[a:b].decode()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]) if last - first > 1 else np.array([len(c) - 2])
         row = np.repeat(np.arange(first, last), width + 1)  # with the separator after each row
-        inside = letter[c]
+        kinds = kind[c]
+        inside = kinds > 0
         c = np.where(inside, c, 0)
         mid = np.flatnonzero(inside[1:-1]) + 1
         a, b, d = c[mid - 1], c[mid], c[mid + 1]
@@ -43,14 +46,14 @@ def gram_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         one = b * np.uint32(0x9E3779B1)
         two = (a * np.uint32(0x85EBCA77)) ^ one
         three = (two * np.uint32(0xC2B2AE3D)) ^ (d * np.uint32(0x27D4EB2F))
-        yield first, last, np.stack([(h ^ h >> np.uint32(15)) * np.uint32(0x165667B1) >> np.uint32(32 - 15) for h in (one + np.uint32(1), two + np.uint32(2), three + np.uint32(3))]), at
+        yield first, last, np.stack([(h ^ h >> np.uint32(15)) * np.uint32(0x165667B1) >> np.uint32(32 - 15) for h in (one + np.uint32(1), two + np.uint32(2), three + np.uint32(3))]), at, kinds[mid] == 2
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in small_batches(batches):
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
-        for _, _, grams, row in gram_slices(batch.column("text")):
+        for _, _, grams, row, _ in gram_slices(batch.column("text")):
             names = langs[row]
             for lang in set(names):
                 pick = names == lang
@@ -70,20 +73,20 @@ class LanguageModel:
     weight: np.ndarray
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        """Language and posterior probability of each text; ``und`` and 0 for one without a letter."""
+        """Language and posterior probability of each text; ``und`` and 0 for one without a letter (marks alone are none)."""
         n, k = len(texts), len(self.langs)
         if not k:
             return [UNDETERMINED] * n, np.zeros(n)
         score, seen = np.zeros((n, k)), np.zeros(n, np.int64)
-        for first, last, grams, row in gram_slices(texts):
-            if not len(row):
-                continue
-            begin = np.searchsorted(row, np.arange(first, last))
-            full = np.flatnonzero(np.diff(np.append(begin, len(row))) > 0)
-            # rows of a sparse count matrix times the weights: gathered and summed by row
-            for g in grams:
-                score[first + full] += np.add.reduceat(self.weight[g], begin[full], axis=0, dtype=np.float64)
-            seen[first:last] = np.diff(np.append(begin, len(row)))
+        step = max(1, CELLS // k)
+        for first, last, grams, row, real in gram_slices(texts):
+            seen[first:last] = np.bincount(row[real] - first, minlength=last - first)
+            # rows of a sparse count matrix times the weights: gathered and summed by row, a bounded number at a time
+            for at in range(0, len(row), step):
+                part = row[at:at + step]
+                begin = np.flatnonzero(np.diff(part, prepend=-1))
+                for g in grams[:, at:at + step]:
+                    score[part[begin]] += np.add.reduceat(self.weight[g], begin, axis=0, dtype=np.float64)
         score += self.prior
         best = score.argmax(axis=1)
         share = 1 / np.exp(np.minimum(score - score.max(axis=1, keepdims=True), 0)).sum(axis=1)

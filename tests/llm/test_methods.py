@@ -134,6 +134,44 @@ def test_the_collision_threshold_keeps_the_wanted_recall():
 
 
 # --- language, toxicity ------------------------------------------------------------
+def plain_language(rows, texts, alpha=0.5):
+    """(language, posterior) by counting every gram on its own; rows are (text, language)."""
+    def buckets(text):
+        import unicodedata
+
+        chars = [0, *(ord(c) if unicodedata.category(c)[0] in "LM" else 0 for c in text.lower()), 0]
+        out, cut = [], 0xFFFFFFFF
+        for a, b, d in zip(chars, chars[1:], chars[2:]):
+            if b:
+                one = b * 0x9E3779B1 & cut
+                two = (a * 0x85EBCA77 & cut) ^ one
+                three = (two * 0xC2B2AE3D & cut) ^ (d * 0x27D4EB2F & cut)
+                out += [((h ^ h >> 15) * 0x165667B1 & cut) >> 17 for h in ((one + 1) & cut, (two + 2) & cut, (three + 3) & cut)]
+        return out
+
+    langs = sorted({lang for _, lang in rows})
+    counts = {lang: Counter(g for text, own in rows if own == lang for g in buckets(text)) for lang in langs}
+    total = {lang: sum(c.values()) + alpha * language_id.BUCKETS for lang, c in counts.items()}
+    out = []
+    for text in texts:
+        logs = [np.log(sum(own == lang for _, own in rows) / len(rows)) + sum(np.log((counts[lang][g] + alpha) / total[lang]) for g in buckets(text)) for lang in langs]
+        best = int(np.argmax(logs))
+        out.append((langs[best], 1 / np.exp(np.array(logs) - logs[best]).sum()) if any(c.isalpha() for c in text) else ("und", 0.0))
+    return out
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 7])
+def test_language_against_counting_gram_by_gram(spark, monkeypatch, cells):
+    monkeypatch.setattr(language_id, "CELLS", cells)
+    rows = [("The cat sat on the mat", "en"), ("Le chat était là, ça va", "fr"), ("Der Hund und die Katze", "de"), ("another one of the same", "en"), ("\u0301x\u0301", "fr")]
+    texts = ["the hat", "où est le chat", "die Straße", "x", "\u0301 \u0301", "\u0903", "12!", "", "a\u0301", "ça\nund the", "Ω"]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    names, share = model.predict(pa.array(texts))
+    want = plain_language(rows, texts)
+    assert [n for n, _ in want] == names and np.allclose(share, [p for _, p in want], rtol=1e-4)
+    assert names[4:8] == ["und"] * 4 and share[4] == 0
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(
         queries.op5_language_id(spark, "/root/testdata/sf0.01"), "doc_id").where("held_out AND lang IS NOT NULL")
@@ -190,17 +228,27 @@ def test_more_telling_terms_than_any_fixed_number_are_learned():
     assert found[:1800].mean() > 0.9 and not found[1800:].any()
 
 
-def test_copies_of_one_id_leave_the_others_in_the_fit(spark, monkeypatch):
+def test_copies_of_one_id_leave_the_others_in_the_fit(spark):
     docs = spark.createDataFrame([(1, f"copy w{i}") for i in range(300)] + [(i, f"word{i}") for i in range(2, 21)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 21)], "doc_id long, toxic int")
-    monkeypatch.setattr(toxicity_fm, "train", lambda terms, bounds, label: label.tolist())
-    assert toxicity_fm.fit(docs.repartition(4), labels, sample=20) == [i % 2 for i in range(1, 21)]
+    rows = toxicity_fm.sampled(docs.repartition(4), labels, doc_id="doc_id", text="text", label="toxic", sample=20).collect()
+    assert sorted((r.doc_id, r.label) for r in rows) == [(i, i % 2) for i in range(1, 21)]
+
+
+def test_the_fit_in_a_task_is_that_of_the_driver(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(40, size=12)) + (" bad" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(120)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(5)
+    got = toxicity_fm.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    terms, bounds = toxicity_fm.term_rows(pa.array([r[1] for r in rows]))
+    want = toxicity_fm.train(terms, bounds, np.array([r[2] for r in rows], float))
+    assert got.bias == want.bias and all((getattr(got, k) == getattr(want, k)).all() for k in ("place", "w", "v")) and len(got.w)
 
 
 def test_grams_stay_in_their_row():
     rows = pa.array(["ab c", "", None, "é"])
-    alone = [np.sort(np.concatenate([g.ravel() for _, _, g, _ in language_id.gram_slices(rows.slice(k, 1))])) for k in range(4)]
-    for _, _, grams, row in language_id.gram_slices(rows):
+    alone = [np.sort(np.concatenate([g.ravel() for _, _, g, _, _ in language_id.gram_slices(rows.slice(k, 1))])) for k in range(4)]
+    for _, _, grams, row, _ in language_id.gram_slices(rows):
         assert all(np.array_equal(np.sort(grams[:, row == k].ravel()), alone[k]) for k in range(4))
 
 
