@@ -49,9 +49,9 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.array(flat.to_pylist(), dtype=np.float64)
 
 
-def search_block(ids: np.ndarray, base: np.ndarray, extra: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, plan: Plan,
+def search_block(ids: np.ndarray, keys: np.ndarray, base: np.ndarray, extra: np.ndarray, query_keys: np.ndarray, queries: np.ndarray, k: int, plan: Plan,
                  seed: int = 17) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, vector ids, inner products) of the best k found in a block for each query.
+    """(query, vector ids, inner products) of the best k found in a block for each query, the row with the query's own key left out.
 
     ``extra`` is the coordinate that gives all vectors one length, so that the
     nearest vector is the one with the largest inner product; queries have 0
@@ -69,7 +69,7 @@ def search_block(ids: np.ndarray, base: np.ndarray, extra: np.ndarray, query_ids
     arrays = [np.ascontiguousarray(spots[order[:, j], j]) for j in range(plan.projections)]
     rows = [order[:, j].astype(np.int32) for j in range(plan.projections)]
     at = queries @ a[:, :dim].T
-    own = {v: r for r, v in enumerate(ids.tolist())}
+    own = {v: r for r, v in enumerate(keys.tolist())}
     length2, y2, need = float(((base ** 2).sum(1) + extra ** 2).max()), (queries ** 2).sum(1), plan.threshold
     sample = np.linspace(0, n - 1, min(n, 4 * k)).astype(int)
 
@@ -89,7 +89,7 @@ def search_block(ids: np.ndarray, base: np.ndarray, extra: np.ndarray, query_ids
     counts, goals, state = [], np.zeros(len(queries)), []
     for q in range(len(queries)):
         count = np.bincount(np.concatenate([rows[j][x:y] for j, (x, y) in enumerate(zip(low[q].tolist(), high[q].tolist()))]), minlength=n).astype(np.int16)
-        skip = own.get(int(query_ids[q]), -1)
+        skip = own.get(int(query_keys[q]), -1)
         top = np.argpartition(count, n - min(n, 4 * k))[n - min(n, 4 * k):]
         top = np.union1d(top, np.flatnonzero(count >= need))
         top = top[top != skip]
@@ -125,15 +125,14 @@ def _search(k: int, plan: Plan):
             base, query = group.filter(pa.array(~asks)), group.filter(pa.array(asks))
             if not base.num_rows or not query.num_rows:
                 continue
-            ids, query_ids = base.column("vec_id").to_numpy(), query.column("vec_id").to_numpy()
+            ids, query_ids, query_keys = base.column("vec_id").to_numpy(), query.column("vec_id").to_numpy(), query.column("key").to_numpy()
             out = []
-            for q, found, score in search_block(ids, _matrix(base.column("vector")), base.column("extra").to_numpy(), query_ids,
+            for q, found, score in search_block(ids, base.column("key").to_numpy(), _matrix(base.column("vector")), base.column("extra").to_numpy(), query_keys,
                                                 _matrix(query.column("vector")), k, plan):
                 best = np.lexsort((found, -score))[:k]
-                out.append((np.full(len(best), query_ids[q]), found[best], score[best]))
+                out.append((np.full(len(best), query_ids[q]), np.full(len(best), query_keys[q]), found[best], score[best]))
             if out:
-                one, two, three = (np.concatenate(c) for c in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(three)], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "query_key", "vec_id", "score"])
 
     return run
 
@@ -148,20 +147,22 @@ def search(vectors: DataFrame, is_query, *, vec_id: str = "vec_id", vector: str
     smaller id. No number of candidates is capped.
 
     Vectors that are null, zero, or hold a null or non-finite component take no
-    part, nor do null ids; lengths must agree. Of rows with the same id, which
-    are one vector to the search, one with the smallest components counts.
+    part, nor do null ids; lengths must agree. Rows equal in id and vector are one
+    row; rows that share only the id are vectors of their own, each found and each
+    asking for its own neighbours, the others of its id among them.
     """
     v = F.col(vector).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(F.col(vec_id).isNotNull() & F.coalesce(fine, F.lit(False))).groupBy(F.col(vec_id).cast("long").alias("vec_id")).agg(F.min(v).alias("vector"))
+    rows = vectors.where(F.col(vec_id).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("vector")).distinct()
+    rows = rows.withColumn("key", F.xxhash64("vec_id", "vector"))
     norm2 = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
     n, longest = rows.agg(F.count("*"), F.max(norm2)).first()
     blocks, parts = max(1, -(-n // block)), max(1, -(-rows.where(is_query).count() // queries))
     base = rows.withColumns({"extra": F.sqrt(F.greatest(F.lit(longest or 0.0) - norm2, F.lit(0.0))), "asks": F.lit(False),
-                             "block": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"), "part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
-    asks = rows.where(is_query).withColumns({"extra": F.lit(0.0), "asks": F.lit(True), "part": F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int"),
+                             "block": F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"), "part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
+    asks = rows.where(is_query).withColumns({"extra": F.lit(0.0), "asks": F.lit(True), "part": F.pmod(F.xxhash64("key", F.lit(1)), F.lit(parts)).cast("int"),
                                              "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
     met = base.unionByName(asks).repartition("block", "part").sortWithinPartitions("block", "part")
-    found = met.mapInArrow(_search(k, plan), "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    found = met.mapInArrow(_search(k, plan), "query_id long, query_key long, vec_id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

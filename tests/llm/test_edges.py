@@ -73,6 +73,10 @@ def test_neighbours(spark):
     got = ann_collision.search(df, F.col("vec_id") % 20 == 0, k=3).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 3, 2.0), (0, 2, 4, 2.0), (0, 3, 20, 1.0), (20, 1, 3, 2.0), (20, 2, 4, 2.0), (20, 3, 0, 1.0)]
     assert ann_collision.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    # vectors that share an id are found and ask on their own; equal ones are one
+    two = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.5, 0.5]), (0, [0.5, 0.5]), (3, [5.0, 0.0]), (3, [2.0, 0.0]), (4, [0.0, 7.0])], "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann_collision.search(two, F.col("vec_id") == 0, k=3).collect())
+    assert got == sorted([(0, 1, 3, 5.0), (0, 2, 3, 2.0), (0, 3, 0, 0.5), (0, 1, 4, 3.5), (0, 2, 3, 2.5), (0, 3, 3, 1.0)])
 
 
 def test_quality(odd, none):
