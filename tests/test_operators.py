@@ -139,6 +139,26 @@ def test_strict_standardizer_raises_lenient_does_not(spark):
     assert [r.vec for r in trend.zscore(df, params, {"08-01": ["a", "b"]}, lenient=True).collect()][1][0] == 0.0
 
 
+def test_constant_features_take_no_part_in_vectors(spark):
+    from acrescope.plans.fixtures import CONTRACT
+    from acrescope.plans.forecasting import Forecasting
+
+    columns = list(dict.fromkeys(c for cols in CONTRACT.values() for c in cols))
+    rows = [(d, *[0.1 if c in ("gdd_cum_f50_c86", "dry_spell_max_days") else float(k + i) for i, c in enumerate(columns)]) for d in CONTRACT for k in range(3)]
+    f = Forecasting(None)
+    f.__dict__["train"] = spark.createDataFrame(rows, ["forecast_date", *columns])  # stands in for the cached pool
+    flat = {r.feature for r in f.std.where("std = 0").collect()}
+    assert flat == {"gdd_cum_f50_c86", "dry_spell_max_days"} and f.std.count() == sum(map(len, CONTRACT.values()))
+    later = f.train.withColumn("dry_spell_max_days", F.lit(40.0))  # a year unlike those of the training pool
+    got = trend.zscore(later, f.std, CONTRACT).where("forecast_date = 'EOS'").collect()
+    at = [CONTRACT["EOS"].index(c) for c in ("gdd_cum_f50_c86", "dry_spell_max_days")]
+    assert {r.vec[i] for r in got for i in at} == {0.0} and len({tuple(r.vec) for r in got}) == 3
+    with pytest.raises(PySparkException, match="missing dry_spell_max_days"):
+        trend.zscore(f.train.withColumn("dry_spell_max_days", F.lit(None).cast("double")), f.std, CONTRACT).collect()
+    with pytest.raises(PySparkException, match="cannot standardise a"):
+        trend.standardizer_fit(spark.createDataFrame([("08-01", 1.0)], "forecast_date string, a double"), {"08-01": ["a"]}).collect()
+
+
 def test_synthesized_year_copies_the_prior_one(spark):
     df = spark.createDataFrame([("a", 2023, 1.0, 9.0), ("a", 2024, 2.0, 8.0)], "geoid string, year int, yield_target double, acres double")
     row = panel.synthesize_year(df, 2025).where("year = 2025").first()
