@@ -1,6 +1,7 @@
 """Invariants: leakage, as-of rule, exact search and quantiles under skew."""
 
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
@@ -139,6 +140,16 @@ def test_strict_standardizer_raises_lenient_does_not(spark):
     assert [r.vec for r in trend.zscore(df, params, {"08-01": ["a", "b"]}, lenient=True).collect()][1][0] == 0.0
 
 
+def test_quantiles_do_not_bring_the_rows_of_a_group_together(spark):
+    df = spark.range(40_000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 40_000).cast("double").alias("v"))
+    out = quantiles.exact_quantiles(df, ["g"], "v", [0.25, 0.5])
+    got = {(r.g, r.prob): r.quantile for r in out.collect()}
+    want = {(g, p): float(np.quantile(np.arange(g, 40_000, 2), p)) for g in (0, 1) for p in (0.25, 0.5)}
+    assert got == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(g#\d+L?, \d+\)", plan)  # rows dealt by their group alone
+
+
 def test_constant_features_take_no_part_in_vectors(spark):
     from acrescope.plans.fixtures import CONTRACT
     from acrescope.plans.forecasting import Forecasting
