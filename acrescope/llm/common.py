@@ -96,18 +96,27 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, longest: int | None = None) -> np.ndarray:
-    """64-bit polynomial hash of each span, or of its first ``longest`` bytes."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: tuple[int, ...], longest: int | None = None) -> list[np.ndarray]:
+    """64-bit polynomial hashes of each span, or of its first ``longest`` bytes, one array per seed."""
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return [np.zeros(0, np.uint64) for _ in seeds]
     size = ends - starts
     if longest is not None:
         size = np.minimum(size, longest)
     begin = np.cumsum(size) - size
     at = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(begin, size)
-    power = np.cumprod(np.concatenate(([_U(1)], np.full(int(size.max()), _STEP[seed]))), dtype=np.uint64)
-    values = _BYTE[seed][data[at + np.repeat(starts, size)]] * power[at]
-    return mix64(np.add.reduceat(values, begin) + _U(len(_STEP)) * size.astype(np.uint64))
+    body, out = data[at + np.repeat(starts, size)], []
+    for seed in seeds:
+        power = np.cumprod(np.concatenate(([_U(1)], np.full(int(size.max()), _STEP[seed]))), dtype=np.uint64)
+        values = _BYTE[seed][body]
+        values *= power[at]
+        out.append(mix64(np.add.reduceat(values, begin) + _U(len(_STEP)) * size.astype(np.uint64)))
+    return out
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, longest: int | None = None) -> np.ndarray:
+    """64-bit polynomial hash of each span, or of its first ``longest`` bytes."""
+    return span_hashes(data, starts, ends, (seed,), longest)[0]
 
 
 def word_table(texts: pa.Array, seeds: int = 1, limit: int = SLICE_BYTES) -> tuple[list[np.ndarray], np.ndarray]:
@@ -201,7 +210,7 @@ class SpanIds:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
         raw = data.tobytes()
-        one, two = span_hash(data, starts, ends, 0), span_hash(data, starts, ends, 1)
+        one, two = span_hashes(data, starts, ends, (0, 1))
         key, first, inverse = np.unique(one, return_index=True, return_inverse=True)
         check = two[first]
         if (check[inverse] != two).any():  # two spans share a hash: this slice goes without the store

@@ -44,8 +44,9 @@ def _tokenizer(path: str) -> SpanIds:
             flat, size = array("i"), []
             for k in range(0, len(words), 20_000):
                 for found in tokenizer.encode_batch_fast([w.decode() for w in words[k:k + 20_000]], add_special_tokens=False):
-                    flat.extend(found.ids)
-                    size.append(len(found))
+                    ids = found.ids
+                    flat.extend(ids)
+                    size.append(len(ids))
             return np.array(flat, np.int32), np.array(size, np.int64)
 
         _loaded[path] = SpanIds(make)
@@ -132,14 +133,26 @@ def scale_counts(symbols: np.ndarray, counts: np.ndarray) -> Table:
     return Table(symbols.astype(np.int64), (freq + 1).astype(np.uint64))
 
 
+COUNT_IDS = 1 << 20  # ids counted at once
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
+    total, held, size = np.zeros(0, np.int64), [], 0
+
+    def add():
+        nonlocal total, held, size
+        if held:
+            found = np.bincount(np.concatenate(held), minlength=len(total))
+            found[:len(total)] += total
+            total, held, size = found, [], 0
+
     for batch in batches:
         for width, body in zip(batch.column("width").to_pylist(), batch.column("ids").to_pylist()):
-            found = np.bincount(_wide(width, body))
-            if len(found) > len(total):
-                total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-            total[:len(found)] += found
+            held.append(np.frombuffer(body, np.uint16 if width == 2 else np.uint32))
+            size += len(held[-1])
+            if size >= COUNT_IDS:
+                add()
+    add()
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["symbol", "n"])
 

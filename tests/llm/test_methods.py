@@ -26,6 +26,22 @@ def test_word_table_counts_what_bytes_split_finds(texts, limit):
 
 
 # --- token files ------------------------------------------------------------------
+def test_ids_are_counted_in_runs_and_spans_read_once(monkeypatch):
+    monkeypatch.setattr(token_rans, "COUNT_IDS", 5)
+    docs = [[1], [70_000, 3, 1], [3, 3, 3, 3, 3, 3, 1], [], [9, 1]]
+    width = [4 if max(d, default=0) > 65_535 else 2 for d in docs]
+    body = [np.array(d, np.uint16 if w == 2 else np.uint32).tobytes() for w, d in zip(width, docs)]
+    batch = pa.RecordBatch.from_arrays([pa.array(width, pa.int32()), pa.array(body, pa.binary())], names=["width", "ids"])
+    (got,) = token_rans._count(iter([batch.slice(0, 2), batch.slice(2)]))
+    assert dict(zip(*(got.column(c).to_pylist() for c in ("symbol", "n")))) == Counter(i for d in docs for i in d)
+    (none,) = token_rans._count(iter([]))
+    assert none.num_rows == 0
+    data, starts, ends = np.frombuffer(b"one two two", np.uint8), np.array([0, 4, 8]), np.array([3, 7, 11])
+    both = common.span_hashes(data, starts, ends, (0, 1))
+    assert [b.tolist() for b in both] == [common.span_hash(data, starts, ends, seed).tolist() for seed in (0, 1)]
+    assert both[0][1] == both[0][2] != both[0][0] and both[0][1] != both[1][1]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(TEXT, min_size=1, max_size=5))
 def test_ids_are_the_librarys(texts):
