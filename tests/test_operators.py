@@ -170,6 +170,15 @@ def test_constant_features_take_no_part_in_vectors(spark):
         trend.standardizer_fit(spark.createDataFrame([("08-01", 1.0)], "forecast_date string, a double"), {"08-01": ["a"]}).collect()
 
 
+def test_spread_of_rounding_alone_is_no_spread(spark):
+    sums = [0.1 + 0.2 + 0.3, 0.3 + 0.2 + 0.1, 0.1 + 0.2 + 0.3]  # equal terms added in other orders
+    df = spark.createDataFrame([("08-01", x, 1e-3 * k) for k, x in enumerate(sums)], "forecast_date string, a double, b double")
+    params = trend.standardizer_fit(df, {"08-01": ["a", "b"]}, constant=True)
+    std = {r.feature: r["std"] for r in params.collect()}
+    assert len(set(sums)) == 2 and std["a"] == 0.0 and std["b"] > 0
+    assert {r.vec[0] for r in trend.zscore(df, params, {"08-01": ["a", "b"]}).collect()} == {0.0}
+
+
 def test_synthesized_year_copies_the_prior_one(spark):
     df = spark.createDataFrame([("a", 2023, 1.0, 9.0), ("a", 2024, 2.0, 8.0)], "geoid string, year int, yield_target double, acres double")
     row = panel.synthesize_year(df, 2025).where("year = 2025").first()
