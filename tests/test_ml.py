@@ -149,6 +149,28 @@ def test_sweep_halves_and_keeps_the_first_best(spark, training):
     assert boosting.curve(model, training.rows(spark, "EOS", True))[-1] == pytest.approx(rows[1].rmse, abs=1e-12)
 
 
+def test_dates_are_fitted_without_repeating_the_best_rounds(spark, training, monkeypatch):
+    asked, fit = [], boosting.fit_rounds
+    monkeypatch.setattr(boosting, "fit_rounds", lambda rows, rounds, **kw: asked.append(rounds) or fit(rows, rounds, **kw))
+    models, picks = boosting.fit_dates(spark, training, {"EOS": {"max_depth": 3, "step": 0.3}}, first=4, patience=2, max_rounds=9)
+    best, val = picks["EOS"].rounds, training.rows(spark, "EOS", True)
+    want = fit(training.rows(spark, "EOS", False), best, max_depth=3, step=0.3)
+    assert asked == sorted(set(asked)) and models["EOS"].getNumTrees == best and models["EOS"].numFeatures == want.numFeatures
+    assert [t.toDebugString.split("\n", 1)[1] for t in models["EOS"].trees] == [t.toDebugString.split("\n", 1)[1] for t in want.trees]
+    at = lambda m: [r.prediction for r in m.transform(val).collect()]
+    assert at(models["EOS"]) == at(want) and models["EOS"].treeWeights == want.treeWeights
+    assert boosting.curve(models["EOS"], val)[-1] == pytest.approx(picks["EOS"].rmse, abs=1e-12)
+
+
+def test_rounds_grow_only_as_far_as_the_stop_asks(monkeypatch):
+    asked = []
+    monkeypatch.setattr(boosting, "fit_rounds", lambda rows, rounds: asked.append(rounds) or rounds)
+    for bottom, rounds, stopped in ((16, [64, 80], True), (100, [64, 128, 200], True), (5000, [64, 128, 256, 512, 1000], False)):
+        monkeypatch.setattr(boosting, "curve", lambda n, val, bottom=bottom: [abs(bottom - k) for k in range(1, n + 1)])
+        asked.clear()
+        assert boosting.fit_to_stop(None, None, {}, max_rounds=1000)[1:] == (min(bottom, 1000), stopped) and asked == rounds
+
+
 def test_training_rows_are_complete(spark, table):
     holes = table.withColumn("c", F.when(F.col("id") % 10 != 0, F.col("c")))
     written = boosting.Training.write(holes.where("id < 200"), holes.where("id >= 200"), {"EOS": COLS}, "y")
