@@ -36,6 +36,7 @@ N_ROWS = {  # rows of each query over 8 counties, 2 states, 7 years and 4 dates
     "knn_join_same_entity": 960,
     "lift_gate_dates": 4,
     "percentile_cone": 256,
+    "importance_model": 46,
 }
 FLAT = ["gdd_cum_f50_c86", "edd_hours_gt86f", "dry_spell_max_days"]
 
