@@ -7,15 +7,18 @@ training pool, which the standardizer once refused.
 import math
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pytest
+from oracle_compare import compare
 
 import __spark_entry__ as entry_module
 from acrescope.operators import boosting
 from acrescope.plans.fixtures import CONTRACT, SCHEMAS, Fixtures
 from acrescope.plans.forecasting import GRID, Forecasting
 
-QUERIES = entry_module.queries()
+QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+Z_SQL = "(v - s.mean) / s.std"
 N_ROWS = {  # rows of each query over 8 counties, 2 states, 7 years and 4 dates
     "state_forecast_doc_model": 16,
     "analog_index_contract": 4,
@@ -38,6 +41,9 @@ N_ROWS = {  # rows of each query over 8 counties, 2 states, 7 years and 4 dates
     "percentile_cone": 256,
     "importance_model": 46,
 }
+READS_Z = {  # whether the SQL of the query divides by the spread
+    "state_forecast_doc_model": True,
+}
 FLAT = ["gdd_cum_f50_c86", "edd_hours_gt86f", "dry_spell_max_days"]
 
 
@@ -68,6 +74,14 @@ def dense(spark, tmp_path_factory):
     return folder
 
 
+@pytest.fixture(scope="module")
+def duck(dense):
+    con = duckdb.connect()
+    for t in SCHEMAS:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{dense}/{t}.parquet/*.parquet')")
+    return con
+
+
 @pytest.fixture(scope="module")
 def chain(spark, dense):
     """The chain that the queries share, with small picks in the sweep's place."""
@@ -96,3 +110,11 @@ def test_query_on_dense_tables(name, spark, dense, chain):
     rows = QUERIES[name](spark, dense).collect()
     assert len(rows) == N_ROWS[name]
     assert not any(isinstance(v, float) and math.isnan(v) for r in rows for v in r)
+
+
+@pytest.mark.parametrize("name", READS_Z)
+def test_query_equals_sql_without_the_constant_columns(name, spark, dense, chain, duck):
+    sql = ORACLES[name].replace(Z_SQL, f"CASE WHEN s.std <= 1e-10 * abs(s.mean) THEN 0.0 ELSE {Z_SQL} END")
+    assert (sql != ORACLES[name]) == READS_Z[name]
+    message = compare(spark, duck, name, QUERIES[name], sql, dense)
+    assert message is None, message
