@@ -44,6 +44,7 @@ N_ROWS = {  # rows of each query over 8 counties, 2 states, 7 years and 4 dates
 READS_Z = {  # whether the SQL of the query divides by the spread
     "state_forecast_doc_model": True,
     "analog_index_contract": True,
+    "backtest_sweep": True,
 }
 FLAT = ["gdd_cum_f50_c86", "edd_hours_gt86f", "dry_spell_max_days"]
 
