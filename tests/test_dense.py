@@ -48,6 +48,7 @@ READS_Z = {  # whether the SQL of the query divides by the spread
     "bias_constants": True,
     "cf_detrend": True,
     "cone_rollup": True,
+    "county_forecast": True,
 }
 FLAT = ["gdd_cum_f50_c86", "edd_hours_gt86f", "dry_spell_max_days"]
 
