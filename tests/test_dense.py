@@ -50,6 +50,7 @@ READS_Z = {  # whether the SQL of the query divides by the spread
     "cone_rollup": True,
     "county_forecast": True,
     "bundle_trends": False,
+    "coverage_verdict": True,
 }
 FLAT = ["gdd_cum_f50_c86", "edd_hours_gt86f", "dry_spell_max_days"]
 
