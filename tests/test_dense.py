@@ -51,6 +51,7 @@ READS_Z = {  # whether the SQL of the query divides by the spread
     "county_forecast": True,
     "bundle_trends": False,
     "coverage_verdict": True,
+    "driver_rollup": True,
 }
 FLAT = ["gdd_cum_f50_c86", "edd_hours_gt86f", "dry_spell_max_days"]
 
