@@ -52,6 +52,7 @@ READS_Z = {  # whether the SQL of the query divides by the spread
     "bundle_trends": False,
     "coverage_verdict": True,
     "driver_rollup": True,
+    "gates": True,
 }
 FLAT = ["gdd_cum_f50_c86", "edd_hours_gt86f", "dry_spell_max_days"]
 
