@@ -55,6 +55,7 @@ READS_Z = {  # whether the SQL of the query divides by the spread
     "gates": True,
     "error_decomposition": True,
     "gates_recal": True,
+    "importance": True,
 }
 FLAT = ["gdd_cum_f50_c86", "edd_hours_gt86f", "dry_spell_max_days"]
 
