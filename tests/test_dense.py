@@ -56,6 +56,7 @@ READS_Z = {  # whether the SQL of the query divides by the spread
     "error_decomposition": True,
     "gates_recal": True,
     "importance": True,
+    "knn_join": True,
 }
 FLAT = ["gdd_cum_f50_c86", "edd_hours_gt86f", "dry_spell_max_days"]
 
