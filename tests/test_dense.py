@@ -60,6 +60,7 @@ READS_Z = {  # whether the SQL of the query divides by the spread
     "lift_gate": True,
     "knn_join_same_entity": True,
     "lift_gate_dates": True,
+    "percentile_cone": True,
 }
 FLAT = ["gdd_cum_f50_c86", "edd_hours_gt86f", "dry_spell_max_days"]
 
