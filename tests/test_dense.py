@@ -61,6 +61,7 @@ READS_Z = {  # whether the SQL of the query divides by the spread
     "knn_join_same_entity": True,
     "lift_gate_dates": True,
     "percentile_cone": True,
+    "importance_model": False,
 }
 FLAT = ["gdd_cum_f50_c86", "edd_hours_gt86f", "dry_spell_max_days"]
 
